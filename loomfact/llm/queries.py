@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash_dedup, substring_dedup
+from . import bpe, exact_dedup, packing, simhash_dedup, substring_dedup
+
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; they come with the Python environment, thus are on every machine."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +44,29 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the token capacity binds: as many documents as tokens, and the cost of one document that fills a sequence."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("fill")
+
+
+def _digests(ids: list, path: str) -> list[pa.Array]:
+    """Digests of encoded texts and of what they decode to."""
+    numbers = bpe.byte_table(path).numbers
+    ids_sha, text_sha = [], []
+    for x in ids:
+        x = x.tolist()
+        ids_sha.append(hashlib.sha256(b",".join(map(numbers.__getitem__, x))).hexdigest())
+        text_sha.append(hashlib.sha256(bpe.decode(path, x).encode()).hexdigest())
+    return [pa.array(map(len, ids), pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), _digests, schema).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_simhash": op8_simhash, "op9_substring": op9_substring}
+    return {"op1_exact_dedup": op1_exact_dedup, "op4_packing": op4_packing, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
