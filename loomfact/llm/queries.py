@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, simhash_dedup, substring_dedup, toxicity
+from . import bpe, exact_dedup, hpylm, packing, simhash_dedup, substring_dedup, toxicity
 
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -56,6 +56,10 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the token capacity binds: as many documents as tokens, and the cost of one document that fills a sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("fill")
@@ -78,7 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op4_packing": op4_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_hpylm": op2_hpylm, "op4_packing": op4_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
