@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import NO_ID, STEP_BYTES, Tokens, _powers, mix, ragged, shuffles, spread, steps, stored, whole
 from .simhash_dedup import joined_words
 
-K, M = 20, 4
+K, M = 20, 3
+#: zstd level of what travels.
+LEVEL = 3
 #: Bytes of packed strings that a shard gets, and of text that a chunk gets, on average at most.
 SHARD_BYTES, CHUNK_BYTES = 20_000_000, 4_000_000
 
@@ -91,13 +93,14 @@ def _send(k: int, m: int, shards: int):
         send = np.flatnonzero(lead == np.arange(len(parts)))
         told = np.flatnonzero(copy)
         at = (low % np.uint64(shards)).astype(np.int32)
-        send, told = send[np.argsort(at[send], kind="stable")], told[np.argsort(at[told], kind="stable")]
+        # like next to like, for the compressor
+        send, told = send[np.lexsort([low[send], at[send]])], told[np.argsort(at[told], kind="stable")]
         every = np.unique(at)
         a, b = np.searchsorted(at[send], [every, every + 1])
         c, d = np.searchsorted(at[told], [every, every + 1])
         done = np.empty(len(told), _FLAG)
         done["id"], done["tag"], done["start"], done["n"] = ids[doc[told]], tags[doc[told]], start[told], n[told]
-        press = zstandard.ZstdCompressor(level=1).compress
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
         cols = {x: [] for x in ("ids", "tags", "starts", "sizes", "body", "done")}
         for x, y, z, w in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()):
             own = send[x:y]
@@ -229,6 +232,37 @@ def cover(n_words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _chunked(chunks: int):
+    """Whole texts, packed by chunk."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
+        for batch in batches:
+            text = batch.column(3).cast(pa.large_binary())
+            at, ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), 2 * STEP_BYTES):
+                texts = text.slice(a, b - a).to_pylist()
+                order = np.argsort(at[a:b], kind="stable")
+                own = at[a:b][order]
+                cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), b - a]
+                rows = [order[x:y] for x, y in zip(cut, cut[1:])]
+                made = [pa.array([int(at[a + r[0]]) for r in rows], pa.int32()), *(pa.array([v[a + r].tobytes() for r in rows], pa.binary()) for v in (ids, tags))]
+                made.append(pa.array([np.fromiter((len(texts[i]) for i in r.tolist()), np.int32, len(r)).tobytes() for r in rows], pa.binary()))
+                made.append(pa.array([press(b"".join(texts[i] for i in r.tolist())) for r in rows], pa.binary()))
+                yield pa.RecordBatch.from_arrays(made, ["chunk", "ids", "tags", "sizes", "body"])
+
+    return run
+
+
+def _unpack(part: pd.DataFrame):
+    """(id, tag, text) of each text of a chunk."""
+    plain = zstandard.ZstdDecompressor().decompress
+    for ids, tags, sizes, body in part[["ids", "tags", "sizes", "body"]].itertuples(index=False):
+        body = plain(body) if body else b""
+        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+        yield from zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(tags, np.int64).tolist(), (body[a:b] for a, b in zip([0, *ends], ends)))
+
+
 def _apply(k: int, with_text: bool):
     def run(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
         of: dict[tuple[int, int], tuple[int, int]] = {}
@@ -239,7 +273,7 @@ def _apply(k: int, with_text: bool):
             of = {tuple(key[i].tolist()): (i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)])}
             start, n = flags["start"].to_numpy(np.int64), flags["n"].to_numpy(np.int64)
         out = []
-        for i, tag, text in zip(docs["id"].to_numpy(np.int64).tolist(), docs["tag"].to_numpy(np.int64).tolist(), docs["text"]):
+        for i, tag, text in _unpack(docs):
             words = text.split()  # of bytes: splits at the six white-space bytes only
             gone = 0
             if found := of.get((i, tag)):
@@ -267,5 +301,6 @@ def substring_dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = F
     flags = stored(repeated_windows(spread(rows), k, m, total), "repeats")
     chunks = max(6 * shuffles(docs.sparkSession), -(-total // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
-    found = rows.select(chunk, "*").groupBy("chunk").cogroup(flags.select(chunk, "*").groupBy("chunk")).applyInPandas(_apply(k, with_text), RESULT)
+    packed = rows.select(chunk, "id", "tag", "text").mapInArrow(_chunked(chunks), "chunk int, ids binary, tags binary, sizes binary, body binary")
+    found = packed.groupBy("chunk").cogroup(flags.select(chunk, "*").groupBy("chunk")).applyInPandas(_apply(k, with_text), RESULT)
     return found.withColumn("id", F.expr(f"nullif(id, {NO_ID})"))
