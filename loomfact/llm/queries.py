@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hpylm, packing, simhash_dedup, substring_dedup, toxicity
+from . import bpe, exact_dedup, hpylm, media, packing, rollups, simhash_dedup, substring_dedup, toxicity
+
+from .common import shared_dir, stored
 
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -29,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _media(n_bytes: int, data: bytes, declared: str):
+    payload = media.read_wav(data)
+    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), media.features(data, declared)
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return media.stored_texts(table(spark, sf_dir, "documents"), _media, schema)
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -60,6 +74,23 @@ def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document comes, English ones are counted anew by another tokenizer (sent twice), and those without words go."""
+    one, two = rollups.COUNTERS
+    docs = table(spark, sf_dir, "documents")
+    counts = stored(docs.select("source", "lang", rollups.count_tokens(F.col("text"), one).alias("one"), rollups.count_tokens(F.col("text"), two).alias("two")), "counts")
+    kept = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    kept.commit("001-ingest", rollups.events(counts, one, F.col("one"), +1))
+    english = F.col("lang").eqNullSafe("en")
+    recount = rollups.revised(counts.where(english), (one, F.col("one")), (two, F.col("two")))
+    kept.commit("002-recount", recount)
+    kept.compact()
+    kept.commit("002-recount", recount)
+    empty = counts.where(F.col("one") == 0)
+    kept.commit("003-empty", rollups.events(empty.where(english), two, F.col("two"), -1).unionByName(rollups.events(empty.where(~english), one, F.col("one"), -1)))
+    return kept.totals()
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the token capacity binds: as many documents as tokens, and the cost of one document that fills a sequence."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("fill")
@@ -82,7 +113,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_hpylm": op2_hpylm, "op4_packing": op4_packing, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_hpylm": op2_hpylm, "op3_token_rollups": op3_token_rollups, "op4_packing": op4_packing, "op5_media": op5_media, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -93,4 +124,14 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM t WINDOW w AS (PARTITION BY text_sha256)
         """,
+        "op3_token_rollups": r"""
+            WITH t AS (
+                SELECT source, lang, lang IS NOT DISTINCT FROM 'en' AS anew,
+                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS one,
+                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D.,;:!?]+|[.,;:!?]')) AS two
+                FROM documents)
+            SELECT source, lang, CASE WHEN anew THEN 'words-2' ELSE 'words-1' END AS tokenizer,
+                   count(*) AS n_docs, CAST(sum(CASE WHEN anew THEN two ELSE one END) AS BIGINT) AS n_tokens
+            FROM t WHERE one > 0 GROUP BY 1, 2, 3
+        """,
     }
