@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hpylm, media, packing, rollups, simhash_dedup, substring_dedup, toxicity
+from . import bpe, exact_dedup, hpylm, licenses, media, packing, rollups, simhash_dedup, substring_dedup, toxicity
 
 from .common import shared_dir, stored
 
@@ -43,6 +43,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"), _media, schema)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def remainder(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -113,7 +117,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_hpylm": op2_hpylm, "op3_token_rollups": op3_token_rollups, "op4_packing": op4_packing, "op5_media": op5_media, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_hpylm": op2_hpylm, "op3_token_rollups": op3_token_rollups, "op4_packing": op4_packing, "op5_media": op5_media, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_simhash": op8_simhash, "op9_substring": op9_substring, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
