@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import NO_ID, STEP_BYTES, Tokens, _powers, mix, ragged, shuffles, spread, steps, stored, whole
 from .simhash_dedup import joined_words
@@ -232,7 +233,7 @@ def cover(n_words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _chunked(chunks: int):
+def _chunked(carry: bool):
     """Whole texts, packed by chunk."""
 
     def run(batches):
@@ -240,6 +241,7 @@ def _chunked(chunks: int):
         for batch in batches:
             text = batch.column(3).cast(pa.large_binary())
             at, ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rest = batch.column(4).to_pylist() if carry else []
             for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), 2 * STEP_BYTES):
                 texts = text.slice(a, b - a).to_pylist()
                 order = np.argsort(at[a:b], kind="stable")
@@ -249,18 +251,19 @@ def _chunked(chunks: int):
                 made = [pa.array([int(at[a + r[0]]) for r in rows], pa.int32()), *(pa.array([v[a + r].tobytes() for r in rows], pa.binary()) for v in (ids, tags))]
                 made.append(pa.array([np.fromiter((len(texts[i]) for i in r.tolist()), np.int32, len(r)).tobytes() for r in rows], pa.binary()))
                 made.append(pa.array([press(b"".join(texts[i] for i in r.tolist())) for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(made, ["chunk", "ids", "tags", "sizes", "body"])
+                made.append(pa.array([[rest[i] for i in (a + r).tolist()] for r in rows] if carry else [None] * len(rows), pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(made, ["chunk", "ids", "tags", "sizes", "body", "rest"])
 
     return run
 
 
 def _unpack(part: pd.DataFrame):
-    """(id, tag, text) of each text of a chunk."""
+    """(id, tag, text, rest) of each text of a chunk."""
     plain = zstandard.ZstdDecompressor().decompress
-    for ids, tags, sizes, body in part[["ids", "tags", "sizes", "body"]].itertuples(index=False):
+    for ids, tags, sizes, body, rest in part[["ids", "tags", "sizes", "body", "rest"]].itertuples(index=False):
         body = plain(body) if body else b""
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        yield from zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(tags, np.int64).tolist(), (body[a:b] for a, b in zip([0, *ends], ends)))
+        yield from zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(tags, np.int64).tolist(), (body[a:b] for a, b in zip([0, *ends], ends)), rest if rest is not None else [None] * len(ends))
 
 
 def _apply(k: int, with_text: bool):
@@ -273,7 +276,7 @@ def _apply(k: int, with_text: bool):
             of = {tuple(key[i].tolist()): (i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)])}
             start, n = flags["start"].to_numpy(np.int64), flags["n"].to_numpy(np.int64)
         out = []
-        for i, tag, text in _unpack(docs):
+        for i, tag, text, rest in _unpack(docs):
             words = text.split()  # of bytes: splits at the six white-space bytes only
             gone = 0
             if found := of.get((i, tag)):
@@ -281,26 +284,40 @@ def _apply(k: int, with_text: bool):
                 gone = int(drop.sum())
                 words = [w for w, x in zip(words, drop.tolist()) if not x]
             kept = b" ".join(words)
-            out.append((i, tag, len(words) + gone, gone, kept.decode() if with_text and gone else None, hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(out, columns=["id", "tag", "n_words", "n_removed", "kept_text", "kept_sha256"])
+            out.append((i, tag, len(words) + gone, gone, (kept if gone else text).decode() if with_text else None, hashlib.sha256(kept).hexdigest(), rest))
+        return pd.DataFrame(out, columns=["id", "tag", "n_words", "n_removed", "kept_text", "kept_sha256", "rest"])
 
     return run
 
 
-RESULT = "id bigint, tag bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string"
+RESULT = "id bigint, tag bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, rest string"
 
 
 def substring_dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_text, kept_sha256 (and tag, a hash of the text).
 
-    kept_text is null unless with_text, and where nothing was removed.
+    With with_text, kept_text is what is left (the text as it was where nothing was
+    removed), and rest has the row's other columns as JSON; else both are null.
     """
     text = whole(F.col(text_col))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
+    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"), F.to_json(F.struct(*others)).alias("rest") if others else F.lit(None).cast("string").alias("rest"))
     total = text_bytes(rows)
     flags = stored(repeated_windows(spread(rows), k, m, total), "repeats")
     chunks = max(6 * shuffles(docs.sparkSession), -(-total // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
-    packed = rows.select(chunk, "id", "tag", "text").mapInArrow(_chunked(chunks), "chunk int, ids binary, tags binary, sizes binary, body binary")
+    packed = rows.select(chunk, "id", "tag", "text", "rest").mapInArrow(_chunked(bool(others)), "chunk int, ids binary, tags binary, sizes binary, body binary, rest array<string>")
     found = packed.groupBy("chunk").cogroup(flags.select(chunk, "*").groupBy("chunk")).applyInPandas(_apply(k, with_text), RESULT)
     return found.withColumn("id", F.expr(f"nullif(id, {NO_ID})"))
+
+
+def without_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, their texts without repeats (and size_col, if there is one, counted anew)."""
+    found = substring_dedup(docs, k, m, True, id_col, text_col)
+    others = [f for f in docs.schema if f.name not in (id_col, text_col)]
+    if others:
+        found = found.withColumn("rest", F.from_json("rest", StructType(others)))
+    made = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("kept_text")} | {f.name: F.col("rest")[f.name] for f in others}
+    if size_col in made:
+        made[size_col] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(made[size_col]).cast(docs.schema[size_col].dataType)
+    return found.select(*[made[c].alias(c) for c in docs.columns])
