@@ -18,9 +18,11 @@ special token is that token, as the library has it by default; other columns are
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -28,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, spread, steps, whole
+from .common import Tokens, mix, ragged, spread, steps, whole
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Fixed value: the characters with Unicode's White_Space property.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: Fixed value: the characters with Unicode's White_Space property, as a class of a pattern; those of ASCII first.
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _UNIT_ASCII = re.compile("[\t\n\x0b\x0c\r ]*[^\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r ]+")
 #: Characters of a leaf; tokens that a first window takes from either side; longer pre-tokens are joined by tokens.
 LEAF, WINDOW, LONG = 32_768, 16, 2_048
 #: Units that an encoder keeps, and their characters in all.
-KEPT, KEPT_CHARS = 400_000, 8_000_000
+KEPT, KEPT_CHARS = 1_200_000, 24_000_000
+_WIDE_SPACE = re.compile("[" + WHITE.split(" ")[1] + "]")
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class UnitEncoder:
@@ -76,59 +80,151 @@ class UnitEncoder:
             return "".join(map(self.char.__getitem__, word.lower().encode()))
         return "".join(map(self.char.__getitem__, unit.encode()))
 
-    def _encode_units(self, new: list[str]) -> list[list[int]]:
+    def _encode_new(self, new: list[bytes]) -> list[list[int]]:
+        """Ids of units; a plain word, and a plain word before plain punctuation, straight from the model."""
         made: list = [None] * len(new)
         rest = []
         tokenize = self.tokenizer.model.tokenize
+        word_kind, marks = self.kind == "word", self.marks if self.kind else {}
         for i, unit in enumerate(new):
-            word = self._word(unit) if self.kind else None
+            mark = marks.get(unit[-1])
+            body = unit[:-1] if mark else unit
+            if word_kind and body.isalpha():
+                word = body.lower().decode()
+            elif body[:1] == b" " and body[1:].isalpha() and not word_kind and marks:
+                word = "\u0120" + body[1:].decode()
+            else:
+                word = self._word(body.decode()) if marks and body else None
             if word is None:
                 rest.append(i)
             else:
                 made[i] = [t.id for t in tokenize(word)]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+                if mark:
+                    made[i] += mark
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False)):
             made[i] = e.ids
         return made
 
     def _reset(self) -> None:
-        self.units: dict[str, int] = {}
-        self.chars = 0
-        self.arena = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        made = self._encode_units(new)
-        lengths = np.fromiter(map(len, made), np.int64, len(made))
-        base = len(self.arena)
-        self.start = np.concatenate([self.start, base + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.arena = np.concatenate([self.arena, np.fromiter((i for x in made for i in x), np.int32, int(lengths.sum()))])
-        n = len(self.units)
+        self.units: dict[bytes, int] = {}
+        self.chars = self.used = 0
+        self.arena = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.length = np.zeros(1 << 14, np.int32)
+        self.marks = {ord(c): self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
+
+    def _learn(self, new: list[bytes]) -> None:
+        made = self._encode_new(new)
+        lengths = np.fromiter(map(len, made), np.int32, len(made))
+        n, total = len(self.units), int(lengths.sum())
+        self.arena, self.start, self.length = _room(self.arena, self.used + total), _room(self.start, n + len(new)), _room(self.length, n + len(new))
+        self.arena[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
+        self.length[n : n + len(new)] = lengths
+        self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
+        self.used += total
         self.units.update(zip(new, range(n, n + len(new))))
         self.chars += sum(map(len, new))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text."""
-        units: list[str] = []
-        counts = []
-        for t in texts:
-            own = (_UNIT_ASCII if t.isascii() else _UNIT).findall(t)
-            counts.append(len(own))
-            units += own
-        # a later step may ask for units that were dropped when the store was full
-        new = set(units) - self.units.keys()
-        if new:
-            if len(self.units) + len(new) > KEPT or self.chars > KEPT_CHARS:
-                self._reset()
-                new = set(units)
-            self._learn(list(new))
-        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
-        lengths = self.length[at]
-        ids = self.arena[ragged(self.start[at], lengths)]
+        collects = gc.isenabled()
+        gc.disable()  # so many small objects, and no cycles among them
+        try:
+            odd = [] if self.kind == "word" else [i for i, t in enumerate(texts) if not t.isascii() and _WIDE_SPACE.search(t)]
+            if not odd:
+                return self._encode_plain(texts)
+            # white space of several bytes: units come from the slower pattern
+            made: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+            plain = sorted(set(range(len(texts))) - set(odd))
+            ids, sizes = self._encode_plain([texts[i] for i in plain])
+            for i, x in zip(plain, np.split(ids, np.cumsum(sizes)[:-1])):
+                made[i] = x
+            for i in odd:
+                made[i] = self.encode_units([u.encode() for u in _UNIT.findall(texts[i])])[0]
+            return np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts whose white space is ASCII; in a word vocabulary, any."""
+        tok = Tokens([t.encode() for t in texts])
+        start, end, count = tok.lo, tok.hi, tok.count
+        if self.kind != "word":
+            # a unit takes in the white space before its word; what ends a text stands alone
+            before = np.concatenate([[0], end[:-1]]) if len(end) else end
+            opens = tok.first[:-1][count > 0]
+            before[opens] = tok.at[:-1][count > 0]
+            tail = tok.at[:-1].copy()
+            tail[count > 0] = end[tok.first[1:][count > 0] - 1]
+            close = tok.at[1:] - 1
+            tails = np.flatnonzero(tail < close)
+            place = tok.first[1:][tails]
+            start, end = np.insert(before, place, tail[tails]), np.insert(end, place, close[tails])
+            count = count.copy()
+            count[tails] += 1
+        at = self._known(tok.data, start, end)
+        lengths = self.length[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        docs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        return ids, np.diff(ends[docs])
+        docs = np.concatenate([[0], np.cumsum(count)])
+        return self.arena[ragged(self.start[at], lengths)], np.diff(ends[docs])
+
+    def _known(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of the unit in each byte range; those of up to 16 bytes are told apart by their first and last eight."""
+        n = end - start
+        padded = data + bytes(16)
+        loads = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+        head = loads[start] & _MASK[np.minimum(n, 8)]
+        tail = np.where(n > 8, loads[np.maximum(end - 8, 0)], np.uint64(0))
+        h = mix(head ^ mix(tail + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        # equal hashes of unequal units, and longer units, are looked up one by one
+        _, first, group = np.unique(h, return_index=True, return_inverse=True)
+        lead = first[group]
+        same = (n <= 16) & (n == n[lead]) & (head == head[lead]) & (tail == tail[lead])
+        single = np.flatnonzero(~same)
+        # hashes that only long units have need no lookup of their own
+        some = np.flatnonzero(n[first] <= 16)
+        asked = np.concatenate([first[some], single])
+        units = [data[a:b] for a, b in zip(start[asked].tolist(), end[asked].tolist())]
+        found = self._numbers(units)
+        at = np.empty(len(first), np.int64)
+        at[some] = found[: len(some)]
+        out = at[group]
+        out[single] = found[len(some) :]
+        return out
+
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each unit."""
+        at = self._numbers(units)
+        lengths = self.length[at].astype(np.int64)
+        return self.arena[ragged(self.start[at], lengths)], lengths
+
+    def _numbers(self, units: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.units.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(units[i] for i in missing))
+            if len(self.units) + len(new) > KEPT or self.chars > KEPT_CHARS:
+                self._keep([u for u in set(units) if u in self.units])
+                missing = range(len(units))
+            self._learn(new)
+            at[missing] = np.fromiter((self.units[units[i]] for i in missing), np.int64, len(missing))
+        return at
+
+    def _keep(self, some: list[bytes]) -> None:
+        """Forgets all units but some, which the present step uses."""
+        at = np.fromiter(map(self.units.__getitem__, some), np.int64, len(some))
+        lengths = self.length[at].astype(np.int64)
+        self.arena, self.length = self.arena[ragged(self.start[at], lengths)], self.length[at]
+        self.start = np.cumsum(lengths) - lengths
+        self.used = int(lengths.sum())
+        self.units = dict(zip(some, range(len(some))))
+        self.chars = sum(map(len, some))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n entries, at least doubled if it grows."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -200,10 +296,23 @@ def _scan(path: str, text: str) -> list[tuple[int, int]]:
 
 
 def encode_piece(path: str, text: str) -> Piece:
-    """One leaf."""
-    spans = _scan(path, text)
-    made = encoder(path).tokenizer.encode_batch_fast([text[a:b] for a, b in spans], add_special_tokens=False)
-    return Piece(text, [b for _, b in spans], [e.ids for e in made])
+    """One leaf.  Away from its ends, whole units stand for their pre-tokens."""
+    enc = encoder(path)
+    if enc.special and enc.special.search(text):
+        spans = _scan(path, text)
+        ids, sizes = enc.encode_units([text[a:b].encode() for a, b in spans]) if spans else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        return Piece(text, [b for _, b in spans], cut(ids, sizes))
+    units = (_UNIT_ASCII if text.isascii() else _UNIT).findall(text)
+    parts: list[str] = []
+    for k, unit in enumerate(units):
+        parts += [unit] if 2 <= k < len(units) - 2 else [unit[a:b] for a, b in _scan(path, unit)]
+    ids, sizes = enc.encode_units([x.encode() for x in parts])
+    return Piece(text, np.cumsum([len(x) for x in parts]).tolist(), cut(ids, sizes))
+
+
+def cut(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    flat, ends = ids.tolist(), np.cumsum(sizes).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _merge_tokens(path: str, left: list[int], right: list[int]) -> list[int]:
@@ -329,8 +438,7 @@ def _tree(path: str, finish, names: list[str]):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         pieces = []
         for text, ends, sizes, ids in part.sort_values("leaf")[["text", "ends", "sizes", "ids"]].itertuples(index=False):
-            cuts = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
-            pieces.append(Piece(text, np.frombuffer(ends, np.int32).tolist(), [x.tolist() for x in np.split(np.frombuffer(ids, np.int32), cuts)]))
+            pieces.append(Piece(text, np.frombuffer(ends, np.int32).tolist(), cut(np.frombuffer(ids, np.int32), np.frombuffer(sizes, np.int32))))
         made = finish([np.array(concatenate(path, pieces).flat(), np.int32)], path)
         out = pd.DataFrame({"id": part["id"].iloc[:1].to_numpy(), **{n: x.to_pylist() for n, x in zip(names, made)}})
         return out.loc[out.index.repeat(int(part["copies"].iloc[0]))]
