@@ -354,8 +354,9 @@ def score(docs: DataFrame, held_out=is_held_out, contexts: int = CONTEXTS, sweep
     state = stored(asked.groupBy("shard").applyInPandas(_gather(restaurants), STATE), "seating")
 
     def totals() -> Totals:
-        sums = state.select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-        return Totals([r["x"] for r in sums] or [0.0] * (2 * restaurants + 7), restaurants)
+        size = 2 * restaurants + 7
+        row = state.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(size)]).first()
+        return Totals(list(row), restaurants)
 
     now, counted = totals(), []
     for k in range(sweeps):
