@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, mix, ragged, spread, steps, whole
+from .common import NO_ID, Tokens, mix, ragged, spread, steps, whole
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -459,8 +459,9 @@ def encode_table(docs: DataFrame, path: str, finish=_plain, schema: str = ENCODE
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text"))
     short = spread(rows).where(F.length("text") <= leaf).mapInArrow(_short(path, finish, names), schema)
     # rows that share id and text are encoded once
-    long = rows.where(F.length("text") > leaf).select("id", F.xxhash64("text").alias("tag"), F.lit(1).cast("bigint").alias("copies"), "text")
+    long = rows.where(F.length("text") > leaf).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), F.lit(1).cast("bigint").alias("copies"), "text")
     part = long.mapInArrow(_halves, "id bigint, tag bigint, leaf int, copies bigint, text string")
     part = part.groupBy("id", "tag", "leaf").agg(F.sum("copies").alias("copies"), F.first("text").alias("text")).select("id", "tag", "leaf", "copies", "text")
     done = part.mapInArrow(_leaf(path), "id bigint, tag bigint, leaf int, copies bigint, text string, ends binary, sizes binary, ids binary")
-    return short.unionByName(done.groupBy("id", "tag").applyInPandas(_tree(path, finish, names), schema))
+    joined = done.groupBy("id", "tag").applyInPandas(_tree(path, finish, names), schema)
+    return short.unionByName(joined.withColumn("id", F.expr(f"nullif(id, {NO_ID})")))

@@ -58,6 +58,12 @@ def _unzip(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind) if x else np.zeros(0, kind)
 
 
+def _by_word(x: bytes, n: int) -> np.ndarray:
+    """A packed table with a row for each of n words."""
+    flat = _unzip(x, np.float32)
+    return flat.reshape(n, len(flat) // n if n else 0)
+
+
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
@@ -246,7 +252,7 @@ def _sweep(totals: Totals, seed: int, contexts: int, average: bool):
                 rng = np.random.default_rng([seed, row["shard"]])
                 words, pairs, ctx = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint8), np.frombuffer(row["ctx"], np.uint8)
                 n, tables, seated = _unzip(row["n"], np.int64), _unzip(row["tables"], np.int32), _unzip(row["seated"], np.float32)
-                parent = _unzip(row["parent"], np.float32).reshape(len(words), -1)
+                parent = _by_word(row["parent"], len(words))
                 at = np.repeat(np.arange(len(words)), pairs)
                 guests = np.bincount(at, tables, minlength=len(words)).astype(np.int64)
                 own = seat(rng, guests, np.full(len(words), totals.unknown()), totals.discount[1])
@@ -280,7 +286,7 @@ def _answer(sweeps: list[tuple[Totals, Totals]], final: Totals):
             held, hc = _spelled(row)
             vocab, pairs = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint8)
             n, seated = _unzip(row["n"], np.int64), _unzip(row["seated"], np.float32)
-            parent = _unzip(row["parent"], np.float32).reshape(len(vocab), -1)[:, 1:]
+            parent = _by_word(row["parent"], len(vocab))[:, 1:]
             count = np.bincount(np.repeat(np.arange(len(vocab)), pairs), n, minlength=len(vocab)).astype(np.int64)
             start = np.cumsum(pairs.astype(np.int64)) - pairs
         else:

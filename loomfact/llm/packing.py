@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import spread, steps, stored, whole
+from .common import NO_ID, spread, steps, stored, whole
 
 TOKENS = 2_048
 #: Pieces of a group, on average at most.
@@ -121,7 +121,8 @@ def pack(made: DataFrame, most: int = TOKENS, max_docs: int | None = None, max_c
     if rule not in ("dot", "norm"):
         raise ValueError("rule is dot or norm")
     max_docs, max_cost = max_docs or most, max_cost or float(most) ** 2
-    made = stored(made, "pieces")
+    # pandas would turn ids with nulls among them into floating point
+    made = stored(made.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "pieces")
     if made.where(F.col("length").cast("double") ** 2 > max_cost).limit(1).count():
         raise ValueError("a piece alone exceeds the attention cost of a sequence")
     cols = made.columns
@@ -133,7 +134,7 @@ def pack(made: DataFrame, most: int = TOKENS, max_docs: int | None = None, max_c
 
     first = stored(round_of(made, 0), "packed")
     again = round_of(first.where(F.col("fill") < WELL_FILLED).select(*cols), 1 << 61)
-    return first.where(F.col("fill") >= WELL_FILLED).unionByName(again)
+    return first.where(F.col("fill") >= WELL_FILLED).unionByName(again).withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID})"))
 
 
 def pack_documents(docs: DataFrame, path: str, most: int = TOKENS, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
