@@ -87,11 +87,14 @@ def read_facts(spark: SparkSession, path: str, fact_type: str, schema: StructTyp
 
         for batch in batches:
             found = [parse_fact(x or "") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f[1]) for f in found if f and f[0] == fact_type])], ["fact"])
+            own = [f[1] for f in found if f and f[0] == fact_type]
+            kind = lambda v: 0 if v is None else 1 if isinstance(v, bool) else 2 if isinstance(v, float) else 3
+            kinds = [list({k: kind(v) for k, v in f.items()}.items()) for f in own]
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(f) for f in own], pa.string()), pa.array(kinds, pa.map_(pa.string(), pa.int32()))], ["fact", "kinds"])
 
-    lines = spark.read.text(path).mapInArrow(parsed, "fact string")
+    lines = spark.read.text(path).mapInArrow(parsed, "fact string, kinds map<string,int>")
     if schema is None:
-        kinds = lines.select(F.explode(F.from_json("fact", "map<string,string>")).alias("k", "v"), "fact").groupBy("k").agg(F.max(F.when(F.col("v").isNull(), 0).when(F.col("v").isin("true", "false"), 1).when(F.col("v").rlike(r"^-?\d+(\.\d+)?$"), 2).otherwise(3)).alias("t")).orderBy("k").collect()
+        kinds = lines.select(F.explode("kinds").alias("k", "t")).groupBy("k").agg(F.max("t").alias("t")).orderBy("k").collect()
         schema = StructType([StructField(r["k"], {1: BooleanType(), 2: DoubleType()}.get(r["t"], StringType())) for r in kinds])
     return lines.select(F.from_json("fact", schema).alias("f")).select("f.*")
 
