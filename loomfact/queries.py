@@ -560,7 +560,7 @@ def generalised_fact(spark, sf_dir):
     return hierarchy.generalised(left, right, ["k"], ["p_size"], ["p_partkey", "p_type"]).select("p_partkey", "p_type", F.col("p_size.min").alias("low"), F.col("p_size.max").alias("high"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(value AS BIGINT) % 50 AS b FROM events WHERE event_type = 'purchase'), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a, b FROM reach")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(floor(value) AS BIGINT) % 50 AS b FROM events WHERE event_type = 'purchase'), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a, b FROM reach")
 def reachable(spark, sf_dir):
     e = Tables(spark, sf_dir).events.where("event_type = 'purchase'").select(F.col("user_id").alias("a"), (F.floor("value") % 50).alias("b")).distinct()
     p = Program({"edge": e})
