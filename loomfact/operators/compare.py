@@ -119,6 +119,15 @@ def compare_pairs(df: DataFrame, left: str, right: str, algorithm: str = "semant
     return df.withColumns({"similarity": score, "difference": 1 - score, "differences": c.differences, "matched": score >= threshold})
 
 
+def check_difference(df: DataFrame, left: str, right: str) -> DataFrame:
+    return compare_pairs(df, left, right).drop("similarity", "matched")
+
+
+def are_similar(a: Column, b: Column, schema: DataType, threshold: float = 0.8) -> Column:
+    """Whether two records of one schema score at least the threshold."""
+    return compare(a, b, schema, schema).score >= threshold
+
+
 def near(df: DataFrame, left: str, right: str, threshold: float = 0.8) -> DataFrame:
     return compare_pairs(df, left, right, threshold=threshold).where("matched")
 

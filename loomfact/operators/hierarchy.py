@@ -94,6 +94,14 @@ def highest_common_ancestors(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     return _extreme(pairs, closed, False)
 
 
+def ancestor_analysis(pairs: DataFrame, closed: DataFrame) -> DataFrame:
+    """(l, r, ancestor, distance, lowest, highest): every common ancestor of each pair, and which of them are extreme."""
+    common = _two(pairs, closed).select("l", "r", "ancestor", (F.col("dl") + F.col("dr")).alias("distance"))
+    for name, found in (("lowest", lowest_common_ancestors(pairs, closed)), ("highest", highest_common_ancestors(pairs, closed))):
+        common = common.join(found.withColumn(name, F.lit(True)), ["l", "r", "ancestor"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return common
+
+
 def is_ancestor(pairs: DataFrame, closed: DataFrame) -> DataFrame:
     """(ancestor, descendant) pairs with whether it holds; a type is its own ancestor."""
     known = closed.select("ancestor", "descendant", F.lit(True).alias("_hit"))

@@ -114,6 +114,13 @@ class FactSession:
         df = self.scan(fact_type)
         return df.where(test(df))
 
+    def materialize(self, selection: DataFrame) -> DataFrame:
+        """The selection with its rows kept by the executors from its first use on."""
+        return selection.persist()
+
+    def release(self, selection: DataFrame) -> None:
+        selection.unpersist()
+
     def each(self, fact_type: str, value, name: str = "value") -> DataFrame:
         """lambda(Type, x => value): one result for each fact; nulls, which stand for failure, are dropped."""
         df = self.scan(fact_type)

@@ -61,6 +61,21 @@ def test_hierarchy(spark):
     assert {r.ancestor for r in got.collect()} == {"a", "b"}
 
 
+def test_ancestor_analysis(spark):
+    closed = hierarchy.closure(spark.createDataFrame(EDGES, "child string, parent string"))
+    got = hierarchy.ancestor_analysis(spark.createDataFrame([("cat", "dog")], "l string, r string"), closed).collect()
+    assert {(r.ancestor, r.distance, r.lowest, r.highest) for r in got} == {("mammal", 4, True, False), ("animal", 6, False, True)}
+
+
+def test_sql_functions(spark):
+    from loomfact.functions.sql import register
+
+    assert "membership" in register(spark)
+    for args, want in (((68, 75, 50, 90), 0.696947396356321), ((75, 75, 50, 90), 1), ((90, 75, 50, 90), 0.01), ((5, 5, 5, 5), 1), ((6, 5, 5, 5), 0), ((90, 75, 75, 90), 0.01), ((60, 75, 60, 75), 0.01)):
+        assert spark.sql("SELECT membership({}D, {}D, {}D, {}D)".format(*args)).first()[0] == pytest.approx(want, abs=1e-12)
+    assert spark.sql("SELECT similar_numbers(b => 3D, a => 1D)").first()[0] == pytest.approx(1 / 3)
+
+
 def test_logic(spark):
     t = lambda data, schema: spark.createDataFrame(data, schema)
     p = Program({"color": t([("red",), ("green",)], "value string"), "shape": t([("box",), ("ball",)], "value string"), "pair": t([("red", "red"), ("green", "green"), ("red", "green"), (None, None)], "left string, right string"), "bird": t([("tweety",), ("opus",)], "name string"), "penguin": t([("opus",)], "name string"), "route": t([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "start string, stop string"), "blocked": t([("c", "d")], "start string, stop string")})
