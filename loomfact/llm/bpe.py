@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Tokens, mix, ragged, spread, steps, whole
+from .common import frugal, mix, NO_ID, ragged, spread, steps, Tokens, whole
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -41,7 +41,7 @@ _UNIT_ASCII = re.compile("[\t\n\x0b\x0c\r ]*[^\t\n\x0b\x0c\r ]+|[\t\n\x0b\x0c\r
 #: Characters of a leaf; tokens that a first window takes from either side; longer pre-tokens are joined by tokens.
 LEAF, WINDOW, LONG = 32_768, 16, 2_048
 #: Units that an encoder keeps, and their characters in all.
-KEPT, KEPT_CHARS = 1_200_000, 24_000_000
+KEPT, KEPT_CHARS = 500_000, 10_000_000
 _WIDE_SPACE = re.compile("[" + WHITE.split(" ")[1] + "]")
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -111,6 +111,8 @@ class UnitEncoder:
         self.arena = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int32)
+        #: Steps that used a unit, halved whenever the store was full.
+        self.hits = np.zeros(1 << 14, np.int32)
         self.marks = {ord(c): self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,;:!?"}
 
     def _learn(self, new: list[bytes]) -> None:
@@ -118,6 +120,7 @@ class UnitEncoder:
         lengths = np.fromiter(map(len, made), np.int32, len(made))
         n, total = len(self.units), int(lengths.sum())
         self.arena, self.start, self.length = _room(self.arena, self.used + total), _room(self.start, n + len(new)), _room(self.length, n + len(new))
+        self.hits = _room(self.hits, n + len(new))
         self.arena[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
         self.length[n : n + len(new)] = lengths
         self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
@@ -205,17 +208,21 @@ class UnitEncoder:
         if missing:
             new = list(dict.fromkeys(units[i] for i in missing))
             if len(self.units) + len(new) > KEPT or self.chars > KEPT_CHARS:
-                self._keep([u for u in set(units) if u in self.units])
+                self._keep(set(units))
                 missing = range(len(units))
             self._learn(new)
             at[missing] = np.fromiter((self.units[units[i]] for i in missing), np.int64, len(missing))
+        self.hits[at] += 1
         return at
 
-    def _keep(self, some: list[bytes]) -> None:
-        """Forgets all units but some, which the present step uses."""
+    def _keep(self, asked: set[bytes]) -> None:
+        """Forgets all units but those that the present step uses, and, up to half the store, those that most steps used."""
+        hits = self.hits[: len(self.units)]
+        often = max(2, int(np.partition(hits, -(KEPT // 2))[-(KEPT // 2)]) + 1) if len(hits) > KEPT // 2 else 2
+        some = [u for u, x in zip(self.units, (hits >= often).tolist()) if x or u in asked]
         at = np.fromiter(map(self.units.__getitem__, some), np.int64, len(some))
         lengths = self.length[at].astype(np.int64)
-        self.arena, self.length = self.arena[ragged(self.start[at], lengths)], self.length[at]
+        self.arena, self.length, self.hits = self.arena[ragged(self.start[at], lengths)], self.length[at], self.hits[at] // 2
         self.start = np.cumsum(lengths) - lengths
         self.used = int(lengths.sum())
         self.units = dict(zip(some, range(len(some))))
@@ -408,6 +415,7 @@ def _plain(ids: list[np.ndarray], path: str) -> list[pa.Array]:
 
 
 def _short(path: str, finish, names: list[str]):
+    @frugal
     def run(batches):
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())
@@ -421,6 +429,7 @@ def _short(path: str, finish, names: list[str]):
 
 
 def _leaf(path: str):
+    @frugal
     def run(batches):
         for batch in batches:
             rows = batch.to_pylist()
@@ -446,6 +455,7 @@ def _tree(path: str, finish, names: list[str]):
     return run
 
 
+@frugal
 def _halves(batches):
     for batch in batches:
         for row in batch.to_pylist():

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id while ids travel as plain 64-bit numbers.
 NO_ID = -(1 << 63)
 #: UTF-8 bytes of text that one vectorised step holds at most, single longer texts aside.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Rows that Spark hands to a Python worker at a time; its default of 10,000 long texts would not fit beside their arrays.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +52,33 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _libc(name: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+# Workers live as long as their executor.  Freed arrays go back to the system, not to a store of
+# the allocator's: fixed values M_TRIM_THRESHOLD (-1), M_MMAP_THRESHOLD (-3) and M_ARENA_MAX (-8).
+for _option, _value in ((-1, 8 << 20), (-3, 4 << 20), (-8, 2)):
+    _libc("mallopt", _option, _value)
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def frugal(run):
+    """A generator of a Python worker that gives its memory back when it ends: idle workers of an executor keep theirs else."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _libc("malloc_trim", 0)
+
+    return wrapped
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,7 +89,10 @@ def whole(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out anew where a small file would leave most cores idle; larger inputs keep their own splits."""
+    """Texts on their way to Python workers: sets the size of batches, and deals rows out anew where a small file would leave most cores idle; larger inputs keep their own splits."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10_000):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
@@ -129,7 +164,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES + (64 << 10))
+        size = max(n, 1 << 20, 5 * len(_POWERS[0]) // 4)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             made = np.full(size, base, np.uint64)
             made[0] = 1

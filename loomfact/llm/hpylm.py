@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, forget, shuffles, spread, steps, stored, whole
+from .common import forget, frugal, shuffles, spread, steps, stored, Tokens, whole
 
 #: Context words; sweeps, the first of which isn't averaged; words of a piece that may become contexts.
 CONTEXTS, SWEEPS, CANDIDATES = 32, 4, 2_048
@@ -95,6 +95,7 @@ def contexts_of(h: np.ndarray, doc: np.ndarray, first: np.ndarray, words: np.nda
 
 
 def _pieces(held_out):
+    @frugal
     def run(batches):
         serial = 0
         base = TaskContext.get().partitionId() << 32
@@ -157,6 +158,7 @@ def _runs(words: np.ndarray) -> np.ndarray:
 
 
 def _ask(words: np.ndarray, shards: int):
+    @frugal
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -246,6 +248,7 @@ class Totals:
 
 
 def _sweep(totals: Totals, seed: int, contexts: int, average: bool):
+    @frugal
     def run(batches):
         for part in batches:
             for _, row in part.iterrows():

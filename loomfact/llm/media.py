@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, steps, whole
+from .common import frugal, spread, steps, whole
 
 #: Magic bytes of each type.
 MAGIC = {
@@ -254,6 +254,7 @@ SNIFFED = "id bigint, declared string, type string, corrected boolean, length bi
 def sniff_table(media: DataFrame, id_col: str = "id", data_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """One row per row of media: its real type, whether that corrects the declared one, its length, and the files carved from it."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             out = []
@@ -270,6 +271,7 @@ def stored_texts(docs: DataFrame, finish, schema: str, unit: int = 576, declared
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64() if x.split()[1] == "bigint" else pa.string() if x.split()[1] == "string" else pa.binary() for x in schema.split(", ")]
 
+    @frugal
     def run(batches):
         for batch in batches:
             text = batch.column(1).cast(pa.large_binary())

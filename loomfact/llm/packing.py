@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import NO_ID, spread, steps, stored, whole
+from .common import frugal, NO_ID, spread, steps, stored, whole
 
 TOKENS = 2_048
 #: Pieces of a group, on average at most.
@@ -39,6 +39,7 @@ PACKED = PIECES + ", sequence_id bigint, offset bigint, fill double"
 
 
 def _pieces(path: str, most: int, end_id: int):
+    @frugal
     def run(batches):
         for batch in batches:
             text = batch.column(1).cast(pa.large_string())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, forget, ragged, shuffles, spread, steps, stored, whole
+from .common import forget, frugal, ragged, shuffles, spread, steps, stored, Tokens, whole
 from .graph import components
 
 SEED = 42
@@ -90,6 +90,7 @@ def majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+@frugal
 def _fingerprint_batches(batches):
     for batch in batches:
         text = batch.column(1).cast(pa.large_binary())
@@ -181,6 +182,7 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
 def _pack(shards: int):
     """Keys of a batch of distinct fingerprints, a row for each shard: keys and fingerprints, filed ones first."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
