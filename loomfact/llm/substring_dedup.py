@@ -8,7 +8,11 @@ and start, and every window is compared with the first of its hash, byte by byte
 
 Before that, each step of a map task sends equal super-k-mers once only, from where they
 start first; the other copies are settled on the spot.  A passage that is in a third of
-all documents thus reaches its shard once for each step.
+all documents thus reaches its shard once for each step.  The windows around such a
+passage differ but share its minimisers.  So a first pass over all texts counts
+minimisers, and the windows of those with more than one in ``HOT`` of all super-k-mers
+(fewer than ``HOT`` minimisers, whatever the input) travel one by one, each to the shard
+of its own hash, where equal windows meet just as well.
 
 Defined results: null text has no words; fewer than k words, nothing removed; a null id
 ranks before all others; rows that share id and text are one document, so that neither
@@ -28,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import NO_ID, STEP_BYTES, Tokens, _powers, mix, ragged, shuffles, spread, steps, stored, whole
+from .common import frugal, mix, NO_ID, _powers, ragged, shuffles, spread, STEP_BYTES, steps, stored, Tokens, whole
 from .simhash_dedup import joined_words
 
 K, M = 20, 3
+#: A minimiser with more than this part of all super-k-mers is hot; minimisers of a step that are counted.
+HOT, COUNTED = 4_096, 1_024
 #: zstd level of what travels.
 LEVEL = 3
 #: Bytes of packed strings that a shard gets, and of text that a chunk gets, on average at most.
@@ -76,12 +82,44 @@ FLAGS = "id bigint, tag bigint, start int, n int"
 _FLAG = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
-def _send(k: int, m: int, shards: int):
+def _minimisers(k: int, m: int):
+    """How often each step's most frequent minimisers occur, and, without a minimiser, how many super-k-mers it has."""
+
+    @frugal
+    def run(batches):
+        for batch in batches:
+            text = batch.column(0).cast(pa.large_binary())
+            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])):
+                tok = Tokens(text.slice(a, b - a).to_pylist())
+                low, n = np.unique(super_kmers(tok, tok.hashes(), k, m)[2], return_counts=True)
+                some = np.flatnonzero(n > 1)
+                some = some[np.lexsort([low[some], -n[some]])[:COUNTED]]
+                yield pa.RecordBatch.from_arrays([pa.array([None, *low[some].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[some].tolist()], pa.int64())], ["low", "n"])
+
+    return run
+
+
+def hot_minimisers(rows: DataFrame, k: int, m: int) -> np.ndarray:
+    """Minimisers of more than 1 / HOT of all super-k-mers, in order."""
+    counts = stored(rows.select("text").mapInArrow(_minimisers(k, m), "low bigint, n bigint").groupBy("low").agg(F.sum("n").alias("n")), "minimisers")
+    total = counts.where("low is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where(F.col("low").isNotNull() & (F.col("n") * HOT > total)).select("low").collect()
+    return np.sort(np.array([r["low"] for r in found], np.int64).view(np.uint64))
+
+
+def _send(k: int, m: int, shards: int, hot: np.ndarray):
     def step(ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> pa.RecordBatch | None:
         tok = Tokens(texts)
-        first, n, low = super_kmers(tok, tok.hashes(), k, m)
+        h = tok.hashes()
+        first, n, low = super_kmers(tok, h, k, m)
         if not len(first):
             return None
+        single = np.isin(low, hot)
+        if single.any():
+            alone = ragged(first[single], n[single])
+            first, n, low = (np.concatenate([x[~single], y]) for x, y in ((first, alone), (n, np.ones(len(alone), np.int64)), (low, window_hashes(h, k)[alone])))
+            order = np.argsort(first)
+            first, n, low = first[order], n[order], low[order]
         data, lo, hi = joined_words(tok, tok.data)
         doc = tok.doc[first]
         start = first - tok.first[doc]
@@ -94,9 +132,11 @@ def _send(k: int, m: int, shards: int):
         send = np.flatnonzero(lead == np.arange(len(parts)))
         told = np.flatnonzero(copy)
         at = (low % np.uint64(shards)).astype(np.int32)
+        # what is settled needs no meeting place: it goes where its document's id leads
+        at[told] = (mix(ids[doc[told]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
         # like next to like, for the compressor
         send, told = send[np.lexsort([low[send], at[send]])], told[np.argsort(at[told], kind="stable")]
-        every = np.unique(at)
+        every = np.unique(np.concatenate([at[send], at[told]]))
         a, b = np.searchsorted(at[send], [every, every + 1])
         c, d = np.searchsorted(at[told], [every, every + 1])
         done = np.empty(len(told), _FLAG)
@@ -114,6 +154,7 @@ def _send(k: int, m: int, shards: int):
             cols["done"].append(done[z:w].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(every, pa.int32()), *(pa.array(v, pa.binary()) for v in cols.values())], schema=_OUT)
 
+    @frugal
     def run(batches):
         for batch in batches:
             order = np.lexsort([batch.column(0).to_numpy(zero_copy_only=False)])
@@ -218,7 +259,8 @@ def repeated_windows(rows: DataFrame, k: int = K, m: int = M, total: int | None
     spark = rows.sparkSession
     total = total if total is not None else text_bytes(rows)
     shards = max(6 * shuffles(spark), -(-3 * total // SHARD_BYTES))
-    return rows.select("id", "tag", "text").mapInArrow(_send(k, m, shards), SENT).groupBy("shard").applyInPandas(_count(k), FLAGS)
+    hot = hot_minimisers(rows, k, m)
+    return rows.select("id", "tag", "text").mapInArrow(_send(k, m, shards, hot), SENT).groupBy("shard").applyInPandas(_count(k), FLAGS)
 
 
 def text_bytes(rows: DataFrame) -> int:
@@ -236,6 +278,7 @@ def cover(n_words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
 def _chunked(carry: bool):
     """Whole texts, packed by chunk."""
 
+    @frugal
     def run(batches):
         press = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
