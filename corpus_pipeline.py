@@ -2,8 +2,9 @@
 
 STAGES lists (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read back as the next one's docs.  All but the
-last return the columns of documents.  doc_id identifies a document: rows that share one
-stay or go together.  Empty tables pass through, null texts count as empty.
+last return the columns of documents.  The near-copy stage drops by row: of rows that
+share doc_id and text one stays, and a row goes for its own text only, whatever other rows
+have its doc_id or none.  Empty tables pass through, null texts count as empty.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfact.llm import exact_dedup, packing, simhash_dedup, substring_dedup, toxicity
-from loomfact.llm.common import stored
+from loomfact.llm import exact_dedup, packing, shingle_dedup, substring_dedup, toxicity
+from loomfact.llm.common import stored, whole
 from loomfact.llm.queries import vocabulary
 
 
@@ -22,6 +23,19 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row's id and text, as column _row."""
+    return docs.withColumn("_row", exact_dedup.row_key(docs.doc_id, docs.text))
+
+
+def _one_each(docs: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
+    """docs but for the rows whose keys are in gone (column _row), and one row of each key in several."""
+    left = _keyed(docs).join(gone, "_row", "left_anti")
+    if not several.isEmpty():
+        left = left.join(several, "_row", "left_anti").unionByName(left.join(several, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*docs.columns)
+
+
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     net, cuts = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,9 +48,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    found = simhash_dedup.simhash_components(docs, bits=3)
-    return _without(docs, found.where(~F.col("id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near copies (similarity 0.8 and more over shingles of five words), the row with the smallest doc_id stays."""
+    rows = stored(_keyed(docs).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "several")
+    found = shingle_dedup.near_components(_keyed(docs).select(F.col("_row").alias("row"), whole(F.col("text")).alias("text")), words=5, similar=0.8)
+    return _one_each(docs, stored(found.select(F.col("node").alias("_row")), "dropped"), rows)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

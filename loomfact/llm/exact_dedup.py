@@ -36,6 +36,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(whole(text), SPACES, " ")
 
 
+def key_of(id: Column, digest: Column) -> Column:
+    """41 bytes for an id and a digest, ordered by id with null last, then by digest."""
+    number = F.lpad(F.hex(id.cast("bigint").bitwiseXOR(F.lit(NO_ID))), 16, "0")
+    return F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01" + "0" * 16)), F.hex(digest)))
+
+
+def row_key(id: Column, text: Column) -> Column:
+    """Key of a row: of its id and normalised text."""
+    return key_of(id, F.unhex(F.sha2(normalised(text), 256)))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest) of every row; the SHA-256 of the normalised text."""
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
