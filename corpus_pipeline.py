@@ -2,7 +2,7 @@
 
 STAGES lists (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read back as the next one's docs.  All but the
-last return the columns of documents.  The near-copy stage drops by row: of rows that
+last return the columns of documents.  Stages that drop copies do so by row: of rows that
 share doc_id and text one stays, and a row goes for its own text only, whatever other rows
 have its doc_id or none.  Empty tables pass through, null texts count as empty.
 """
@@ -17,12 +17,6 @@ from loomfact.llm.common import stored, whole
 from loomfact.llm.queries import vocabulary
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the ids in dropped (column id)."""
-    gone = stored(dropped.select(F.col("id").alias("gone")).distinct(), "dropped")
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of each row's id and text, as column _row."""
     return docs.withColumn("_row", exact_dedup.row_key(docs.doc_id, docs.text))
@@ -43,8 +37,11 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the smallest doc_id stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    """Of equal texts, one row stays: one with the smallest doc_id."""
+    found = exact_dedup.exact_dedup(docs).where("group_size > 1")
+    copies = stored(found.groupBy("id", "digest", "kept").agg(F.count(F.lit(1)).alias("n")), "copies")
+    key = exact_dedup.key_of(F.col("id"), F.col("digest")).alias("_row")
+    return _one_each(docs, copies.where("not kept").select(key), copies.where("kept and n > 1").select(key))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_empty(spark, tmp_path):
     labels(spark, tmp_path)
     empty_docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_exact_copies_go_by_row(spark):
+    rows = [(1, "a copied text"), (None, "a  copied text"), (None, "only here, without id"), (2, "a copied\ntext"), (2, "only here, with a shared id"), (3, "sent twice"), (3, "sent twice"), (None, "no ids at all"), (None, "no ids at all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.exact_copies(spark, docs, "").collect()
+    want = [(1, "a copied text"), (None, "only here, without id"), (2, "only here, with a shared id"), (3, "sent twice"), (None, "no ids at all")]
+    assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
