@@ -1,31 +1,45 @@
-"""Language-model scores from a hierarchical Pitman-Yor process.
-
-Each token belongs to the restaurant of its context: the last word before it, in its
-document, that is one of the ``contexts`` most frequent training words ("" before the
-first of these).  Context restaurants share one parent, the unigram restaurant, whose
-base is uniform over the vocabulary and one unknown word.  Every table of a context
-restaurant is a customer of the parent.
-
-Seating is sampled by blocked Gibbs sweeps: the customers of a dish get up and are seated
-anew one after the other, given all other tables; runs of many equal customers are seated
-in leaps of a sixteenth of those already there.  Predictive probabilities are averaged
-over the sweeps after the first.
-
-Words are sharded by hash, and everything about a word (its counts in every restaurant,
-its tables, its dish at the parent) lies in one shard; the restaurants have only their
-totals in common, a fixed number of sums, which one sweep hands to the next.  Documents
-are packed in pieces.  A piece asks each shard for its distinct words in their contexts,
-once, whatever their number, and gets back one probability for each.
+"""Language-model scores from a hierarchical Pitman-Yor process over word pairs.
+
+Every word that comes before another is a context with a restaurant of its own: its
+customers are the tokens that follow it, its dishes their words, whatever the number of
+contexts.  The end of a text is a token too, and the context of the next text's first
+word.  All context restaurants share one parent, the unigram restaurant, whose base is
+uniform over the training words and one unknown word; every table of a context is a
+customer of the parent.  Words are compared as bytes throughout.
+
+Seating is sampled by Gibbs sweeps over the number of tables of each (context, word).
+Its conditional weight, all other tables given, is a generalised Stirling number (which
+sums the seatings of one pair's customers over so many tables) times the weights of
+opening those tables, in the context and at the parent.  Pairs of up to ``EXACT``
+customers are drawn from exact tables of these numbers; larger ones from their scaling
+limit, which is off by less than a hundredth of the mean number of tables
+(``tests/llm/test_hpylm.py`` measures it), on at most ``GRID`` places.  Pairs are dealt
+at random to ``TURNS`` turns; those of one turn are drawn side by side from the totals
+before it, and the parent's customers and tables are those of the sweep before: the
+usual approximation of distributed Gibbs sampling.  The concentration of the contexts is
+sampled with auxiliary variables, that of the parent is fixed at one; discounts are set
+from the counts of pairs (and, at the parent, of words) seen once and twice.
+Probabilities are averaged over the sweeps after the first.
+
+Contexts are sharded by their word; those with more than one in ``HOT`` of all tokens
+(fewer than ``HOT`` words, whatever the input) are dealt by the word that follows, and
+have only their totals in common.  A text goes to each shard as pairs, counted for a
+piece of many texts.  A shard's words meet those of the others in the parent's shards:
+each sweep sends the number of tables of each word there, and gets back the parent's
+customers and tables.  At the end the pairs travel again, each with the texts it stands
+in; the shards rebuild their restaurants, and return a sum for each text.
 
 Defined results: null text counts as empty and has just its end token; null ids are
 training rows (their text for the remainder is empty); without any training token the
 model is its base, with a vocabulary of none; rows that share an id are documents of
-their own; an empty table gives an empty result; other columns are ignored.
+their own, equal texts get equal scores; one text is held in memory as a whole, however
+long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,345 +49,544 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, frugal, shuffles, spread, steps, stored, Tokens, whole
+from .common import forget, frugal, ragged, shuffles, spread, steps, stored, whole
+
+#: Sweeps, the first of which isn't averaged; turns of a sweep.
+SWEEPS, TURNS = 3, 4
+#: Customers of a pair up to which Stirling numbers are tabulated; places of the grid beyond.
+EXACT, GRID = 1_024, 257
+#: A context with more than this part of all tokens is hot; words of a step that are counted for it.
+HOT = 256
+#: Bytes of text that are counted together, of a shard, and of a shard of the parent, on average at most.
+PIECE_BYTES, SHARD_BYTES, PARENT_BYTES = 8 << 20, 20_000_000, 64_000_000
+#: Concentration of the parent, and shape and rate of the prior of the contexts'.
+THETA, PRIOR = 1.0, (1.0, 1.0)
+#: The token that ends a document; no word is empty.
+END = b""
+ASK = "shard int, piece bigint, u binary, un binary, w binary, wi binary, n binary, times binary, doc binary, meta binary"
+OUT = "array<struct<to: int, words: binary, c: binary, t: binary>>"
+STATE = f"shard int, ends binary, single_u binary, single_w binary, mu binary, mw binary, mn binary, t binary, hot binary, kept array<binary>, totals array<double>, out {OUT}"
+PARENT = "shard int, sources array<int>, routes array<binary>, t binary, totals array<double>, out array<struct<to: int, c: binary, n: binary, t: binary>>"
+SUMS = "piece bigint, shard int, doc binary, score binary, base binary, known binary, meta binary"
+
+
+def _zip(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _plain(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+def _unzip(x: bytes | None, kind=np.int64) -> np.ndarray:
+    return np.frombuffer(_plain(x), kind) if x else np.zeros(0, kind)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers, as bytes that tell how wide they are."""
+    kind = next(k for k in "BHIQ" if not len(x) or int(x.max()) <= np.iinfo(np.dtype(k)).max)
+    return kind.encode() + _zip(x.astype(kind))
 
-#: Context words; sweeps, the first of which isn't averaged; words of a piece that may become contexts.
-CONTEXTS, SWEEPS, CANDIDATES = 32, 4, 2_048
-PIECE_BYTES, SHARD_BYTES = 4 << 20, 64 << 20
-#: Concentration of context restaurants and of their parent.
-THETA = (1.0, 1.0)
-#: Hash of the token that ends a document.
-END = np.uint64(0x0E4D0E4D0E4D0E4D)
-PIECE = "piece bigint, ids binary, nulls binary, held binary, sizes binary, body binary, top binary, tops binary"
-ASK = "shard int, piece bigint, words binary, pairs binary, ctx binary, n binary"
-STATE = "shard int, words binary, pairs binary, ctx binary, n binary, tables binary, seated binary, parent binary, totals array<double>"
-ANSWER = "piece bigint, shard int, logp binary, known binary"
 
+def _wide(x: bytes | None) -> np.ndarray:
+    return _unzip(x[1:], np.dtype(x[:1].decode())).astype(np.int64) if x else np.zeros(0, np.int64)
 
-def _zip(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
 
+def _listed(words: list[bytes]) -> bytes:
+    return _zip(b"\n".join(words))
 
-def _unzip(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind) if x else np.zeros(0, kind)
 
+def _words(x: bytes) -> list[bytes]:
+    return _plain(x).split(b"\n")
 
-def _by_word(x: bytes, n: int) -> np.ndarray:
-    """A packed table with a row for each of n words."""
-    flat = _unzip(x, np.float32)
-    return flat.reshape(n, len(flat) // n if n else 0)
+
+def _home(words: list[bytes], shards: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text) of each token, every text's end token included, and where each text starts (one more at the end)."""
-    tok = Tokens(texts)
-    n = tok.count + 1
-    first = np.concatenate([[0], np.cumsum(n)])
-    h = np.empty(first[-1], np.uint64)
-    h[first[1:] - 1] = END
-    h[np.arange(len(tok.lo)) + tok.doc] = tok.hashes(lower=True)
-    return h, np.repeat(np.arange(len(texts)), n), first
-
-
-def contexts_of(h: np.ndarray, doc: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Number of each token's context: 0, or 1 + the rank of the last of ``words`` before it in its text."""
-    if not len(h):
-        return np.zeros(0, np.uint8)
-    order = np.argsort(words)
-    at = np.searchsorted(words[order], h)
-    hit = at < len(words)
-    hit[hit] = words[order][at[hit]] == h[hit]
-    own = np.zeros(len(h), np.int64)
-    own[hit] = order[at[hit]] + 1
-    last = np.maximum.accumulate(np.where(hit, np.arange(len(h)), -1))
-    before = np.concatenate([[-1], last[:-1]])
-    return np.where(before >= first[doc], own[np.maximum(before, 0)], 0).astype(np.uint8)
-
-
-def _pieces(held_out):
-    @frugal
-    def run(batches):
-        serial = 0
-        base = TaskContext.get().partitionId() << 32
-        press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            text = batch.column(1).cast(pa.large_binary())
-            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), PIECE_BYTES):
-                ids, texts = batch.column(0).slice(a, b - a).to_pylist(), text.slice(a, b - a).to_pylist()
-                held = np.fromiter(map(held_out, ids), bool, len(ids))
-                h, doc, _ = tokens(texts)
-                h = h[~held[doc]]
-                top, n = np.unique(h[h != END], return_counts=True)
-                best = np.lexsort([top, -n])[:CANDIDATES]
-                row = base + serial, np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is None for i in ids]).tobytes(), held.tobytes(), np.fromiter(map(len, texts), np.int32, len(texts)).tobytes(), press(b"".join(texts)), top[best].tobytes(), n[best].astype(np.int64).tobytes()
-                serial += 1
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], [c.split()[0] for c in PIECE.split(", ")])
+def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens in order (the end first), the number of each token, and how many each text has."""
+    lists = [t.lower().split() for t in texts]  # of bytes: ASCII letters, and the six white-space bytes
+    for x in lists:
+        x.append(END)
+    flat = list(chain.from_iterable(lists))
+    vocab = sorted(set(flat))
+    at = dict(zip(vocab, range(len(vocab))))
+    return vocab, np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    return run
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal entries starts."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-def _texts(row) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(row["sizes"], np.int32)).tolist()
-    body = zstandard.ZstdDecompressor().decompress(row["body"])
-    return [body[a:b] for a, b in zip([0, *ends], ends)]
+def _texts(batch: pa.RecordBatch):
+    """(ids, texts) of a piece of a batch of (id, text)."""
+    text = batch.column(1).cast(pa.large_binary())
+    for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), PIECE_BYTES):
+        yield batch.column(0).slice(a, b - a).to_pylist(), text.slice(a, b - a).to_pylist()
 
 
-def _top(batches):
+@frugal
+def _common(batches):
+    """The most frequent words of each piece, and, without a word, how many tokens it has."""
     for batch in batches:
-        for top, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(top, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["word", "n"])
-
-
-def frequent(pieces: DataFrame, contexts: int) -> np.ndarray:
-    """The most frequent training words, by their counts in the pieces where they are among the most frequent."""
-    counted = pieces.select("top", "tops").mapInArrow(_top, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.array([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(contexts).collect()], np.int64).view(np.uint64)
-
-
-def _distinct(row, words: np.ndarray, shards: int):
-    """A piece's distinct (word, context), by shard and word: their words, contexts, training counts, and each token's place."""
-    h, doc, first = tokens(_texts(row))
-    ctx = contexts_of(h, doc, first, words)
-    held = np.frombuffer(row["held"], bool)
-    order = np.lexsort([ctx, h, h % np.uint64(shards)])
-    hs, cs = h[order], ctx[order]
-    new = np.ones(len(hs), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])
-    pair = np.cumsum(new) - 1
-    n = np.bincount(pair, ~held[doc[order]], minlength=int(new.sum())).astype(np.uint32)
-    place = np.empty(len(h), np.int64)
-    place[order] = pair
-    return hs[new], cs[new], n, place, doc
-
-
-def _runs(words: np.ndarray) -> np.ndarray:
-    """Where each distinct word starts in a list of pairs, ordered by word."""
-    new = np.ones(len(words), bool)
-    new[1:] = words[1:] != words[:-1]
-    return np.flatnonzero(new)
-
+        for _, texts in _texts(batch):
+            vocab, ids, _ = tokens(texts)
+            n = np.bincount(ids, minlength=len(vocab))
+            top = np.argsort(-n, kind="stable")[:HOT].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([None, *(vocab[i] for i in top)], pa.binary()), pa.array([len(ids), *n[top].tolist()], pa.int64())], ["word", "n"])
+
+
+def hot_words(rows: DataFrame) -> list[bytes]:
+    """Words with more than one in HOT of all tokens; they only decide where pairs meet."""
+    counts = stored(rows.mapInArrow(_common, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counts.where(F.col("word").isNotNull() & (F.col("n") * HOT > total)).select("word").collect()
+    forget(counts)
+    return sorted(bytes(r["word"]) for r in found)
+
+
+def _ask(shards: int, hot: list[bytes], held_out, with_docs: bool):
+    """A row for each shard that a piece has pairs for: contexts, how many words follow each, words, which word, training count; with_docs also how often each pair stands where, and, in one row, what the texts are."""
+    warm = set(hot)
+
+    def piece(number: int, ids: list, texts: list[bytes]):
+        vocab, w, sizes = tokens(texts)
+        held = np.fromiter(map(held_out, ids), bool, len(ids))
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        u = np.concatenate([[0], w[:-1]])  # the end of the text before is the first word's context
+        home = _home(vocab, shards)
+        shard = np.where(np.fromiter((x in warm for x in vocab), bool, len(vocab))[u], home[w], home[u])
+        v = len(vocab)
+        order = np.argsort((shard * v + u) * v + w) if shards * v * v < 1 << 62 else np.lexsort([w, u, shard])
+        s, u, w, doc = shard[order], u[order], w[order], doc[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (s[1:] != s[:-1])
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(~held[doc], at, dtype=np.int64)
+        s, u, w = s[at], u[at], w[at]
+        cut = np.append(_runs(s), len(s)).tolist()
+        at = np.append(at, len(doc))
+        meta = b""
+        if with_docs:
+            meta = _zip(np.array([i or 0 for i in ids], np.int64).tobytes() + sizes.tobytes() + np.array([i is None for i in ids]).tobytes() + held.tobytes())
+        for a, b in zip(cut, cut[1:]):
+            runs = _runs(u[a:b])
+            own, wi = np.unique(w[a:b], return_inverse=True)
+            row = [int(s[a]), number, _listed([vocab[i] for i in u[a:b][runs].tolist()]), _narrow(np.diff(np.append(runs, b - a))), _listed([vocab[i] for i in own.tolist()]), _narrow(wi), _narrow(n[a:b])]
+            yield (*row, _narrow(np.diff(at[a : b + 1])), _narrow(doc[at[a] : at[b]]), meta) if with_docs else (*row, None, None, None)
+            meta = b""
+
+    names = [c.split()[0] for c in ASK.split(", ")]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
 
-def _ask(words: np.ndarray, shards: int):
     @frugal
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for row in batch.to_pylist():
-                h, ctx, n, _, _ = _distinct(row, words, shards)
-                shard = (h % np.uint64(shards)).astype(np.int32)
-                cut = _runs(shard).tolist()
-                out = []
-                for a, b in zip(cut, [*cut[1:], len(h)]):
-                    at = _runs(h[a:b])
-                    out.append((int(shard[a]), row["piece"], h[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype(np.uint8).tobytes(), ctx[a:b].tobytes(), _zip(n[a:b])))
-                for k in range(0, len(out), 256):
-                    cols = list(zip(*out[k : k + 256]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[2:])], [c.split()[0] for c in ASK.split(", ")])
+            for ids, texts in _texts(batch):
+                rows = list(piece(number, ids, texts))
+                number += 1
+                for k in range(0, len(rows), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), kinds)], names)
 
     return run
 
 
-def _spelled(row) -> tuple[np.ndarray, np.ndarray]:
-    """Word and context of every pair of a row that lists words, pairs of each, and contexts."""
-    return np.repeat(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint8)), np.frombuffer(row["ctx"], np.uint8)
+class Shard:
+    """The pairs of a shard in order, from the rows that pieces sent it."""
+
+    def __init__(self, part: pd.DataFrame, parents: int):
+        rows = [(_words(u), _wide(un), _words(w), _wide(wi)) for u, un, w, wi in zip(part["u"], part["un"], part["w"], part["wi"])]
+        #: Contexts by word; words by the parent's shard, then by word; where each parent's shard begins.
+        self.u = sorted(set(chain.from_iterable(r[0] for r in rows)))
+        words = sorted(set(chain.from_iterable(r[2] for r in rows)))
+        home = _home(words, parents)
+        order = np.argsort(home, kind="stable")
+        self.w = [words[i] for i in order.tolist()]
+        self.ends = np.searchsorted(home[order], np.arange(parents + 1))
+        u_at, w_at = (dict(zip(x, range(len(x)))) for x in (self.u, self.w))
+        keys = []
+        for u, un, w, wi in rows:
+            u = np.fromiter(map(u_at.__getitem__, u), np.int64, len(u))
+            w = np.fromiter(map(w_at.__getitem__, w), np.int64, len(w))
+            keys.append(np.repeat(u, un) * len(self.w) + w[wi])
+        #: Entries of each row, and the place of every entry among the pairs.
+        self.entries = np.cumsum([0, *map(len, keys)])
+        pairs, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.pu, self.pw = pairs // len(self.w), pairs % len(self.w)
+        count = np.concatenate([_wide(x) for x in part["n"]])
+        #: Customers of each pair; none where only held-out texts have it.
+        self.n = np.bincount(self.place, count, len(pairs)).astype(np.int64)
+
+    def hot(self, hot: list[bytes]) -> np.ndarray:
+        """(context here, number among the hot ones) of the hot contexts."""
+        at = dict(zip(self.u, range(len(self.u)))) if hot else {}
+        return np.array([(at[x], k) for k, x in enumerate(hot) if x in at], np.int64).reshape(-1, 2)
+
+
+# --- seating ----------------------------------------------------------------
+
+
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of c customers at t tables, row c - 1 of which starts at c (c - 1) / 2."""
+    row, out = np.zeros(1), np.empty(most * (most + 1) // 2)
+    for c in range(1, most + 1):
+        out[c * (c - 1) // 2 : c * (c + 1) // 2] = row
+        t = np.arange(1, c + 1)
+        row = np.logaddexp(np.append(row + np.log(c - t * d), -np.inf), np.concatenate([[-np.inf], row]))
+    return out
+
+
+_TABLES: dict[float, np.ndarray] = {}
+
+
+def _table(d: float) -> np.ndarray:
+    if d not in _TABLES:
+        _TABLES.clear()
+        _TABLES[d] = stirling(d)
+    return _TABLES[d]
+
+
+class Parent:
+    """What opening the next table costs a pair at its parent: customers and tables that others gave the word, the base's mass, and all customers of others."""
+
+    def __init__(self, n: np.ndarray, t: np.ndarray, mass: float, total: np.ndarray, discount: float):
+        self.n, self.t, self.mass, self.total, self.discount = n, np.minimum(t, n), mass, total, discount
+
+    def log(self, at: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Log probability of the word of pair ``at`` after j tables of its own."""
+        n = self.n[at] + j
+        tables = np.maximum(self.t[at], (j > 0) & (self.n[at] == 0))
+        return np.log(n - self.discount * tables + self.mass) - np.log(self.total[at] + j)
+
+
+class Base:
+    """A parent that always says the same."""
+
+    def __init__(self, p: float):
+        self.p = np.log(p)
+
+    def log(self, at: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.full(len(at), self.p)
+
+
+def draw(rng, c: np.ndarray, others: np.ndarray, theta: float, d: float, parent) -> np.ndarray:
+    """Numbers of tables for pairs of c customers each, where other dishes have ``others`` tables in the restaurant."""
+    out = np.minimum(c, 1)
+    some = np.flatnonzero((c > 1) & (c <= EXACT))
+    for a, b in steps(c[some], 1 << 19):
+        at = some[a:b]
+        n = c[at]
+        rep, j = np.repeat(at, n), ragged(np.zeros(len(at), np.int64), n)
+        weight = np.log(theta + d * (others[rep] + j)) + parent.log(rep, j)
+        start = np.cumsum(n) - n
+        total = np.cumsum(weight)
+        total -= np.repeat(total[start] - weight[start], n)
+        total += _table(d)[np.repeat(n * (n - 1) // 2, n) + j]
+        weight = np.cumsum(np.exp(total - np.repeat(np.maximum.reduceat(total, start), n)))
+        low = np.concatenate([[0.0], weight[start[1:] - 1]])
+        pick = np.searchsorted(weight, low + rng.random(len(at)) * (weight[start + n - 1] - low), "right") - start
+        out[at] = 1 + np.clip(pick, 0, n - 1)
+    many = np.flatnonzero(c > EXACT)
+    for a in range(0, len(many), 1_024):
+        out[many[a : a + 1_024]] = _draw_many(rng, c, others, theta, d, parent, many[a : a + 1_024])
+    return out
+
+
+def _draw_many(rng, c, others, theta, d, parent, at: np.ndarray) -> np.ndarray:
+    """The same for pairs of over EXACT customers: the ratio of neighbouring Stirling numbers, times d t, depends on t / c**d alone in the limit, and is read off the largest table."""
+    last = _table(d)[-EXACT:]
+    t = np.arange(1, EXACT)
+    ratio = np.concatenate([[0.0], np.log(d * t) + np.diff(last)])
+
+    def gain(at, t):
+        """Log weight of t + 1 tables less that of t."""
+        like = t * (EXACT / c[at]) ** d
+        return np.interp(like, np.arange(EXACT), ratio) - np.log(d * t) + np.log(theta + d * (others[at] + t)) + parent.log(at, t)
+
+    low, high = np.ones(len(at)), c[at].astype(float)
+    for _ in range(48):
+        middle = (low + high) / 2
+        up = gain(at, middle) > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    slope = gain(at, low * 0.99 + 0.01) - gain(at, low * 1.01 + 0.01)
+    width = np.sqrt(low * 0.02 / np.maximum(slope, 1e-12))
+    step = np.maximum(1, np.ceil(12 * width / GRID)).astype(np.int64)
+    first = np.maximum(1, low.astype(np.int64) - GRID // 2 * step)
+    places = first[:, None] + step[:, None] * np.arange(GRID)
+    inside = places <= c[at][:, None]
+    flat = np.repeat(at, GRID)
+    gains = (gain(flat, np.minimum(places, c[at][:, None]).ravel() + np.repeat((step - 1) / 2, GRID)).reshape(len(at), GRID)) * step[:, None]
+    weight = np.concatenate([np.zeros((len(at), 1)), np.cumsum(gains[:, :-1], axis=1)], axis=1)
+    weight = np.where(inside, np.exp(weight - np.where(inside, weight, -np.inf).max(axis=1, keepdims=True)), 0).cumsum(axis=1)
+    pick = (weight < rng.random((len(at), 1)) * weight[:, -1:]).sum(axis=1)
+    return np.minimum(first + step * pick + rng.integers(0, step), c[at])
 
 
-def _state_row(shard: int, words, pairs, ctx, n, tables, seated, parent, contexts: int) -> pd.DataFrame:
-    """Totals: customers and tables of each context restaurant, then the parent's, then words, pairs seen once and twice, and the same at the parent."""
-    at = np.repeat(np.arange(len(words)), pairs)
-    guests = np.bincount(at, tables, minlength=len(words))
-    mine = parent[:, 0] if parent.shape[1] else np.ones(len(words))
-    totals = np.concatenate([np.bincount(ctx, n, contexts), np.bincount(ctx, tables, contexts), [guests.sum(), mine.sum(), len(words), (n == 1).sum(), (n == 2).sum(), (guests == 1).sum(), (guests == 2).sum()]])
-    return pd.DataFrame({"shard": np.array([shard], np.int32), "words": [words.tobytes()], "pairs": [pairs.astype(np.uint8).tobytes()], "ctx": [ctx.tobytes()], "n": [_zip(n)], "tables": [_zip(tables)], "seated": [_zip(seated)], "parent": [_zip(parent)], "totals": [totals.tolist()]})
+def discount(once: float, twice: float) -> float:
+    return float(np.clip(once / (once + 2 * twice) if once + twice else 0.5, 0.05, 0.95))
 
 
-def _gather(contexts: int):
-    """A shard's words with all their training counts; every dish at one table to begin with."""
+class Totals:
+    """What shards add up, sweep by sweep: of the contexts, and of the parent."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [(*_spelled(r), _unzip(r["n"], np.uint32)) for _, r in part.iterrows()]
-        h, ctx, n = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        some = n > 0
-        h, ctx, n = h[some], ctx[some], n[some]
-        order = np.lexsort([ctx, h])
-        h, ctx, n = h[order], ctx[order], n[order].astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        at = np.flatnonzero(new)
-        n = np.add.reduceat(n, at) if len(at) else n
-        h, ctx = h[at], ctx[at]
-        start = _runs(h)
-        pairs = np.diff(np.append(start, len(h))) if len(h) else np.zeros(0, np.int64)
-        return _state_row(int(part["shard"].iloc[0]), h[start] if len(h) else h, pairs, ctx, n, np.ones(len(n), np.int32), np.zeros(len(n), np.float32), np.zeros((len(start) if len(h) else 0, 0), np.float32), contexts)
+    def __init__(self, contexts: np.ndarray, hot: int, theta: float = 1.0):
+        #: Pairs seen once and twice, all tables, and auxiliary sums for the concentration.
+        self.once, self.twice, self.tables, self.opened, self.logs = contexts[:5].tolist()
+        self.hot_customers, self.hot_tables = contexts[5 : 5 + hot], contexts[5 + hot :]
+        self.theta, self.discount = theta, discount(self.once, self.twice)
 
-    return run
 
+class Above:
+    """The parent's sums: customers, tables, words, training tokens; words with one customer, with two."""
 
-def seat(rng, n: np.ndarray, fresh: np.ndarray, discount: float) -> np.ndarray:
-    """Tables of n customers each, seated in order; ``fresh`` is the weight of a new table, a table's customers less the discount that of an old one."""
-    tables = np.minimum(n, 1).astype(np.int64)
-    left = np.flatnonzero(n > 1)
-    k = 1
-    while len(left):
-        leap = max(1, k // 16)
-        step = np.minimum(leap, n[left] - k)
-        t = tables[left]
-        tables[left] += rng.binomial(step, np.clip(fresh[left] / (fresh[left] + k - discount * t), 0, 1))
-        k += leap
-        left = left[n[left] > k]
-    return tables
+    def __init__(self, sums: np.ndarray):
+        self.customers, self.tables, self.words, self.tokens, once, twice = sums.tolist()
+        self.discount = discount(once, twice)
+        self.mass = (THETA + self.discount * self.tables) / (self.words + 1)
 
+    def p(self, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (n - self.discount * t + self.mass) / (THETA + self.customers)
 
-class Totals:
-    """What all restaurants have in common."""
 
-    def __init__(self, sums: list[float], contexts: int):
-        s = np.array(sums)
-        self.customers, self.tables = s[:contexts], s[contexts : 2 * contexts]
-        self.guests, self.parent_tables, self.words, *seen = s[2 * contexts :].tolist()
-        ratio = lambda a, b: float(np.clip(a / (a + 2 * b) if a + b else 0.5, 0.05, 0.95))
-        self.discount = ratio(seen[0], seen[1]), ratio(seen[2], seen[3])
-        self.tokens = float(self.customers.sum())
+def _out(shard: Shard | None, ends: np.ndarray, c: np.ndarray | None, t: np.ndarray) -> list[dict]:
+    """What each of the parent's shards is told: words and training counts (the first time only), and tables."""
+    return [{"to": int(k), "words": _listed(shard.w[a:b]) if shard else None, "c": _narrow(c[a:b]) if shard else None, "t": _narrow(t[a:b])} for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
 
-    def fresh(self) -> np.ndarray:
-        """Weight, before the parent's probability, of a new table in each context restaurant."""
-        return THETA[0] + self.discount[0] * self.tables
 
-    def unknown(self) -> float:
-        """Weight of a new dish at the parent."""
-        return (THETA[1] + self.discount[1] * self.parent_tables) / (self.words + 1)
+def _sums(n, t, mu, single_u, customers, hot, hots: int, theta: float, d: float, rng) -> list[float]:
+    tables = single_u + np.bincount(mu, t, len(single_u)).astype(np.int64)
+    own = np.zeros((2, hots))
+    own[0, hot[:, 1]], own[1, hot[:, 1]] = customers[hot[:, 0]], tables[hot[:, 0]]
+    cold = np.ones(len(tables), bool)
+    cold[hot[:, 0]] = False
+    guests, seats = customers[cold], tables[cold]
+    more = np.bincount(seats, minlength=1)[::-1].cumsum()[::-1][2:]  # restaurants with over 1, 2, ... tables
+    opened = rng.binomial(more, theta / (theta + d * np.arange(1, len(more) + 1))).sum()
+    logs = np.log(rng.beta(theta + 1, guests[guests > 1] - 1)).sum()
+    return [float((n == 1).sum() + single_u.sum()), float((n == 2).sum()), float(tables.sum()), float(opened), float(logs), *own.ravel().tolist()]
 
 
-def _sweep(totals: Totals, seed: int, contexts: int, average: bool):
-    @frugal
-    def run(batches):
-        for part in batches:
-            for _, row in part.iterrows():
-                rng = np.random.default_rng([seed, row["shard"]])
-                words, pairs, ctx = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint8), np.frombuffer(row["ctx"], np.uint8)
-                n, tables, seated = _unzip(row["n"], np.int64), _unzip(row["tables"], np.int32), _unzip(row["seated"], np.float32)
-                parent = _by_word(row["parent"], len(words))
-                at = np.repeat(np.arange(len(words)), pairs)
-                guests = np.bincount(at, tables, minlength=len(words)).astype(np.int64)
-                own = seat(rng, guests, np.full(len(words), totals.unknown()), totals.discount[1])
-                p = (guests - totals.discount[1] * own + totals.unknown()) / (THETA[1] + totals.guests)
-                tables = seat(rng, n, totals.fresh()[ctx] * p[at], totals.discount[0]).astype(np.int32)
-                # the parent's column 0 has its tables; then discounted customers for each sweep that counts
-                kept = parent[:, 1:] if parent.shape[1] else np.zeros((len(words), 0), np.float32)
-                if average:
-                    kept = np.concatenate([kept, (guests - totals.discount[1] * own)[:, None].astype(np.float32)], axis=1)
-                    seated = seated + tables.astype(np.float32)
-                parent = np.concatenate([own[:, None].astype(np.float32), kept], axis=1)
-                yield _state_row(int(row["shard"]), words, pairs, ctx, n, tables, seated, parent, contexts)
+def _open(parents: int, hot: list[bytes]):
+    """A shard's restaurants, every dish at one table to begin with; pairs seen once never have another."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard(part, parents)
+        one, several = shard.n == 1, shard.n > 1
+        mu, mw, mn = shard.pu[several], shard.pw[several], shard.n[several]
+        single_u = np.bincount(shard.pu[one], minlength=len(shard.u))
+        single_w = np.bincount(shard.pw[one], minlength=len(shard.w))
+        customers = single_u + np.bincount(mu, mn, len(shard.u)).astype(np.int64)
+        hots = shard.hot(hot)
+        t = np.ones(len(mn), np.int64)
+        c = single_w + np.bincount(mw, mn, len(shard.w)).astype(np.int64)
+        tables = single_w + np.bincount(mw, minlength=len(shard.w))
+        totals = _sums(mn, t, mu, single_u, customers, hots, len(hot), 1.0, 0.5, np.random.default_rng(0))
+        row = [int(part["shard"].iloc[0]), _narrow(shard.ends), _narrow(single_u), _narrow(single_w), _narrow(mu), _narrow(mw), _narrow(mn), _narrow(t), _narrow(hots.ravel()), [], totals, _out(shard, shard.ends, c, tables)]
+        return pd.DataFrame([row], columns=_names(STATE))
 
     return run
 
 
-def _answer(sweeps: list[tuple[Totals, Totals]], final: Totals):
-    """Averaged log10 probability of every pair asked for, and the training count of every word.
+def _names(schema: str) -> list[str]:
+    depth, out, word = 0, [], ""
+    for ch in schema + ",":
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append(word.split()[0])
+            word = ""
+        else:
+            word += ch
+    return out
+
+
+def _sweep(now: Totals, above: Above, hots: int, seed: int, keep: bool):
+    """Seats the pairs of several customers anew; keeps what this sweep says for the average."""
+    theta, d = now.theta, now.discount
+
+    def run(state: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        row = state.iloc[0]
+        ends, single_u, single_w, mu, mw, mn, t, hot = (_wide(row[x]) for x in ("ends", "single_u", "single_w", "mu", "mw", "mn", "t", "hot"))
+        hot = hot.reshape(-1, 2)
+        rng = np.random.default_rng([seed, row["shard"]])
+        n, seated, c = (np.zeros(len(single_w), np.int64) for _ in range(3))
+        for k, cc, nn, tt in zip(replies["shard"], replies["c"], replies["n"], replies["t"]):
+            own = slice(ends[k], ends[k + 1])
+            n[own], seated[own] = _wide(nn), _wide(tt)
+            if cc is not None:
+                c[own] = _wide(cc)
+        before = t
+        others_n = n[mw] - before  # the pair's own tables have left the parent
+        parent = lambda at: Parent(others_n[at], seated[mw[at]], above.mass, THETA + above.customers - before[at], above.discount)
+        mine = single_u + np.bincount(mu, t, len(single_u)).astype(np.int64)
+        elsewhere = np.zeros(len(single_u), np.int64)  # tables of hot contexts in other shards
+        elsewhere[hot[:, 0]] = now.hot_tables[hot[:, 1]] - mine[hot[:, 0]]
+        turn = rng.integers(0, TURNS, len(mn))
+        t = t.copy()
+        for k in range(TURNS):
+            at = np.flatnonzero(turn == k)
+            tables = elsewhere + single_u + np.bincount(mu, t, len(single_u)).astype(np.int64)
+            t[at] = draw(rng, mn[at], tables[mu[at]] - t[at], theta, d, parent(at))
+        customers = single_u + np.bincount(mu, mn, len(single_u)).astype(np.int64)
+        kept = list(row["kept"])
+        if not kept:
+            kept = [_narrow(c)]
+        if keep:
+            kept += [_narrow(t), _narrow(n), _narrow(seated)]
+        totals = _sums(mn, t, mu, single_u, customers, hot, hots, theta, d, rng)
+        told = single_w + np.bincount(mw, t, len(single_w)).astype(np.int64)
+        return pd.DataFrame([[row["shard"], *(row[x] for x in ("ends", "single_u", "single_w", "mu", "mw", "mn")), _narrow(t), row["hot"], kept, totals, _out(None, ends, None, told)]], columns=_names(STATE))
 
-    A sweep's parent holds the tables that were there before it, in the tables that it
-    made; with the sums that belong to those, each sweep's probabilities add up to one.
-    """
-    ratio = np.array([THETA[0] + a.discount[0] * b.tables for a, b in sweeps])  # sweep, context
-    unknown = np.array([(THETA[1] + a.discount[1] * b.parent_tables) / (a.words + 1) for a, b in sweeps])
-    guests = np.array([THETA[1] + a.guests for a, _ in sweeps])
-    discount = final.discount[0]  # of counts alone, the same in every sweep
+    return run
+
+
+def _parent_row(shard: int, sources, routes, t, c, n) -> pd.DataFrame:
+    totals = [float(n.sum()), float(t.sum()), float((n > 0).sum()), float(c.sum()) if c is not None else 0.0, float((n == 1).sum()), float((n == 2).sum())]
+    out = [{"to": int(s), "c": _narrow(c[r]) if c is not None else None, "n": _narrow(n[r]), "t": _narrow(t[r])} for s, r in zip(sources, routes)]
+    return pd.DataFrame([[shard, list(map(int, sources)), [_narrow(r) for r in routes], _narrow(t), totals, out]], columns=_names(PARENT))
+
+
+def _parent_open(part: pd.DataFrame) -> pd.DataFrame:
+    """A shard of the parent: its words are those that the contexts' shards name, each dish at one table to begin with."""
+    part = part.sort_values("source")
+    lists = [_words(x) for x in part["words"]]
+    words = sorted(set(chain.from_iterable(lists)))
+    at = dict(zip(words, range(len(words))))
+    routes = [np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in lists]
+    c, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    for r, x, y in zip(routes, part["c"], part["t"]):
+        c[r] += _wide(x)
+        n[r] += _wide(y)
+    return _parent_row(int(part["to"].iloc[0]), part["source"].tolist(), routes, np.minimum(n, 1), c, n)
+
+
+def _parent_sweep(above: Above, seed: int):
+    def run(parent: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row = parent.iloc[0]
+        routes = dict(zip(row["sources"], map(_wide, row["routes"])))
+        t = _wide(row["t"])
+        n = np.zeros(len(t), np.int64)
+        for s, x in zip(told["source"], told["t"]):
+            n[routes[s]] += _wide(x)
+        rng = np.random.default_rng([seed, row["shard"]])
+        t = draw(rng, n, np.full(len(n), max(above.tables, 1.0)) - np.minimum(t, n), THETA, above.discount, Base(1 / (above.words + 1)))
+        return _parent_row(row["shard"], list(routes), list(routes.values()), t, None, n)
+
+    return run
+
+
+# --- scores -----------------------------------------------------------------
+
+
+def predictive(shard: Shard, hot: np.ndarray, kept: list[bytes], sweeps: list[tuple[Totals, Totals, Above]]) -> np.ndarray:
+    """Probability of each of a shard's pairs, averaged over the sweeps that were kept."""
+    some = np.flatnonzero(shard.n > 0)
+    several = shard.n[some] > 1
+    u, n = shard.pu[some], shard.n[some]
+    customers = np.bincount(u, n, len(shard.u))
+    out = np.zeros(len(shard.pu))
+    for k, (now, after, above) in enumerate(sweeps):
+        tables, parent_n, parent_t = (_wide(x) for x in kept[1 + 3 * k : 4 + 3 * k])
+        t = np.ones(len(some))
+        t[several] = tables
+        seats = np.bincount(u, t, len(shard.u))
+        guests = customers.copy()
+        # the totals of hot contexts are those after this sweep
+        seats[hot[:, 0]], guests[hot[:, 0]] = after.hot_tables[hot[:, 1]], after.hot_customers[hot[:, 1]]
+        p = (now.theta + now.discount * seats)[shard.pu] * above.p(parent_n, parent_t)[shard.pw]
+        p[some] += n - now.discount * t
+        out += p / (now.theta + guests)[shard.pu]
+    return out / len(sweeps)
+
+
+def _finish(parents: int, hot: list[bytes], sweeps, above: Above):
+    """A sum for each text of each piece: scores, base scores, and tokens that are known."""
 
     def run(asked: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if len(state):
-            row = state.iloc[0]
-            held, hc = _spelled(row)
-            vocab, pairs = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["pairs"], np.uint8)
-            n, seated = _unzip(row["n"], np.int64), _unzip(row["seated"], np.float32)
-            parent = _by_word(row["parent"], len(vocab))[:, 1:]
-            count = np.bincount(np.repeat(np.arange(len(vocab)), pairs), n, minlength=len(vocab)).astype(np.int64)
-            start = np.cumsum(pairs.astype(np.int64)) - pairs
-        else:
-            vocab = np.zeros(0, np.uint64)
+        shard = Shard(asked, parents)
+        kept = state.iloc[0]["kept"]
+        logs = np.log10(predictive(shard, shard.hot(hot), kept, sweeps))
+        count = _wide(kept[0])
+        base = np.log10((count + 1) / (above.tokens + above.words + 1))[shard.pw]
+        known = (count > 0)[shard.pw]
         out = []
-        for _, r in asked.iterrows():
-            w, own_pairs, ctx = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["pairs"], np.uint8), np.frombuffer(r["ctx"], np.uint8)
-            at = np.searchsorted(vocab, w)
-            known = at < len(vocab)
-            known[known] = vocab[at[known]] == w[known]
-            seen = np.zeros(len(w), np.int64)
-            base = np.zeros((len(w), len(sweeps)))
-            if known.any():
-                seen[known] = count[at[known]]
-                base[known] = parent[at[known]]
-            base = (base + unknown) / guests
-            of = np.repeat(np.arange(len(w)), own_pairs)
-            p = (ratio.T[ctx] * base[of]).mean(axis=1)
-            if known.any():
-                # both lists are ordered by word and context: look the pair up in its word's run
-                here = np.flatnonzero(known[of])
-                lo = start[at[of[here]]]
-                key = at[of[here]] * 256 + ctx[here]
-                all_keys = np.repeat(np.arange(len(vocab)), pairs) * 256 + hc
-                j = np.searchsorted(all_keys, key)
-                hit = j < len(all_keys)
-                hit[hit] = all_keys[j[hit]] == key[hit]
-                j, here = j[hit], here[hit]
-                p[here] += n[j] - discount * seated[j] / len(sweeps)
-            p /= THETA[0] + final.customers[ctx]
-            out.append((r["piece"], r["shard"], _zip(np.log10(p).astype(np.float32)), _zip(seen)))
-        return pd.DataFrame(out, columns=["piece", "shard", "logp", "known"])
+        for k, (piece, times, doc, meta) in enumerate(zip(asked["piece"], asked["times"], asked["doc"], asked["meta"])):
+            at = np.repeat(shard.place[shard.entries[k] : shard.entries[k + 1]], _wide(times))
+            docs, doc = np.unique(_wide(doc), return_inverse=True)
+            out.append((piece, int(asked["shard"].iloc[0]), _narrow(docs), *(np.bincount(doc, x[at], len(docs)).tobytes() for x in (logs, base)), _narrow(np.bincount(doc, known[at], len(docs)).astype(np.int64)), meta or None))
+        return pd.DataFrame(out, columns=_names(SUMS))
 
     return run
 
 
-def _score(words: np.ndarray, shards: int, final: Totals):
-    def run(piece: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = piece.iloc[0]
-        h, _, _, place, doc = _distinct(row, words, shards)
-        answers = answers.sort_values("shard")
-        logp = np.concatenate([_unzip(x, np.float32) for x in answers["logp"]]).astype(np.float64)
-        seen = np.concatenate([_unzip(x, np.int64) for x in answers["known"]])
-        new = np.zeros(len(h), np.int64)
-        new[_runs(h)] = 1
-        count = seen[np.cumsum(new) - 1][place]
-        n = len(np.frombuffer(row["sizes"], np.int32))
-        total = lambda x: np.bincount(doc, x, minlength=n)
-        ids = pd.array(np.frombuffer(row["ids"], np.int64), dtype="Int64")
-        ids[np.frombuffer(row["nulls"], bool)] = pd.NA
-        size = total(np.ones(len(doc)))
-        score = total(logp[place])
-        return pd.DataFrame({"id": ids, "held_out": np.frombuffer(row["held"], bool), "n_tokens": size.astype(np.int64), "n_known": total(count > 0).astype(np.int64), "train_tokens": int(final.tokens), "base_score": total(np.log10((count + 1) / (final.tokens + final.words + 1))), "score": score, "perplexity": 10 ** (-score / size)})
+def _score(tokens: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        meta = _plain(next(x for x in part["meta"] if x))
+        n = len(meta) // 18
+        ids, sizes = np.frombuffer(meta, np.int64, n), np.frombuffer(meta, np.int64, n, 8 * n)
+        none, held = np.frombuffer(meta, bool, n, 16 * n), np.frombuffer(meta, bool, n, 17 * n)
+        score, base, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        for doc, s, b, k in zip(part["doc"], part["score"], part["base"], part["known"]):
+            doc = _wide(doc)
+            score[doc] += np.frombuffer(s)
+            base[doc] += np.frombuffer(b)
+            known[doc] += _wide(k)
+        ids = pd.array(ids, dtype="Int64")
+        ids[none] = pd.NA
+        return pd.DataFrame({"id": ids, "held_out": held, "n_tokens": sizes, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score, "perplexity": 10 ** (-score / sizes)})
 
     return run
 
 
-def score(docs: DataFrame, held_out=is_held_out, contexts: int = CONTEXTS, sweeps: int = SWEEPS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _added(df: DataFrame, size: int) -> np.ndarray:
+    """The sum of all rows' totals, place by place."""
+    row = df.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(size)]).first()
+    return np.array(row)
+
+
+def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     ``held_out`` is a function of the id; the model learns from the other rows.
     """
     spark = docs.sparkSession
     rows = spread(docs).select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text"))
-    pieces = stored(rows.mapInArrow(_pieces(held_out), PIECE), "pieces")
-    size = pieces.agg(F.coalesce(F.sum(F.octet_length("body").cast("bigint")), F.lit(0))).first()[0]
-    shards = max(4 * shuffles(spark), -(-2 * size // SHARD_BYTES))
-    words = frequent(pieces, contexts)
-    restaurants = contexts + 1
-    asked = pieces.drop("top", "tops", "ids", "nulls").mapInArrow(_ask(words, shards), ASK)
-    state = stored(asked.groupBy("shard").applyInPandas(_gather(restaurants), STATE), "seating")
-
-    def totals() -> Totals:
-        size = 2 * restaurants + 7
-        row = state.agg(*[F.coalesce(F.sum(F.get("totals", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(size)]).first()
-        return Totals(list(row), restaurants)
-
-    now, counted = totals(), []
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    shards, parents = max(4 * shuffles(spark), -(-size // SHARD_BYTES)), max(shuffles(spark), -(-size // PARENT_BYTES))
+    hot = hot_words(rows)
+    sums = 5 + 2 * len(hot)
+    rng = np.random.default_rng(seed)
+    asked = rows.mapInArrow(_ask(shards, hot, held_out, False), ASK)
+    state = stored(asked.groupBy("shard").applyInPandas(_open(parents, hot), STATE), "seats")
+    told = lambda: state.select(F.col("shard").alias("source"), F.inline("out"))
+    parent = stored(told().groupBy("to").applyInPandas(_parent_open, PARENT), "parent")
+    now, above = Totals(_added(state, sums), len(hot)), Above(_added(parent, 6))
+    tokens, counted = above.tokens, []
     for k in range(sweeps):
-        after = stored(state.mapInPandas(_sweep(now, seed + k, restaurants, k > 0), STATE), "seating")
+        replies = parent.select("shard", F.inline("out"))
+        after = stored(state.groupBy("shard").cogroup(replies.groupBy("to")).applyInPandas(_sweep(now, above, len(hot), seed + k, k > 0 or sweeps == 1), STATE), "seats")
         forget(state)
-        state, before = after, now
-        now = totals()
-        if k:
-            counted.append((before, now))
-    answers = asked.groupBy("shard").cogroup(state.groupBy("shard")).applyInPandas(_answer(counted, now), ANSWER)
-    return pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(_score(words, shards, now), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+        state = after
+        then = Totals(_added(state, sums), len(hot))
+        if k or sweeps == 1:
+            counted.append((now, then, above))
+        then.theta = max(1e-3, rng.gamma(PRIOR[0] + then.opened) / (PRIOR[1] - then.logs))
+        now = then
+        if k + 1 < sweeps:
+            after = stored(parent.groupBy("shard").cogroup(told().groupBy("to")).applyInPandas(_parent_sweep(above, seed + 1000 + k), PARENT), "parent")
+            forget(parent)
+            parent = after
+            above = Above(_added(parent, 6))
+    above.tokens = tokens
+    asked = rows.mapInArrow(_ask(shards, hot, held_out, True), ASK)
+    found = asked.groupBy("shard").cogroup(state.select("shard", "kept").groupBy("shard")).applyInPandas(_finish(parents, hot, counted, above), SUMS)
+    return found.groupBy("piece").applyInPandas(_score(int(tokens)), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
