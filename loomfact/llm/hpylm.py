@@ -362,17 +362,23 @@ def _out(shard: Shard | None, ends: np.ndarray, c: np.ndarray | None, t: np.ndar
     return [{"to": int(k), "words": _listed(shard.w[a:b]) if shard else None, "c": _narrow(c[a:b]) if shard else None, "t": _narrow(t[a:b])} for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
 
 
+def _opened(rng, tables: np.ndarray, guests: np.ndarray, theta: float, d: float) -> tuple[float, float]:
+    """Auxiliary sums for the concentration: tables that it opened, and logarithms of its shares; tables of a restaurant after the first ten thousand count by a Poisson variable."""
+    most = 10_000
+    more = np.bincount(np.minimum(tables, most), minlength=1)[::-1].cumsum()[::-1][2:]  # restaurants with over 1, 2, ... tables
+    opened = rng.binomial(more, theta / (theta + d * np.arange(1, len(more) + 1))).sum()
+    large = tables[tables > most]
+    opened += rng.poisson(theta / d * np.log((large + theta / d) / (most + theta / d))).sum()
+    return float(opened), float(np.log(rng.beta(theta + 1, guests[guests > 1] - 1)).sum())
+
+
 def _sums(n, t, mu, single_u, customers, hot, hots: int, theta: float, d: float, rng) -> list[float]:
     tables = single_u + np.bincount(mu, t, len(single_u)).astype(np.int64)
     own = np.zeros((2, hots))
     own[0, hot[:, 1]], own[1, hot[:, 1]] = customers[hot[:, 0]], tables[hot[:, 0]]
     cold = np.ones(len(tables), bool)
     cold[hot[:, 0]] = False
-    guests, seats = customers[cold], tables[cold]
-    more = np.bincount(seats, minlength=1)[::-1].cumsum()[::-1][2:]  # restaurants with over 1, 2, ... tables
-    opened = rng.binomial(more, theta / (theta + d * np.arange(1, len(more) + 1))).sum()
-    logs = np.log(rng.beta(theta + 1, guests[guests > 1] - 1)).sum()
-    return [float((n == 1).sum() + single_u.sum()), float((n == 2).sum()), float(tables.sum()), float(opened), float(logs), *own.ravel().tolist()]
+    return [float((n == 1).sum() + single_u.sum()), float((n == 2).sum()), float(tables.sum()), *_opened(rng, tables[cold], customers[cold], theta, d), *own.ravel().tolist()]
 
 
 def _open(parents: int, hot: list[bytes]):
@@ -579,7 +585,8 @@ def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int
         then = Totals(_added(state, sums), len(hot))
         if k or sweeps == 1:
             counted.append((now, then, above))
-        then.theta = max(1e-3, rng.gamma(PRIOR[0] + then.opened) / (PRIOR[1] - then.logs))
+        opened, logs = _opened(rng, then.hot_tables.astype(np.int64), then.hot_customers, now.theta, now.discount)
+        then.theta = max(1e-3, rng.gamma(PRIOR[0] + then.opened + opened) / (PRIOR[1] - then.logs - logs))
         now = then
         if k + 1 < sweeps:
             after = stored(parent.groupBy("shard").cogroup(told().groupBy("to")).applyInPandas(_parent_sweep(above, seed + 1000 + k), PARENT), "parent")

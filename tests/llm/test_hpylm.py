@@ -1,33 +1,49 @@
 import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from loomfact.llm import hpylm
+from loomfact.llm.queries import op2_hpylm
 
 from .frames import SCHEMA, edge_docs, empty_docs, passage
 
 
 def words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    return [*re.findall(r"[^\x20\x09-\x0D]+", low), "\n"]
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low), ""]
 
 
-def check(docs):
+def check(docs, got=None):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     counts = Counter(w for i, t in rows if not hpylm.is_held_out(i) for w in words(t))
     n, v = sum(counts.values()), len(counts)
     want = sorted(((i, hpylm.is_held_out(i), len(words(t)), sum(counts[w] > 0 for w in words(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t in rows), key=str)
-    got = hpylm.score(docs).collect()
-    assert sorted([(r.id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=str) == want
+    got = hpylm.score(docs).withColumnRenamed("id", "doc_id").collect() if got is None else got
+    assert sorted([(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got], key=str) == want
     assert all(r.score <= 1e-9 and math.isfinite(r.score) for r in got)
     return got
 
 
 def test_edge_documents(spark):
-    check(edge_docs(spark))
+    got = check(edge_docs(spark))
+    by_text = defaultdict(set)
+    texts = {r.doc_id: r.text for r in edge_docs(spark).collect() if r.doc_id is not None}
+    for r in got:
+        if r.doc_id is not None:
+            by_text[texts[r.doc_id] or ""].add(r.score)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_registered_query(spark, tmp_path):
+    docs = edge_docs(spark, False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    check(docs, op2_hpylm(spark, str(tmp_path)).collect())
 
 
 def test_model_beats_its_base(spark):
@@ -37,30 +53,218 @@ def test_model_beats_its_base(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_words_whose_sums_collide(spark):
+    """Thue-Morse words and their complements have equal sums in any ring of 64 bits; they are words of their own."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 11))
+    other = one.translate(str.maketrans("ab", "ba"))
+    held = next(i for i in range(100) if hpylm.is_held_out(i))
+    train = next(i for i in range(100) if not hpylm.is_held_out(i))
+    got = {r.id: r for r in hpylm.score(spark.createDataFrame([(train, one, "en", "s", 0), (held, f"{one} {other}", "en", "s", 0)], SCHEMA)).collect()}
+    assert got[held].n_known == 2 and got[held].n_tokens == 3
+
+
+def log_stirling(d, most):
+    row = [0.0]
+    rows = {1: row}
+    for c in range(1, most):
+        row = [np.logaddexp(row[t] + math.log(c - (t + 1) * d) if t < c else -np.inf, row[t - 1] if t else -np.inf) for t in range(c + 1)]
+        rows[c + 1] = row
+    return rows
+
+
+def test_stirling_numbers():
+    """Against the sum over all seatings of five customers."""
+    d = 0.4
+    weights = Counter()
+
+    def seat(tables, left, weight):
+        if not left:
+            weights[len(tables)] += weight
+            return
+        seat([*tables, 1], left - 1, weight)
+        for k in range(len(tables)):
+            seat([*tables[:k], tables[k] + 1, *tables[k + 1 :]], left - 1, weight * (tables[k] - d))
+
+    seat([1], 4, 1.0)
+    got = np.exp(hpylm.stirling(d, 5)[10:15])
+    assert got == pytest.approx([weights[t] for t in range(1, 6)])
+
+
+@pytest.mark.parametrize("c", [2, 3, 17, 900, 1500, 3000])
+def test_draws_follow_the_conditional(c, monkeypatch):
+    """Means and spreads of drawn table counts, against weights summed one by one; also beyond the tables, by the scaling limit."""
+    d, theta, others, n, t, mass, total = 0.6, 1.5, 40.0, 3, 2, 0.002, 900.0
+    rng = np.random.default_rng(c)
+    if c > hpylm.EXACT:
+        big = hpylm.stirling(d, c)[-c:]
+    else:
+        big = np.array(log_stirling(d, c)[c]) if c < 20 else hpylm.stirling(d, c)[-c:]
+    many = 4000
+    parent = hpylm.Parent(np.full(many, n), np.full(many, t), mass, np.full(many, total), 0.5)
+    at, j = np.zeros(c, np.int64), np.arange(c)
+    weight = big + np.cumsum(np.log(theta + d * (others + j)) + parent.log(at, j))
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    mean = (p * (j + 1)).sum()
+    spread = math.sqrt((p * (j + 1 - mean) ** 2).sum())
+    got = hpylm.draw(rng, np.full(many, c), np.full(many, others), theta, d, parent)
+    assert got.min() >= 1 and got.max() <= c
+    assert got.mean() == pytest.approx(mean, abs=5 * spread / math.sqrt(many) + (0.01 * mean if c > hpylm.EXACT else 0))
+    assert got.std() == pytest.approx(spread, rel=0.1, abs=0.02)
+
+
+# --- a sampler that seats customers one by one -------------------------------
+
+
+class Restaurant:
+    """Customers of each dish by table, one parent above."""
+
+    def __init__(self, theta, d, parent, rng):
+        self.theta, self.d, self.parent, self.rng = theta, d, parent, rng
+        self.tables = defaultdict(list)
+        self.c = self.t = 0
+
+    def p(self, w):
+        own = self.tables[w]
+        base = self.parent.p(w)
+        return (sum(own) - self.d * len(own) + (self.theta + self.d * self.t) * base) / (self.theta + self.c) if self.c else base
+
+    def add(self, w):
+        own = self.tables[w]
+        weights = [x - self.d for x in own] + [(self.theta + self.d * self.t) * self.parent.p(w)]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        self.c += 1
+        if k == len(own):
+            own.append(1)
+            self.t += 1
+            self.parent.add(w)
+        else:
+            own[k] += 1
+
+    def remove(self, w):
+        own = self.tables[w]
+        k = self.rng.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        self.c -= 1
+        if not own[k]:
+            own.pop(k)
+            self.t -= 1
+            self.parent.remove(w)
+
+
+class Uniform:
+    def __init__(self, n):
+        self.n = n
+
+    def p(self, w):
+        return 1 / self.n
+
+    def add(self, w):
+        pass
+
+    remove = add
+
+
+def discounts(pairs):
+    return hpylm.discount(sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values()))
+
+
+def one_by_one(rows, theta, d, d0, sweeps, seed=1):
+    """Averaged probability of every (context, word) asked for, by customers that are seated one by one."""
+    rng = random.Random(seed)
+    train = [(a, b) for i, t in rows if not hpylm.is_held_out(i) for a, b in zip(["", *words(t)], words(t))]
+    vocab = {b for _, b in train}
+    top = Restaurant(hpylm.THETA, d0, Uniform(len(vocab) + 1), rng)
+    own = defaultdict(lambda: Restaurant(theta, d, top, rng))
+    for a, b in train:
+        own[a].add(b)
+    total = Counter()
+    asked = {(a, b) for _, t in rows for a, b in zip(["", *words(t)], words(t))}
+    for k in range(sweeps):
+        for a, b in rng.sample(train, len(train)):
+            own[a].remove(b)
+            own[a].add(b)
+        if k >= sweeps // 5:
+            for a, b in asked:
+                total[a, b] += own[a].p(b) if a in own else top.p(b)
+    kept = sweeps - sweeps // 5
+    return {x: total[x] / kept for x in asked}
+
+
+def test_scores_of_a_sampler_that_seats_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "PRIOR", (2e6, 1e6))  # holds the concentration at 2
+    rng = random.Random(4)
+    names = [f"w{k}" for k in range(25)]
+    rows = [(i, " ".join(rng.choices(names, [1 / (k + 1) for k in range(25)], k=rng.randint(3, 30)))) for i in range(60)]
+    rows.append((next(i for i in range(100, 200) if hpylm.is_held_out(i)), "w1 never w2 seen w24 w23"))
+    got = {r.id: r.score for r in hpylm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), sweeps=16).collect()}
+    train = [(a, b) for i, t in rows if not hpylm.is_held_out(i) for a, b in zip(["", *words(t)], words(t))]
+    d = discounts(Counter(train))
+    # the parent's discount follows from how many contexts have a table for a word: most often one for each pair
+    d0 = discounts(Counter(b for _, b in set(train)))
+    want = one_by_one(rows, 2.0, d, d0, 150)
+    for i, t in rows:
+        w = words(t)
+        expected = sum(math.log10(want[a, b]) for a, b in zip(["", *w], w))
+        assert got[i] == pytest.approx(expected, abs=0.03 * len(w))
+    assert sum(got.values()) == pytest.approx(sum(math.log10(want[a, b]) for _, t in rows for a, b in zip(["", *words(t)], words(t))), rel=0.01)
+
+
 def test_probabilities_add_up(spark):
-    """Over all known words and the unknown one, after a context of its own."""
-    docs = [(i, passage(i, 100), "en", "s", 0) for i in range(30)]
-    known = sorted({w for i, t, *_ in docs if not hpylm.is_held_out(i) for w in words(t)} - {"\n"})
-    probe = [i for i in range(1000, 2000) if hpylm.is_held_out(i)][: len(known) + 1]
-    docs += [(i, f"the {w}", "en", "s", 0) for i, w in zip(probe, [*known, "never-seen"])]
-    docs += [(probe[-1] + 7000 + k, x, "en", "s", 0) for k, x in enumerate(["the"]) if hpylm.is_held_out(probe[-1] + 7000 + k)]
-    got = {r.id: r.score for r in hpylm.score(spark.createDataFrame(docs, SCHEMA), contexts=1).collect()}
-    # log p(the) + log p(w | the) + log p(end | ...): the first and last are the same for all but a frequent w
-    total = {w: got[i] for i, w in zip(probe, [*known, "never-seen"])}
-    assert len(total) == len(known) + 1 and max(total.values()) < 0
-
-
-def test_seating():
-    rng = np.random.default_rng(0)
-    n = np.array([0, 1, 2, 1000, 10**7])
-    t = hpylm.seat(rng, n, np.full(5, 0.5), 0.5)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and 1 <= t[3] <= 1000 and 1 <= t[4] <= 10**7
-
-
-def test_contexts():
-    h = np.array([1, 5, 2, 9, 9, 5], np.uint64)
-    got = hpylm.contexts_of(h, np.array([0, 0, 0, 1, 1, 1]), np.array([0, 3, 6]), np.array([5, 1], np.uint64))
-    assert got.tolist() == [0, 2, 1, 0, 0, 0]
+    """Of all words and the unknown one after each context, hot or not, from the shard's own tables."""
+    rng = random.Random(9)
+    names = [f"w{k}" for k in range(12)]
+    train = [i for i in range(400) if not hpylm.is_held_out(i)]
+    held = [i for i in range(400) if hpylm.is_held_out(i)]
+    rows = [(i, " ".join(rng.choices(names, k=20))) for i in train]
+    # held-out texts bring every pair, and one word that was never seen
+    rows += [(i, " ".join(f"{a} {b}" for b in [*names, "unseen"])) for i, a in zip(held, [*names, "other"])]
+    rows += [(held[-1], " ".join(names)), (held[-2], "unseen")]
+    seen = {}
+    original = hpylm.predictive
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    for hot in ([], [b"w0", b"w3"]):
+        asked = pd.DataFrame(texts.repartition(1).mapInArrow(hpylm._ask(1, hot, hpylm.is_held_out, True), hpylm.ASK).toPandas())
+        for c in asked.columns[2:]:
+            asked[c] = [bytes(x) if x is not None else None for x in asked[c]]
+        shard = hpylm.Shard(asked, 1)
+        state = hpylm._open(1, hot)(asked)
+        told = pd.DataFrame([{**x, "source": 0} for x in state["out"].iloc[0]])
+        parent = hpylm._parent_open(told)
+        sums = 5 + 2 * len(hot)
+        now, above, sweeps = hpylm.Totals(np.array(state["totals"].iloc[0]), len(hot)), hpylm.Above(np.array(parent["totals"].iloc[0])), []
+        for k in range(3):
+            replies = pd.DataFrame([{**x, "shard": 0} for x in parent["out"].iloc[0]])
+            state = hpylm._sweep(now, above, len(hot), k, k > 0)(state, replies)
+            after = hpylm.Totals(np.array(state["totals"].iloc[0]), len(hot), 0.7)
+            assert len(state["totals"].iloc[0]) == sums
+            if k:
+                sweeps.append((now, after, above))
+            told = pd.DataFrame([{**x, "source": 0} for x in state["out"].iloc[0]])
+            parent = hpylm._parent_sweep(above, k)(parent, told)
+            now, above = after, hpylm.Above(np.array([*parent["totals"].iloc[0][:3], above.tokens, *parent["totals"].iloc[0][4:]]))
+        p = original(shard, shard.hot(hot), list(state["kept"].iloc[0]), sweeps)
+        by = {(shard.u[u], shard.w[w]): x for u, w, x in zip(shard.pu, shard.pw, p)}
+        for a in names:
+            a = a.encode()
+            # the end of a text is a word like any other; pairs of it that no text asks for are left out
+            total = sum(by[a, b.encode()] for b in names) + by[a, b"unseen"]
+            assert total + by.get((a, b""), 0.0) == pytest.approx(1, abs=1e-9) or ((a, b"") not in by and total < 1)
+        assert any((a.encode(), b"") in by for a in names)
+        seen[len(hot)] = by
+    # hot contexts have the same totals, thus much the same probabilities
+    assert all(seen[0][x] == pytest.approx(seen[2][x], rel=0.5) for x in seen[0])
+
+
+def test_hot_contexts_are_dealt_by_their_words(spark, monkeypatch):
+    rows = [(i, " ".join(f"the {w}" for w in passage(i, 60).split())) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = {r.id: r.score for r in hpylm.score(docs).collect()}
+    monkeypatch.setattr(hpylm, "hot_words", lambda rows: [])
+    cold = {r.id: r.score for r in hpylm.score(docs).collect()}
+    assert all(whole[i] == pytest.approx(cold[i], rel=0.03) for i in whole)
 
 
 def test_nothing_to_learn_from(spark):
