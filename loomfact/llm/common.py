@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from functools import wraps
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,20 @@ NO_ID = -(1 << 63)
 STEP_BYTES = 2 << 20
 #: Rows that Spark hands to a Python worker at a time; its default of 10,000 long texts would not fit beside their arrays.
 BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Keys, of some 40 bytes each, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset and all run on one machine, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomfact-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -59,11 +64,15 @@ def _libc(name: str, *args: int) -> None:
         pass
 
 
-# Workers live as long as their executor.  Freed arrays go back to the system, not to a store of
-# the allocator's: fixed values M_TRIM_THRESHOLD (-1), M_MMAP_THRESHOLD (-3) and M_ARENA_MAX (-8).
-for _option, _value in ((-1, 8 << 20), (-3, 4 << 20), (-8, 2)):
-    _libc("mallopt", _option, _value)
-pa.set_memory_pool(pa.system_memory_pool())
+@cache
+def _thrift() -> None:
+    """In a Python worker, which lives as long as its executor: freed arrays go back to the system, not to a store of the allocator's.
+
+    Fixed values: M_TRIM_THRESHOLD (-1), M_MMAP_THRESHOLD (-3) and M_ARENA_MAX (-8).
+    """
+    for option, value in ((-1, 8 << 20), (-3, 4 << 20), (-8, 2)):
+        _libc("mallopt", option, value)
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def frugal(run):
@@ -71,6 +80,7 @@ def frugal(run):
 
     @wraps(run)
     def wrapped(batches):
+        _thrift()
         try:
             yield from run(batches)
         finally:
@@ -89,14 +99,27 @@ def whole(text: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Texts on their way to Python workers: sets the size of batches, and deals rows out anew where a small file would leave most cores idle; larger inputs keep their own splits."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (0, 10_000):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """Texts on their way to Python workers.
+
+    Where the session has no size of Arrow batches of its own, batches become smaller for
+    it.  Rows are dealt out anew where a small file would leave most cores idle; larger
+    inputs, and what comes from a shuffle, keep their own splits.
+    """
+    spark = df.sparkSession
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # to count its splits would run it
+        return df
+    cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def without(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_anti") -> DataFrame:
+    """rows joined with a table of keys, which is broadcast if it is small; texts then stay where they are."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
+
+
 def steps(sizes: np.ndarray, most: int = STEP_BYTES):
     """(from, to) row ranges of at most ``most`` bytes each; a longer single row has its own range."""
     start, total = 0, 0

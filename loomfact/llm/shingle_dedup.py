@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, mix, ragged, shuffles, spread, steps, stored, Tokens
+from .common import frugal, mix, ragged, shuffles, spread, steps, stored, Tokens, without
 from .graph import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -67,8 +67,8 @@ def band_keys(h: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
     return out
 
 
-def _each(column: str, make):
-    """(row, make's list of numbers) of every (row, text)."""
+def _each(column: str, make, key: str = "row"):
+    """(key, make's list of numbers) of every (key, text)."""
 
     @frugal
     def run(batches):
@@ -78,7 +78,7 @@ def _each(column: str, make):
             for a, b in steps(sizes):
                 values, n = make(text.slice(a, b - a).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["row", column])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [key, column])
 
     return run
 
@@ -149,27 +149,35 @@ def near_components(rows: DataFrame, words: int = WORDS, similar: float = SIMILA
     """
     spark = rows.sparkSession
     rows = rows.select("row", "text")
-    keys = stored(spread(rows).mapInArrow(_each("keys", _keys(words, bands_for(similar))), "row binary, keys array<bigint>"), "keys")
-    filed = keys.select("row", F.explode("keys").alias("key"))
-    heads = stored(filed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").drop("high"), "heads")
-    members = stored(filed.join(heads, "key").distinct(), "members")
-    busy = stored(members.select("row").distinct(), "busy")
-    sets = rows.join(busy, "row", "left_semi").mapInArrow(_each("set", _sets(words)), "row binary, set array<bigint>")
-    sets = stored(sets.dropDuplicates(["row"]), "sets")
-    low = sets.select(F.col("row").alias("low"), F.col("set").alias("other"))
-    pairs = stored(members.where("row <> low").select("row", "low").distinct(), "pairs")
+    made = spread(rows).mapInArrow(_each("keys", _keys(words, bands_for(similar))), "row binary, keys array<bigint>")
+    made = made.groupBy("row").agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    # numbers are shorter than keys on the way through the joins
+    keys = stored(made.withColumn("num", F.monotonically_increasing_id()), "keys")
+    filed = keys.select("num", F.explode("keys").alias("key"))
+    heads = stored(filed.groupBy("key").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low <> high").drop("high"), "heads")
+    members = stored(filed.join(heads, "key"), "members")
+    busy = stored(keys.select("num", "row", "copies").join(members.select("num").distinct(), "num", "left_semi"), "busy")
+    repeated = busy.where("copies > 1").limit(1).count()
+    sets = without(rows, busy.select("row", "num"), "row", "inner").select("num", "text").mapInArrow(_each("set", _sets(words), "num"), "num bigint, set array<bigint>")
+    sets = stored(sets.dropDuplicates(["num"]) if repeated else sets, "sets")
+    low = sets.select(F.col("num").alias("low"), F.col("set").alias("other"))
+    pairs = stored(members.where("num <> low").select("num", "low").distinct(), "pairs")
     common = F.size(F.array_intersect("set", "other"))
     alike = common >= F.lit(similar) * (F.size("set") + F.size("other") - common) - F.lit(1e-9)
-    stars = stored(pairs.join(sets, "row").join(low, "low").where(alike).select(F.col("row").alias("a"), F.col("low").alias("b")), "stars")
+    stars = stored(pairs.join(sets, "num").join(low, "low").where(alike).select(F.col("num").alias("a"), F.col("low").alias("b")), "stars")
     tree = stored(components(stars), "trees")
-    placed = stored(members.select("key", "row").join(tree, members.row == tree.node, "left").select("key", "row", F.coalesce("root", "row").alias("root")), "placed")
+    placed = stored(members.select("key", "num").join(tree, members.num == tree.node, "left").select("key", "num", F.coalesce("root", "num").alias("root")), "placed")
     apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     apart = stored(placed.join(apart, "key"), "apart")
     n = apart.count()
-    if not n:
-        return tree
-    mean = sets.agg(F.avg(F.size("set"))).first()[0]
-    shards = max(6 * shuffles(spark), ceil(8 * n * mean / SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    more = apart.join(sets, "row").select(shard, "key", "row", "root", "set").groupBy("shard").applyInPandas(_compare(similar), "a binary, b binary")
-    return components(stars.unionByName(more))
+    if n:
+        mean = sets.agg(F.avg(F.size("set"))).first()[0]
+        shards = max(6 * shuffles(spark), ceil(8 * n * mean / SHARD_BYTES))
+        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+        more = apart.join(sets, "num").select(shard, "key", F.col("num").alias("row"), "root", "set").groupBy("shard").applyInPandas(_compare(similar), "a bigint, b bigint")
+        tree = stored(components(stars.unionByName(more)), "trees")
+    # numbers say nothing of the order of keys: the smallest key of a component is its root
+    both = tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())
+    named = stored(both.join(busy.select("num", "row"), both.node == busy.num).select("root", "row"), "named")
+    least = named.groupBy("root").agg(F.min("row").alias("least"))
+    return named.join(least, "root").where("row <> least").select(F.col("row").alias("node"), F.col("least").alias("root"))

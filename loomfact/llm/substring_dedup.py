@@ -15,9 +15,10 @@ minimisers, and the windows of those with more than one in ``HOT`` of all super-
 of its own hash, where equal windows meet just as well.
 
 Defined results: null text has no words; fewer than k words, nothing removed; a null id
-ranks before all others; rows that share id and text are one document, so that neither
-is earlier than the other; an empty table gives an empty result; other columns are
-ignored.
+ranks before all others; of rows that share an id, neither is earlier than the other,
+only a start may be: windows at the same start repeat nothing there, whether the texts
+are equal or not; a text is cut in words as a whole, however long; an empty table gives
+an empty result; other columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from .common import frugal, mix, NO_ID, _powers, ragged, shuffles, spread, STEP_BYTES, steps, stored, Tokens, whole
+from .common import NO_ID, STEP_BYTES, Tokens, _powers, frugal, mix, ragged, shuffles, spread, steps, stored, whole
 from .simhash_dedup import joined_words
 
 K, M = 20, 3
@@ -40,8 +43,8 @@ K, M = 20, 3
 HOT, COUNTED = 4_096, 1_024
 #: zstd level of what travels.
 LEVEL = 3
-#: Bytes of packed strings that a shard gets, and of text that a chunk gets, on average at most.
-SHARD_BYTES, CHUNK_BYTES = 20_000_000, 4_000_000
+#: Bytes of packed strings that a shard gets on average at most.
+SHARD_BYTES = 20_000_000
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -121,19 +124,21 @@ def _send(k: int, m: int, shards: int, hot: np.ndarray):
             order = np.argsort(first)
             first, n, low = first[order], n[order], low[order]
         data, lo, hi = joined_words(tok, tok.data)
+        # by id and start, so that the first of equal strings is an earliest one, whatever the order of rows
+        order = np.lexsort([first - tok.first[tok.doc[first]], ids[tok.doc[first]]])
+        first, n, low = first[order], n[order], low[order]
         doc = tok.doc[first]
         start = first - tok.first[doc]
         parts = [data[a:b] for a, b in zip(lo[first].tolist(), (hi[first + n + k - 2] + 1).tolist())]
         seen: dict[bytes, int] = {}
         lead = np.fromiter((seen.setdefault(x, j) for j, x in enumerate(parts)), np.int64, len(parts))
-        same = (ids[doc[lead]] == ids[doc]) & (tags[doc[lead]] == tags[doc]) & (start[lead] == start)
-        copy = (lead != np.arange(len(parts))) & ~same
-        # a first copy of an equal row stands for both
-        send = np.flatnonzero(lead == np.arange(len(parts)))
-        told = np.flatnonzero(copy)
+        level = (ids[doc[lead]] == ids[doc]) & (start[lead] == start)
+        # a first copy of an equal row stands for both; other texts of its id speak for themselves
+        send = np.flatnonzero((lead == np.arange(len(parts))) | (level & (tags[doc[lead]] != tags[doc])))
+        told = np.flatnonzero(~level)
         at = (low % np.uint64(shards)).astype(np.int32)
-        # what is settled needs no meeting place: it goes where its document's id leads
-        at[told] = (mix(ids[doc[told]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        # what is settled needs no meeting place: it goes where its document leads
+        at[told] = (mix(ids[doc[told]].view(np.uint64) ^ mix(tags[doc[told]].view(np.uint64))) % np.uint64(shards)).astype(np.int32)
         # like next to like, for the compressor
         send, told = send[np.lexsort([low[send], at[send]])], told[np.argsort(at[told], kind="stable")]
         every = np.unique(np.concatenate([at[send], at[told]]))
@@ -275,92 +280,65 @@ def cover(n_words: int, start: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _chunked(carry: bool):
-    """Whole texts, packed by chunk."""
+def _apply(k: int, text_at: int, found, schema: pa.Schema):
+    """Texts (column ``text_at``) without the runs in the last column; ``found(batch, rows)`` makes the columns from (words, removed, kept text) of each row."""
 
     @frugal
     def run(batches):
-        press = zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
-            text = batch.column(3).cast(pa.large_binary())
-            at, ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rest = batch.column(4).to_pylist() if carry else []
-            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), 2 * STEP_BYTES):
-                texts = text.slice(a, b - a).to_pylist()
-                order = np.argsort(at[a:b], kind="stable")
-                own = at[a:b][order]
-                cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), b - a]
-                rows = [order[x:y] for x, y in zip(cut, cut[1:])]
-                made = [pa.array([int(at[a + r[0]]) for r in rows], pa.int32()), *(pa.array([v[a + r].tobytes() for r in rows], pa.binary()) for v in (ids, tags))]
-                made.append(pa.array([np.fromiter((len(texts[i]) for i in r.tolist()), np.int32, len(r)).tobytes() for r in rows], pa.binary()))
-                made.append(pa.array([press(b"".join(texts[i] for i in r.tolist())) for r in rows], pa.binary()))
-                made.append(pa.array([[rest[i] for i in (a + r).tolist()] for r in rows] if carry else [None] * len(rows), pa.list_(pa.string())))
-                yield pa.RecordBatch.from_arrays(made, ["chunk", "ids", "tags", "sizes", "body", "rest"])
+            text = batch.column(text_at).cast(pa.large_binary())
+            runs = batch.column(batch.num_columns - 1)
+            text = text.fill_null(b"") if text.null_count else text
+            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])):
+                rows = []
+                for whole_text, own in zip(text.slice(a, b - a).to_pylist(), runs.slice(a, b - a).to_pylist()):
+                    words = whole_text.split()  # of bytes: splits at the six white-space bytes only
+                    drop = cover(len(words), np.array([r["start"] for r in own], np.int64), np.array([r["n"] for r in own], np.int64), k) if own else None
+                    rows.append((words, 0 if drop is None else int(drop.sum()), None if drop is None else b" ".join(w for w, x in zip(words, drop.tolist()) if not x)))
+                yield pa.RecordBatch.from_arrays(found(batch.slice(a, b - a), rows), schema=schema)
 
     return run
 
 
-def _unpack(part: pd.DataFrame):
-    """(id, tag, text, rest) of each text of a chunk."""
-    plain = zstandard.ZstdDecompressor().decompress
-    for ids, tags, sizes, body, rest in part[["ids", "tags", "sizes", "body", "rest"]].itertuples(index=False):
-        body = plain(body) if body else b""
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        yield from zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(tags, np.int64).tolist(), (body[a:b] for a, b in zip([0, *ends], ends)), rest if rest is not None else [None] * len(ends))
-
-
-def _apply(k: int, with_text: bool):
-    def run(docs: pd.DataFrame, flags: pd.DataFrame) -> pd.DataFrame:
-        of: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(flags):
-            flags = flags.sort_values(["id", "tag"])
-            key = flags[["id", "tag"]].to_numpy()
-            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
-            of = {tuple(key[i].tolist()): (i, j) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)])}
-            start, n = flags["start"].to_numpy(np.int64), flags["n"].to_numpy(np.int64)
-        out = []
-        for i, tag, text, rest in _unpack(docs):
-            words = text.split()  # of bytes: splits at the six white-space bytes only
-            gone = 0
-            if found := of.get((i, tag)):
-                drop = cover(len(words), start[slice(*found)], n[slice(*found)], k)
-                gone = int(drop.sum())
-                words = [w for w, x in zip(words, drop.tolist()) if not x]
-            kept = b" ".join(words)
-            out.append((i, tag, len(words) + gone, gone, (kept if gone else text).decode() if with_text else None, hashlib.sha256(kept).hexdigest(), rest))
-        return pd.DataFrame(out, columns=["id", "tag", "n_words", "n_removed", "kept_text", "kept_sha256", "rest"])
-
-    return run
-
+def _with_runs(docs: DataFrame, k: int, m: int, id_col: str, text_col: str) -> DataFrame:
+    """docs and, as their last column, the runs of windows of each row that repeat an earlier one."""
+    text = whole(F.col(f"`{text_col}`"))
+    key = [F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)), F.xxhash64(text)]
+    rows = docs.select(key[0].alias("id"), key[1].alias("tag"), text.cast("binary").alias("text"))
+    flags = stored(repeated_windows(spread(rows), k, m, text_bytes(rows)).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "repeats")
+    # the columns of docs go on as they are, whatever their names and types
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key[0].alias("id"), key[1].alias("tag"))
+    joined = packed.join(flags, ["id", "tag"], "left")
+    # by number: names may hold dots
+    return joined.select(*[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], "runs")
 
-RESULT = "id bigint, tag bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, rest string"
 
+def substring_dedup(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept_sha256 (of the words that stay, joined by one space)."""
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
-def substring_dedup(docs: DataFrame, k: int = K, m: int = M, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept_text, kept_sha256 (and tag, a hash of the text).
+    def found(batch, rows):
+        return [batch.column(0).cast(pa.int64()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(b" ".join(r[0]) if r[2] is None else r[2]).hexdigest() for r in rows])]
 
-    With with_text, kept_text is what is left (the text as it was where nothing was
-    removed), and rest has the row's other columns as JSON; else both are null.
-    """
-    text = whole(F.col(text_col))
-    others = [c for c in docs.columns if c not in (id_col, text_col)] if with_text else []
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"), F.to_json(F.struct(*others)).alias("rest") if others else F.lit(None).cast("string").alias("rest"))
-    total = text_bytes(rows)
-    flags = stored(repeated_windows(spread(rows), k, m, total), "repeats")
-    chunks = max(6 * shuffles(docs.sparkSession), -(-total // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
-    packed = rows.select(chunk, "id", "tag", "text", "rest").mapInArrow(_chunked(bool(others)), "chunk int, ids binary, tags binary, sizes binary, body binary, rest array<string>")
-    found = packed.groupBy("chunk").cogroup(flags.select(chunk, "*").groupBy("chunk")).applyInPandas(_apply(k, with_text), RESULT)
-    return found.withColumn("id", F.expr(f"nullif(id, {NO_ID})"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return _with_runs(rows, k, m, "id", "text").mapInArrow(_apply(k, 1, found, schema), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, k: int = K, m: int = M, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The rows of docs, with all their columns, their texts without repeats (and size_col, if there is one, counted anew)."""
-    found = substring_dedup(docs, k, m, True, id_col, text_col)
-    others = [f for f in docs.schema if f.name not in (id_col, text_col)]
-    if others:
-        found = found.withColumn("rest", F.from_json("rest", StructType(others)))
-    made = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("kept_text")} | {f.name: F.col("rest")[f.name] for f in others}
-    if size_col in made:
-        made[size_col] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(made[size_col]).cast(docs.schema[size_col].dataType)
-    return found.select(*[made[c].alias(c) for c in docs.columns])
+    """The rows of docs, with all their columns, their texts without repeats (and size_col, if there is one, counted anew where something went)."""
+    joined = _with_runs(docs, k, m, id_col, text_col)
+    names = docs.columns
+    numbered = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    schema = to_arrow_schema(numbered)
+    text_at, size_at = names.index(text_col), names.index(size_col) if size_col in names else None
+
+    def found(batch, rows):
+        out = [batch.column(i).cast(f.type) for i, f in enumerate(schema)]
+        kept = [None if r[2] is None else r[2].decode() for r in rows]
+        changed = pa.array([x is not None for x in kept])
+        out[text_at] = pc.if_else(changed, pa.array(kept, pa.string()), out[text_at])
+        if size_at is not None:
+            out[size_at] = pc.if_else(changed, pa.array([None if x is None else len(x) for x in kept], pa.int64()).cast(schema.field(size_at).type), out[size_at])
+        return out
+
+    return joined.mapInArrow(_apply(k, text_at, found, schema), numbered).toDF(*names)

@@ -1,4 +1,7 @@
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from loomfact.llm.queries import vocabulary
 
 from .frames import edge_docs, empty_docs, passage
 from .test_simhash import brute_components, brute_fingerprint
@@ -41,6 +44,24 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_run(spark, tmp_path):
+    """Every surviving row's words arrive in the sequences, once, whatever shares its id; what copies say goes."""
+    common, own = passage(900, 40), [passage(i, 60) for i in range(30)]
+    rows = [(i, own[i], "en", "s", 0) for i in range(30)]
+    rows += [(100, own[3], "en", "s", 0), (101, own[4] + " end", "en", "s", 0), (102, common + " " + passage(77, 30), "en", "s", 0), (103, passage(78, 30) + " " + common, "en", "s", 0)]
+    rows += [(200, "same text", "en", "s", 0), (201, "same text", "en", "s", 0), (201, "a unique text", "en", "s", 0), (None, "same text", None, None, None), (None, "only here", None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in got]
+    assert sorted(i for i in ids if i is not None) == [*range(30), 102, 103, 200, 201] and ids.count(None) == 1
+    tokenizer = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    size = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids) + 1
+    lengths = {r.doc_id: r.length for r in got}
+    assert all(lengths[i] == size(own[i]) for i in range(30)) and lengths[201] == size("a unique text") and lengths[None] == size("only here")
+    assert lengths[102] == size(rows[32][1]) and lengths[103] == size(passage(78, 30))
+
+
 def test_exact_copies_go_by_row(spark):
     rows = [(1, "a copied text"), (None, "a  copied text"), (None, "only here, without id"), (2, "a copied\ntext"), (2, "only here, with a shared id"), (3, "sent twice"), (3, "sent twice"), (None, "no ids at all"), (None, "no ids at all")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
