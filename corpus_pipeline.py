@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfact.llm import exact_dedup, packing, shingle_dedup, substring_dedup, toxicity
-from loomfact.llm.common import stored, whole
+from loomfact.llm.common import stored, whole, without
 from loomfact.llm.queries import vocabulary
 
 
@@ -24,10 +24,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _one_each(docs: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
     """docs but for the rows whose keys are in gone (column _row), and one row of each key in several."""
-    left = _keyed(docs).join(gone, "_row", "left_anti")
+    left = without(_keyed(docs), gone, "_row")
     if not several.isEmpty():
-        left = left.join(several, "_row", "left_anti").unionByName(left.join(several, "_row", "left_semi").dropDuplicates(["_row"]))
-    return left.select(*docs.columns)
+        left = without(left, several, "_row").unionByName(without(left, several, "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
