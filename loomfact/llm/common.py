@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from functools import cache, wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,22 @@ def _thrift() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
+def trimmed(run):
+    """A function of a group, in a Python worker, that gives its memory back: idle workers of an executor keep theirs else."""
+
+    def over(*groups):
+        _thrift()
+        try:
+            return run(*groups)
+        finally:
+            _libc("malloc_trim", 0)
+
+    # Spark asks how many arguments there are
+    return (lambda one: over(one)) if len(signature(run).parameters) == 1 else (lambda one, other: over(one, other))
+
+
 def frugal(run):
-    """A generator of a Python worker that gives its memory back when it ends: idle workers of an executor keep theirs else."""
+    """The same for a generator of batches."""
 
     @wraps(run)
     def wrapped(batches):
@@ -159,13 +174,18 @@ class Tokens:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word: a sum over its bytes in an odd-based ring, then mixed with its length."""
-        n = len(self.raw)
-        if not n:
-            return np.zeros(0, np.uint64)
-        grown, back = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_FOLD if lower else _BYTE)[self.raw] * grown[:n], out=sums[1:])
-        return mix((sums[self.hi] - sums[self.lo]) * back[self.lo] + (self.hi - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return ring(self.raw, self.lo, self.hi, lower)
+
+
+def ring(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes in each range."""
+    n = len(raw)
+    if not n:
+        return mix(np.zeros(len(lo), np.uint64))
+    grown, back = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_FOLD if lower else _BYTE)[raw] * grown[:n], out=sums[1:])
+    return mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -39,17 +39,17 @@ long; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, frugal, ragged, shuffles, spread, steps, stored, whole
+from .common import forget, frugal, ragged, ring, shuffles, spread, steps, stored, trimmed, whole
 
 #: Sweeps, the first of which isn't averaged; turns of a sweep.
 SWEEPS, TURNS = 3, 4
@@ -92,31 +92,50 @@ def _wide(x: bytes | None) -> np.ndarray:
     return _unzip(x[1:], np.dtype(x[:1].decode())).astype(np.int64) if x else np.zeros(0, np.int64)
 
 
-def _listed(words: list[bytes]) -> bytes:
-    return _zip(b"\n".join(words))
+def _home(words: pa.Array, shards: int) -> np.ndarray:
+    """The shard of each word; only decides where pairs meet."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return (ring(np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0], ends[1:] - ends[0]) % np.uint64(shards)).astype(np.int64)
 
 
-def _words(x: bytes) -> list[bytes]:
-    return _plain(x).split(b"\n")
+def _listed(words: pa.Array, at: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """The words at ``at``, cut in lists, each packed in one string; no word holds a line feed."""
+    taken = words.take(pa.array(at))
+    ended = pc.binary_join_element_wise(taken, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    ends = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset :][cut].tolist()
+    data = memoryview(ended.buffers()[2])
+    return [_zip(bytes(data[a : b - 1])) for a, b in zip(ends, ends[1:])]
 
 
-def _home(words: list[bytes], shards: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shards
+def _merged(lists: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of packed lists in order, and the number of each word of the lists."""
+    flat = pc.split_pattern(pa.array([b"\n".join(map(_plain, lists))], pa.large_binary()), pattern="\n").flatten().dictionary_encode()
+    order = pc.sort_indices(flat.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return flat.dictionary.take(pa.array(order)), rank[flat.indices.to_numpy()]
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens in order (the end first), the number of each token, and how many each text has."""
-    lists = [t.lower().split() for t in texts]  # of bytes: ASCII letters, and the six white-space bytes
-    for x in lists:
-        x.append(END)
-    flat = list(chain.from_iterable(lists))
-    vocab = sorted(set(flat))
-    at = dict(zip(vocab, range(len(vocab))))
-    return vocab, np.fromiter(map(at.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, lists), np.int64, len(lists))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    flat = lists.flatten().cast(pa.large_binary())
+    made = pa.concat_arrays([pa.array([END], pa.large_binary()), flat]).dictionary_encode()
+    order = pc.sort_indices(made.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # a text without words comes as one empty word, which is its end; others get theirs
+    words = pc.binary_length(texts).to_numpy() > 0
+    words[words] = rank[made.indices.to_numpy()[1:]][(np.cumsum(n) - n)[words]] > 0
+    sizes = n + words
+    ids = np.zeros(int(sizes.sum()), np.int64)
+    ids[ragged(np.cumsum(sizes) - sizes, n)] = rank[made.indices.to_numpy()[1:]]
+    return made.dictionary.take(pa.array(order)), ids, sizes
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -128,9 +147,9 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 def _texts(batch: pa.RecordBatch):
     """(ids, texts) of a piece of a batch of (id, text)."""
-    text = batch.column(1).cast(pa.large_binary())
+    text = batch.column(1).cast(pa.large_string())
     for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]), PIECE_BYTES):
-        yield batch.column(0).slice(a, b - a).to_pylist(), text.slice(a, b - a).to_pylist()
+        yield batch.column(0).slice(a, b - a).to_pylist(), text.slice(a, b - a)
 
 
 @frugal
@@ -141,7 +160,7 @@ def _common(batches):
             vocab, ids, _ = tokens(texts)
             n = np.bincount(ids, minlength=len(vocab))
             top = np.argsort(-n, kind="stable")[:HOT].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([None, *(vocab[i] for i in top)], pa.binary()), pa.array([len(ids), *n[top].tolist()], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None, *vocab.take(pa.array(top)).to_pylist()], pa.binary()), pa.array([len(ids), *n[top].tolist()], pa.int64())], ["word", "n"])
 
 
 def hot_words(rows: DataFrame) -> list[bytes]:
@@ -155,32 +174,34 @@ def hot_words(rows: DataFrame) -> list[bytes]:
 
 def _ask(shards: int, hot: list[bytes], held_out, with_docs: bool):
     """A row for each shard that a piece has pairs for: contexts, how many words follow each, words, which word, training count; with_docs also how often each pair stands where, and, in one row, what the texts are."""
-    warm = set(hot)
-
-    def piece(number: int, ids: list, texts: list[bytes]):
+    def piece(number: int, ids: list, texts: pa.Array):
         vocab, w, sizes = tokens(texts)
         held = np.fromiter(map(held_out, ids), bool, len(ids))
         doc = np.repeat(np.arange(len(ids)), sizes)
         u = np.concatenate([[0], w[:-1]])  # the end of the text before is the first word's context
-        home = _home(vocab, shards)
-        shard = np.where(np.fromiter((x in warm for x in vocab), bool, len(vocab))[u], home[w], home[u])
-        v = len(vocab)
+        home, v = _home(vocab, shards), len(vocab)
+        warm = pc.is_in(vocab, value_set=pa.array(hot, pa.large_binary())).to_numpy(zero_copy_only=False)
+        shard = np.where(warm[u], home[w], home[u])
         order = np.argsort((shard * v + u) * v + w) if shards * v * v < 1 << 62 else np.lexsort([w, u, shard])
         s, u, w, doc = shard[order], u[order], w[order], doc[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (s[1:] != s[:-1])
+        context = np.ones(len(w), bool)
+        context[1:] = (u[1:] != u[:-1]) | (s[1:] != s[:-1])
+        new = context.copy()
+        new[1:] |= w[1:] != w[:-1]
         at = np.flatnonzero(new)
         n = np.add.reduceat(~held[doc], at, dtype=np.int64)
-        s, u, w = s[at], u[at], w[at]
-        cut = np.append(_runs(s), len(s)).tolist()
+        s, u, w, context = s[at], u[at], w[at], np.flatnonzero(context[at])
         at = np.append(at, len(doc))
+        cut = np.append(_runs(s), len(s))
+        own, wi = np.unique(s * v + w, return_inverse=True)
+        u_cut, w_cut = np.searchsorted(context, cut), np.searchsorted(own, np.append(s[cut[:-1]], s[-1] + 1) * v)
+        u_words, w_words = _listed(vocab, u[context], u_cut), _listed(vocab, own % v, w_cut)
+        follow = np.diff(np.append(context, len(s)))
         meta = b""
         if with_docs:
             meta = _zip(np.array([i or 0 for i in ids], np.int64).tobytes() + sizes.tobytes() + np.array([i is None for i in ids]).tobytes() + held.tobytes())
-        for a, b in zip(cut, cut[1:]):
-            runs = _runs(u[a:b])
-            own, wi = np.unique(w[a:b], return_inverse=True)
-            row = [int(s[a]), number, _listed([vocab[i] for i in u[a:b][runs].tolist()]), _narrow(np.diff(np.append(runs, b - a))), _listed([vocab[i] for i in own.tolist()]), _narrow(wi), _narrow(n[a:b])]
+        for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+            row = [int(s[a]), number, u_words[k], _narrow(follow[u_cut[k] : u_cut[k + 1]]), w_words[k], _narrow(wi[a:b] - w_cut[k]), _narrow(n[a:b])]
             yield (*row, _narrow(np.diff(at[a : b + 1])), _narrow(doc[at[a] : at[b]]), meta) if with_docs else (*row, None, None, None)
             meta = b""
 
@@ -204,20 +225,21 @@ class Shard:
     """The pairs of a shard in order, from the rows that pieces sent it."""
 
     def __init__(self, part: pd.DataFrame, parents: int):
-        rows = [(_words(u), _wide(un), _words(w), _wide(wi)) for u, un, w, wi in zip(part["u"], part["un"], part["w"], part["wi"])]
         #: Contexts by word; words by the parent's shard, then by word; where each parent's shard begins.
-        self.u = sorted(set(chain.from_iterable(r[0] for r in rows)))
-        words = sorted(set(chain.from_iterable(r[2] for r in rows)))
+        self.u, u = _merged(part["u"])
+        words, w = _merged(part["w"])
         home = _home(words, parents)
         order = np.argsort(home, kind="stable")
-        self.w = [words[i] for i in order.tolist()]
+        self.w = words.take(pa.array(order))
         self.ends = np.searchsorted(home[order], np.arange(parents + 1))
-        u_at, w_at = (dict(zip(x, range(len(x)))) for x in (self.u, self.w))
-        keys = []
-        for u, un, w, wi in rows:
-            u = np.fromiter(map(u_at.__getitem__, u), np.int64, len(u))
-            w = np.fromiter(map(w_at.__getitem__, w), np.int64, len(w))
-            keys.append(np.repeat(u, un) * len(self.w) + w[wi])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        w = place[w]
+        keys, i, j = [], 0, 0
+        for un, wi in zip(map(_wide, part["un"]), map(_wide, part["wi"])):
+            n = int(wi.max()) + 1
+            keys.append(np.repeat(u[i : i + len(un)], un) * len(self.w) + w[j : j + n][wi])
+            i, j = i + len(un), j + n
         #: Entries of each row, and the place of every entry among the pairs.
         self.entries = np.cumsum([0, *map(len, keys)])
         pairs, self.place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -228,8 +250,8 @@ class Shard:
 
     def hot(self, hot: list[bytes]) -> np.ndarray:
         """(context here, number among the hot ones) of the hot contexts."""
-        at = dict(zip(self.u, range(len(self.u)))) if hot else {}
-        return np.array([(at[x], k) for k, x in enumerate(hot) if x in at], np.int64).reshape(-1, 2)
+        at = pc.index_in(pa.array(hot, pa.large_binary()), value_set=self.u).to_pylist()
+        return np.array([(x, k) for k, x in enumerate(at) if x is not None], np.int64).reshape(-1, 2)
 
 
 # --- seating ----------------------------------------------------------------
@@ -359,7 +381,9 @@ class Above:
 
 def _out(shard: Shard | None, ends: np.ndarray, c: np.ndarray | None, t: np.ndarray) -> list[dict]:
     """What each of the parent's shards is told: words and training counts (the first time only), and tables."""
-    return [{"to": int(k), "words": _listed(shard.w[a:b]) if shard else None, "c": _narrow(c[a:b]) if shard else None, "t": _narrow(t[a:b])} for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if b > a]
+    some = np.flatnonzero(np.diff(ends))
+    words = _listed(shard.w, np.arange(len(shard.w)), np.append(ends[some], ends[-1])) if shard else [None] * len(some)
+    return [{"to": k, "words": x, "c": _narrow(c[ends[k] : ends[k + 1]]) if shard else None, "t": _narrow(t[ends[k] : ends[k + 1]])} for k, x in zip(some.tolist(), words)]
 
 
 def _opened(rng, tables: np.ndarray, guests: np.ndarray, theta: float, d: float) -> tuple[float, float]:
@@ -463,14 +487,13 @@ def _parent_row(shard: int, sources, routes, t, c, n) -> pd.DataFrame:
 def _parent_open(part: pd.DataFrame) -> pd.DataFrame:
     """A shard of the parent: its words are those that the contexts' shards name, each dish at one table to begin with."""
     part = part.sort_values("source")
-    lists = [_words(x) for x in part["words"]]
-    words = sorted(set(chain.from_iterable(lists)))
-    at = dict(zip(words, range(len(words))))
-    routes = [np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in lists]
+    words, at = _merged(part["words"])
+    counts, tables = [_wide(x) for x in part["c"]], [_wide(x) for x in part["t"]]
+    routes = np.split(at, np.cumsum([len(x) for x in counts])[:-1])
     c, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-    for r, x, y in zip(routes, part["c"], part["t"]):
-        c[r] += _wide(x)
-        n[r] += _wide(y)
+    for r, x, y in zip(routes, counts, tables):
+        c[r] += x
+        n[r] += y
     return _parent_row(int(part["to"].iloc[0]), part["source"].tolist(), routes, np.minimum(n, 1), c, n)
 
 
@@ -572,14 +595,14 @@ def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int
     sums = 5 + 2 * len(hot)
     rng = np.random.default_rng(seed)
     asked = rows.mapInArrow(_ask(shards, hot, held_out, False), ASK)
-    state = stored(asked.groupBy("shard").applyInPandas(_open(parents, hot), STATE), "seats")
+    state = stored(asked.groupBy("shard").applyInPandas(trimmed(_open(parents, hot)), STATE), "seats")
     told = lambda: state.select(F.col("shard").alias("source"), F.inline("out"))
-    parent = stored(told().groupBy("to").applyInPandas(_parent_open, PARENT), "parent")
+    parent = stored(told().groupBy("to").applyInPandas(trimmed(_parent_open), PARENT), "parent")
     now, above = Totals(_added(state, sums), len(hot)), Above(_added(parent, 6))
     tokens, counted = above.tokens, []
     for k in range(sweeps):
         replies = parent.select("shard", F.inline("out"))
-        after = stored(state.groupBy("shard").cogroup(replies.groupBy("to")).applyInPandas(_sweep(now, above, len(hot), seed + k, k > 0 or sweeps == 1), STATE), "seats")
+        after = stored(state.groupBy("shard").cogroup(replies.groupBy("to")).applyInPandas(trimmed(_sweep(now, above, len(hot), seed + k, k > 0 or sweeps == 1)), STATE), "seats")
         forget(state)
         state = after
         then = Totals(_added(state, sums), len(hot))
@@ -589,11 +612,11 @@ def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int
         then.theta = max(1e-3, rng.gamma(PRIOR[0] + then.opened + opened) / (PRIOR[1] - then.logs - logs))
         now = then
         if k + 1 < sweeps:
-            after = stored(parent.groupBy("shard").cogroup(told().groupBy("to")).applyInPandas(_parent_sweep(above, seed + 1000 + k), PARENT), "parent")
+            after = stored(parent.groupBy("shard").cogroup(told().groupBy("to")).applyInPandas(trimmed(_parent_sweep(above, seed + 1000 + k)), PARENT), "parent")
             forget(parent)
             parent = after
             above = Above(_added(parent, 6))
     above.tokens = tokens
     asked = rows.mapInArrow(_ask(shards, hot, held_out, True), ASK)
-    found = asked.groupBy("shard").cogroup(state.select("shard", "kept").groupBy("shard")).applyInPandas(_finish(parents, hot, counted, above), SUMS)
-    return found.groupBy("piece").applyInPandas(_score(int(tokens)), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    found = asked.groupBy("shard").cogroup(state.select("shard", "kept").groupBy("shard")).applyInPandas(trimmed(_finish(parents, hot, counted, above)), SUMS)
+    return found.groupBy("piece").applyInPandas(trimmed(_score(int(tokens))), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")

@@ -246,7 +246,8 @@ def test_probabilities_add_up(spark):
             parent = hpylm._parent_sweep(above, k)(parent, told)
             now, above = after, hpylm.Above(np.array([*parent["totals"].iloc[0][:3], above.tokens, *parent["totals"].iloc[0][4:]]))
         p = original(shard, shard.hot(hot), list(state["kept"].iloc[0]), sweeps)
-        by = {(shard.u[u], shard.w[w]): x for u, w, x in zip(shard.pu, shard.pw, p)}
+        us, ws = shard.u.to_pylist(), shard.w.to_pylist()
+        by = {(us[u], ws[w]): x for u, w, x in zip(shard.pu, shard.pw, p)}
         for a in names:
             a = a.encode()
             # the end of a text is a word like any other; pairs of it that no text asks for are left out
