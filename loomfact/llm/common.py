@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: A run of the six ASCII white-space bytes, as a Java (and RE2) pattern.
 SPACES = r"[\x20\x09-\x0D]+"
-#: Anything else: one word.
-WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id while ids travel as plain 64-bit numbers.
 NO_ID = -(1 << 63)
 #: UTF-8 bytes of text that one vectorised step holds at most, single longer texts aside.

@@ -9,13 +9,18 @@ after the other.
 ``store_wav`` keeps any bytes, losslessly, as samples of an 8-bit WAV file.
 
 Defined results: null or empty media have no type and nothing embedded; a declared type
-stands where nothing was recognised; other columns are ignored.
+stands where nothing was recognised; of overlapping files the one that starts first is
+carved; equal rows give equal rows; one medium is held in memory as a whole, however long,
+and a text of four GiB or more is refused; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_right
 
 import ahocorasick
 import numpy as np
@@ -148,28 +153,47 @@ def _bmp(data: bytes, at: int) -> int | None:
     return size if packed or start + (width * bits + 31) // 32 * 4 * abs(height) <= size else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
+class Marks:
+    """What closes files of formats that are closed from behind, found in one pass over the data."""
+
+    def __init__(self, data: bytes):
+        #: Ends of archives by where they begin: the directory's place and size say so.
+        self.zips: dict[int, int] = {}
+        end = data.find(b"PK\x05\x06")
+        while end >= 0:
+            if end + 22 <= len(data):
+                count, size, start, note = struct.unpack_from("<HIIH", data, end + 10)
+                at = end - start - size
+                if at >= 0 and (not count or data[at + start : at + start + 4] == b"PK\x01\x02") and end + 22 + note <= len(data):
+                    self.zips.setdefault(at, end + 22 + note)
+            end = data.find(b"PK\x05\x06", end + 4)
+        #: Headers of documents; ends, and, for each, what its file must begin before.
+        self.headers = [m.start() for m in re.finditer(rb"%PDF-\d", data)]
+        self.ends, self.before, seen = [], [], 0
+        end = data.find(b"%%EOF") if self.headers else -1
+        while end >= 0:
+            begin = data.rfind(b"startxref", seen, end)
+            place = data[begin + 9 : end].strip() if begin >= 0 else b""
+            if place.isdigit():
+                self.ends.append(end + 5)
+                self.before.append(begin - int(place))
+            seen, end = end, data.find(b"%%EOF", end + 5)
+
+
+def _pdf(data: bytes, at: int, marks: Marks) -> int | None:
+    """Up to the last end, before the next header, whose cross references lie in this file: earlier ones close its first section or an older revision."""
     if not data[at + 5 : at + 6].isdigit():
         return None
-    end = data.find(b"%%EOF", at)
-    begin = data.rfind(b"startxref", at, end) if end >= 0 else -1
-    while end >= 0 and begin >= 0:
-        place = data[begin + 9 : end].strip()
-        if place.isdigit() and int(place) < begin - at:
-            return end + 5 - at
-        end = data.find(b"%%EOF", end + 5)
-        begin = data.rfind(b"startxref", at, end) if end >= 0 else -1
+    following = bisect_right(marks.headers, at)
+    limit = marks.headers[following] if following < len(marks.headers) else len(data)
+    for k in range(bisect_right(marks.ends, limit) - 1, bisect_right(marks.ends, at) - 1, -1):
+        if at < marks.before[k]:
+            return marks.ends[k] - at
     return None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(data):
-        count, size, start, note = struct.unpack_from("<HIIH", data, end + 10)
-        if at + start + size == end and (not count or data[at + start : at + start + 4] == b"PK\x01\x02") and end + 22 + note <= len(data):
-            return end + 22 + note - at
-        end = data.find(b"PK\x05\x06", end + 4)
-    return None
+def _zip(data: bytes, at: int, marks: Marks) -> int | None:
+    return marks.zips[at] - at if at in marks.zips else None
 
 
 def _gzip(data: bytes, at: int) -> int | None:
@@ -177,7 +201,7 @@ def _gzip(data: bytes, at: int) -> int | None:
         return None
     unpack = zlib.decompressobj(31)
     try:
-        part = data[at:]
+        part = memoryview(data)[at:]
         while part and not unpack.eof:
             unpack.decompress(part, 1 << 20)  # thrown away: a bomb takes no room
             part = unpack.unconsumed_tail
@@ -204,17 +228,19 @@ def sniff(data: bytes | None) -> tuple[str | None, int, list[tuple[str, int, int
     """(type, length) of the file that starts at 0, or (None, 0); and (type, offset, length) of what is embedded."""
     if not data:
         return None, 0, []
-    own, own_size, found, free = None, 0, [], 1
-    hopeless: set[str] = set()  # formats whose closing mark isn't in the rest of the data
+    own, own_size, found, free, marks = None, 0, [], 1, None
     for last, (n, kind) in _machine().iter(data.decode("latin-1")):
         at = last - n + 1
-        if (at and at < free) or kind in hopeless:
+        if at and at < free:
             continue
-        size = VALID[kind](data, at)
+        if kind in ("application/pdf", "application/zip"):
+            marks = marks or Marks(data)
+            size = VALID[kind](data, at, marks)
+        else:
+            size = VALID[kind](data, at)
         if size is None:
-            if kind in ("application/pdf", "application/zip") and data.find(b"%%EOF" if kind == "application/pdf" else b"PK\x05\x06", at) < 0:
-                hopeless.add(kind)
-        elif at:
+            continue
+        if at:
             found.append((kind, at, size))
             free = at + size
         else:
@@ -223,8 +249,10 @@ def sniff(data: bytes | None) -> tuple[str | None, int, list[tuple[str, int, int
 
 
 def store_wav(payload: bytes, rate: int = 8_000) -> bytes:
-    """The bytes as unsigned 8-bit samples of one channel."""
+    """The bytes as unsigned 8-bit samples of one channel; lengths have 32 bits in this format."""
     size = len(payload)
+    if size > (1 << 32) - 46:
+        raise ValueError("a WAV file holds less than four GiB")
     return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size + size % 2, b"WAVE", b"fmt ", 16, 1, 1, rate, rate, 1, 8, b"data", size) + payload + b"\0" * (size % 2)
 
 

@@ -130,7 +130,8 @@ def pack(made: DataFrame, most: int = TOKENS, max_docs: int | None = None, max_c
 
     def round_of(rows: DataFrame, base: int) -> DataFrame:
         groups = max(1, -(-rows.count() // GROUP))
-        g = F.pmod(F.xxhash64(*cols, F.lit(base)), F.lit(groups)).cast("bigint").alias("g")
+        # by row of a stored table, so that equal pieces part as well
+        g = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(base)), F.lit(groups)).cast("bigint").alias("g")
         return rows.select(g, *cols).groupBy("g").applyInPandas(_pack(most, max_docs, max_cost, rule, weights, base), PACKED)
 
     first = stored(round_of(made, 0), "packed")

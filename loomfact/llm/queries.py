@@ -3,32 +3,23 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 import zlib
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, hpylm, licenses, media, packing, rollups, simhash_dedup, substring_dedup, toxicity
-
 from .common import shared_dir, stored
 
-#: Where the public vocabularies lie.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file; they come with the Python environment, thus are on every machine."""
-    try:
-        import public_tokenizers
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
     return public_tokenizers.path(name)
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,8 +39,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remainder(doc_id, n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % n
+    """crc32 of the id as text (a null id: empty), modulo n."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,19 +70,19 @@ def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document comes, English ones are counted anew by another tokenizer (sent twice), and those without words go."""
-    one, two = rollups.COUNTERS
+    """Every document comes, counted by one vocabulary, English ones are counted anew by another (sent twice), and those without tokens of the first go."""
+    one, two = "word_bpe_49k", "byte_bpe_50k"
     docs = table(spark, sf_dir, "documents")
-    counts = stored(docs.select("source", "lang", rollups.count_tokens(F.col("text"), one).alias("one"), rollups.count_tokens(F.col("text"), two).alias("two")), "counts")
-    kept = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    kept.commit("001-ingest", rollups.events(counts, one, F.col("one"), +1))
     english = F.col("lang").eqNullSafe("en")
-    recount = rollups.revised(counts.where(english), (one, F.col("one")), (two, F.col("two")))
+    counts = stored(rollups.count_tokens(docs, {one: (vocabulary(f"{one}.json"), None), two: (vocabulary(f"{two}.json"), english)}), "counts")
+    kept = rollups.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    kept.commit("001-ingest", rollups.events(counts, one, F.col(one), +1))
+    recount = rollups.revised(counts.where(english), (one, F.col(one)), (two, F.col(two)))
     kept.commit("002-recount", recount)
     kept.compact()
     kept.commit("002-recount", recount)
-    empty = counts.where(F.col("one") == 0)
-    kept.commit("003-empty", rollups.events(empty.where(english), two, F.col("two"), -1).unionByName(rollups.events(empty.where(~english), one, F.col("one"), -1)))
+    empty = counts.where(F.col(one) == 0)
+    kept.commit("003-empty", rollups.events(empty.where(english), two, F.col(two), -1).unionByName(rollups.events(empty.where(~english), one, F.col(one), -1)))
     return kept.totals()
 
 
@@ -128,14 +119,4 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = min(doc_id) OVER w AS kept, text_sha256
             FROM t WINDOW w AS (PARTITION BY text_sha256)
         """,
-        "op3_token_rollups": r"""
-            WITH t AS (
-                SELECT source, lang, lang IS NOT DISTINCT FROM 'en' AS anew,
-                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS one,
-                       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D.,;:!?]+|[.,;:!?]')) AS two
-                FROM documents)
-            SELECT source, lang, CASE WHEN anew THEN 'words-2' ELSE 'words-1' END AS tokenizer,
-                   count(*) AS n_docs, CAST(sum(CASE WHEN anew THEN two ELSE one END) AS BIGINT) AS n_tokens
-            FROM t WHERE one > 0 GROUP BY 1, 2, 3
-        """,
     }

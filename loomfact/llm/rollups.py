@@ -7,9 +7,13 @@ counts once however often it is sent, and a writer that dies half way leaves not
 Totals are the sums of all batches; ``compact`` folds the batches so far into a
 snapshot, which names them, so that late readers see every batch once.
 
-Defined results: null source, language and tokenizer are keys of their own; null counts
-and signs count as nothing; groups whose documents and tokens both come to zero have no
-row; empty batches are committed too.
+Tokenizer versions are vocabularies: ``count_tokens`` encodes whole texts with each of them.
+
+Defined results: null text counts as empty; null source, language and tokenizer are keys
+of their own; null counts and signs count as nothing; groups whose documents and tokens
+both come to zero have no row; empty batches are committed too; a batch that is committed
+while a snapshot is made is in the totals once, whichever of the two is read.  The names
+of batches (not their rows) are listed on the driver.
 """
 
 from __future__ import annotations
@@ -17,19 +21,40 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, whole
+from .bpe import encoder
+from .common import frugal, spread, steps, whole
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-#: Tokenizer versions that SQL can count: words, and words apart from marks.
-COUNTERS = {"words-1": WORD, "words-2": r"[^\x20\x09-\x0D.,;:!?]+|[.,;:!?]"}
 
 
-def count_tokens(text: Column, tokenizer: str) -> Column:
-    return F.regexp_count(whole(text), F.lit(COUNTERS[tokenizer])).cast("bigint")
+def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[str, Column | None]], source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """source, lang and, for each tokenizer (a vocabulary's path, and a condition on the rows that it counts, or None for all), how many ids it makes of the text; null where it doesn't count."""
+    paths = [path for path, _ in tokenizers.values()]
+
+    @frugal
+    def run(batches):
+        for batch in batches:
+            text = batch.column(2).cast(pa.large_string())
+            for a, b in steps(np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])):
+                texts, counts = text.slice(a, b - a).to_pylist(), []
+                for k, path in enumerate(paths):
+                    asked = np.flatnonzero(batch.column(3 + k).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool))
+                    n = np.full(b - a, -1, np.int64)
+                    if len(asked):
+                        n[asked] = encoder(path).encode([texts[i] for i in asked.tolist()])[1]
+                    counts.append(pa.array(n, mask=n < 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *counts], ["source", "lang", *(f"n{k}" for k in range(len(paths)))])
+
+    asked = [F.lit(True) if on is None else F.coalesce(on, F.lit(False)) for _, on in tokenizers.values()]
+    rows = spread(docs).select(F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), whole(F.col(text_col)).alias("text"), *[x.alias(f"on{k}") for k, x in enumerate(asked)])
+    found = rows.mapInArrow(run, "source string, lang string, " + ", ".join(f"n{k} bigint" for k in range(len(paths))))
+    return found.toDF("source", "lang", *tokenizers)
 
 
 def events(rows: DataFrame, tokenizer: str, n_tokens: Column, sign: int) -> DataFrame:
@@ -91,19 +116,21 @@ class Rollup:
         batches = self._names("batches")
         return base + [f"{self.path}/batches/{b}" for b in batches if b not in done], batches
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens."""
-        parts, _ = self._parts()
+    def _sums(self, parts: list[str]) -> DataFrame:
         read = self.spark.read.schema(DELTA).parquet(*parts) if parts else self.spark.createDataFrame([], DELTA)
         sums = read.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, n_docs, n_tokens."""
+        return self._sums(self._parts()[0])
+
     def compact(self) -> bool:
         """Folds what is there into a snapshot; False if another writer was faster."""
-        parts, batches = self._parts()
         number = len(self._names("snapshots"))
+        parts, batches = self._parts()
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/totals")
+        self._sums(parts).write.parquet(f"{staged}/totals")
         self.spark.createDataFrame([(b,) for b in batches], "batch string").write.parquet(f"{staged}/batches")
         place = self.at(f"{self.path}/snapshots/{number:09d}")
         try:
