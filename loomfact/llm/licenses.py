@@ -13,25 +13,31 @@ A template that stands whole in a text has a window at most two shingles off one
 wide tiles, thus with a similarity of 0.6 at least, and six bands of one value retrieve
 that window with probability 1 - 0.4**6 = 0.996, each further tile and window on top;
 single shingles are retrieved for sure.  Retrieved places are verified on the words
-themselves: a place is reported if ``CONTAINED`` of the template's distinct shingles
-stand within it.
+themselves: places of one template less than its length apart are one, so that words
+which have come in between don't matter, and it is reported if ``CONTAINED`` of the
+template's distinct shingles stand within it.  Templates of fewer than ``WIDE`` shingles
+have windows of one shingle only, whose MinHash is the shingle's hash in every band.
 
 All of it is DataFrame functions, in the row of a text until something is retrieved.
 
 Defined results: null text counts as empty; texts of fewer than five words match nothing;
-of several places of a template in a text, the one with the highest containment, then
-the first, is returned; rows that share an id each report; an empty table gives an empty
-result; other columns are ignored.
+each place of a template in a text is a row of its own; rows that share an id, and equal
+rows, each report; templates of fewer than five words are never found; one text's words
+are held in memory as a whole, however long; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread, whole
 
 SHINGLE, WIDE, STRIDE, CONTAINED = 5, 8, 4, 0.8
+#: Characters of all templates at most: they are broadcast.
+MOST = 4_000_000
+FOUND = "id bigint, template string, containment double, start_word int, n_words int"
 #: One for each band; they differ in their first three bits.
 BANDS = [(k << 61 | 0x0B4C_52D1_E5A6_9F37) - (1 << 64 if k > 3 else 0) for k in (0, 2, 3, 4, 5, 7)]
 #: Public notices of licenses.
@@ -82,31 +88,55 @@ def _tiles(templates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", contained: float = CONTAINED) -> DataFrame:
-    """One row per text and template found in it: id, template, containment, start_word, n_words (of the place)."""
+    """One row per text and place of a template in it: id, template, containment, start_word, n_words (of the place)."""
     spark = docs.sparkSession
-    tiles = _tiles(spark.createDataFrame(list((templates if templates is not None else TEMPLATES).items()), "template string, text string"))
-    # the values of a fixed list of templates: a few hundred numbers
-    known = tiles.select("width", "value").distinct().collect()
-    one, wide = ([r["value"] for r in known if (r["width"] == 1) is narrow] for narrow in (True, False))
+    given = list((templates if templates is not None else TEMPLATES).items())
+    if sum(len(text) for _, text in given) > MOST:
+        raise ValueError(f"templates of more than {MOST} characters in all don't fit a broadcast")
+    tiles = _tiles(spark.createDataFrame(given, "template string, text string"))
+    # the values of a list of templates of bounded size
+    known = tiles.select("width", "value", "n").distinct().collect()
+    one, wide = (sorted({r["value"] for r in known if (r["width"] == 1) is narrow}) for narrow in (True, False))
+    longest = max((r["n"] for r in known), default=1)
     rows = spread(docs).select(F.col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), _words(whole(F.col(text_col))).alias("words"))
     rows = rows.select("id", "row", "words", _shingle_hashes(F.col("words")).alias("hashes"))
+    none = F.array().cast("array<int>")
     # InSet looks a value up in a hash table; a short list would be compared one by one
-    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get("hashes", i).isin(one)) if one else F.array().cast("array<int>")
-    narrow = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(1).alias("width")))
+    places = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: F.get("hashes", i).isin(one)) if one else none
     end = F.greatest(F.size("hashes") - WIDE, F.lit(0))
-    broad = F.filter(F.concat(F.sequence(F.lit(0), end, F.lit(STRIDE)), F.when(end % STRIDE > 0, F.array(end)).otherwise(F.array().cast("array<int>"))), lambda i: F.exists(F.array(*[_band(F.col("hashes"), i, WIDE, c) for c in BANDS]), lambda v: v.isin(wide))) if wide else F.array().cast("array<int>")
-    broad = F.transform(broad, lambda i: F.struct(i.alias("at"), F.lit(WIDE).alias("width")))
-    hits = F.when(F.size("hashes") > 0, F.concat(narrow, broad)).otherwise(F.array().cast("array<struct<at:int,width:int>>"))
-    found = rows.select("id", "row", "words", "hashes", F.explode_outer(hits).alias("hit")).where("hit is not null")
-    values = [F.struct(F.lit(b).alias("band"), F.when(F.col("hit.width") == 1, F.get("hashes", F.col("hit.at"))).otherwise(_band(F.col("hashes"), F.col("hit.at"), WIDE, c)).alias("value")) for b, c in enumerate(BANDS)]
-    asked = found.select("id", "row", "words", "hit", F.inline(F.array(*values)))
-    pairs = asked.join(F.broadcast(tiles), (asked.hit.width == tiles.width) & (asked.band == tiles.band) & (asked.value == tiles.value))
+    broad = F.filter(F.concat(F.sequence(F.lit(0), end, F.lit(STRIDE)), F.when(end % STRIDE > 0, F.array(end)).otherwise(none)), lambda i: F.exists(F.array(*[_band(F.col("hashes"), i, WIDE, c) for c in BANDS]), lambda v: v.isin(wide))) if wide else none
+
+    def hit(width):
+        """A hit takes along the words around it, as many as the longest template may need, and the values that retrieve something."""
+
+        def made(i):
+            begin = F.greatest(i - longest - STRIDE, F.lit(0))
+            values = [F.struct(F.lit(b).alias("band"), (F.get("hashes", i) if width == 1 else _band(F.col("hashes"), i, WIDE, c)).alias("value")) for b, c in enumerate(BANDS)]
+            part = F.slice("words", begin + 1, 2 * longest + longest // 5 + 4 * STRIDE + 2 * SHINGLE)
+            return F.struct(i.alias("at"), F.lit(width).alias("width"), begin.alias("from"), part.alias("part"), F.filter(F.array(*values), lambda v: v["value"].isin(one if width == 1 else wide)).alias("asked"))
+
+        return made
+
+    hits = [F.transform(found, hit(width)) for found, width, some in ((places, 1, one), (broad, WIDE, wide)) if some]
+    if not hits:
+        return spark.createDataFrame([], FOUND)
+    found = rows.where(F.size("hashes") > 0).select("id", "row", F.explode(F.concat(*hits)).alias("hit")).select("id", "row", "hit.*")
+    asked = found.select("id", "row", "at", "width", "from", "part", F.inline("asked"))
+    pairs = asked.join(F.broadcast(tiles), ["width", "band", "value"])
     # the place: where the template would start, with room for a fifth more words and for a window off its tile
-    begin = F.greatest(F.col("hit.at") - F.col("tile") - STRIDE, F.lit(0))
+    begin = F.greatest(F.col("at") - F.col("tile") - STRIDE, F.lit(0))
     size = F.col("n") + SHINGLE - 1 + 2 * STRIDE + F.ceil(F.col("n") / 5).cast("int")
-    place = pairs.select("id", "row", "template", "shingles", begin.alias("start_word"), F.slice("words", begin + 1, size).alias("part"))
+    place = pairs.select("id", "row", "template", "shingles", "n", begin.alias("begin"), F.slice("part", begin - F.col("from") + 1, size).alias("part")).dropDuplicates(["row", "template", "begin"])
     inside = F.transform(F.sequence(F.lit(0), F.size("part") - SHINGLE), lambda i: F.array_join(F.slice("part", i + 1, SHINGLE), " "))
-    share = F.when(F.size("part") >= SHINGLE, F.size(F.array_intersect("shingles", inside)) / F.size("shingles")).otherwise(0.0)
-    checked = place.select("id", "row", "template", "start_word", F.size("part").alias("n_words"), share.alias("containment")).where(F.col("containment") >= contained)
-    best = checked.groupBy("id", "row", "template").agg(F.max(F.struct("containment", (-F.col("start_word")).alias("before"), "n_words")).alias("best"))
-    return best.select("id", "template", "best.containment", (-F.col("best.before")).alias("start_word"), "best.n_words")
+    have = F.when(F.size("part") >= SHINGLE, F.array_intersect("shingles", inside))
+    checked = place.select("id", "row", "template", "n", "begin", (F.col("begin") + F.size("part")).alias("end"), F.size("shingles").alias("all"), have.alias("have")).where(F.size("have") > 0)
+    # places less than a template apart are one: words may have come in between
+    before = Window.partitionBy("row", "template").orderBy("begin")
+    parted = checked.withColumn("new", F.coalesce(F.col("begin") > F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) + F.col("n"), F.lit(True)))
+    spans = parted.withColumn("span", F.sum(F.col("new").cast("int")).over(before))
+    key = ["id", "row", "template", "span"]
+    each = spans.groupBy(*key).agg(F.min("begin").alias("start_word"), (F.max("end") - F.min("begin")).alias("n_words"), F.max("all").alias("all"))
+    counted = spans.select(*key, F.explode("have").alias("shingle")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("have"))
+    share = F.col("have") / F.col("all")
+    joined = each.join(counted.withColumnRenamed("id", "same"), key[1:])
+    return joined.where(share >= contained).select("id", "template", share.alias("containment"), "start_word", "n_words")
