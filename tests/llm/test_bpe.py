@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from loomfact.llm import bpe
-from loomfact.llm.queries import vocabulary
+from loomfact.llm.queries import op10_bpe, vocabulary
 
 from .frames import edge_docs, edge_rows, empty_docs
 
@@ -58,3 +59,17 @@ def test_table(spark, leaf):
     want = [(r.doc_id, LIBRARY[BYTES].encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()]
     assert sorted([(r.id, r.ids) for r in got], key=str) == sorted(want, key=str)
     assert bpe.encode_table(empty_docs(spark), BYTES).count() == 0
+
+
+def test_registered_query(spark, tmp_path):
+    """Ids and decoded texts as the library has them, of texts with and without a tree."""
+    rng = random.Random(8)
+    long = [(500 + i, "".join(rng.choices(["the ", "lamp", "\n", " 日本", "é", "12", "<|endoftext|>", "  ", "'s", "!"], k=30_000)), "en", "s", 0) for i in range(2)]
+    docs = edge_docs(spark, False).unionByName(spark.createDataFrame(long, edge_docs(spark, False).schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    library, want = LIBRARY[BYTES], []
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert max(len(t[1]) for t in long) > 2 * bpe.LEAF
+    assert sorted(map(tuple, op10_bpe(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)

@@ -2,15 +2,17 @@ import gzip
 import hashlib
 import io
 import struct
+import time
+import wave
 import zipfile
 import zlib
 
 import pytest
 
 from loomfact.llm import media
-from loomfact.llm.queries import _media
+from loomfact.llm.queries import op5_media
 
-from .frames import edge_docs, empty_docs
+from .frames import edge_docs
 
 
 def png():
@@ -52,15 +54,42 @@ def test_table(spark):
     assert bytes(got[4].embedded[0].data) == FILES["image/gif"] and got[4].embedded[0].offset == 2
 
 
-def test_texts(spark):
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    docs = edge_docs(spark)
+def wav(payload):
+    """An 8-bit file, written by the standard library."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(1)
+        w.setframerate(8000)
+        w.writeframes(payload)
+    return out.getvalue()
+
+
+def test_registered_query(spark, tmp_path):
+    docs = edge_docs(spark, False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     want = []
     for r in docs.collect():
         data = (r.text or "").encode()
         full = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
-        want.append((r.doc_id, len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(full) + 44))
-    got = media.stored_texts(docs, _media, schema).collect()
-    assert sorted([tuple(r)[:6] for r in got], key=str) == sorted(want, key=str)
-    assert all(r.feature.startswith("type=audio/wav;declared=image/bmp") for r in got)
-    assert media.stored_texts(empty_docs(spark), _media, schema).count() == 0
+        file = wav(full)
+        turns = sum(abs(a - b) for a, b in zip(full, full[1:]))
+        feature = f"type=audio/wav;declared=image/bmp;length={len(file)};embedded=;samples={len(full)};low={min(full)};high={max(full)};sum={sum(full)};steps={turns}"
+        want.append((r.doc_id, len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
+    got = op5_media(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_documents_of_several_sections():
+    """An end that closes the first section, or an older revision, isn't the end of the file."""
+    first = b"%PDF-1.5\nhead\nstartxref\n0\n%%EOF\n"
+    data = first + b"body\nstartxref\n12\n%%EOF"
+    assert media.sniff(data)[:2] == ("application/pdf", len(data))
+    assert media.sniff(b"x" + data + b" " + FILES["application/pdf"])[2] == [("application/pdf", 1, len(data)), ("application/pdf", len(data) + 2, len(FILES["application/pdf"]))]
+
+
+@pytest.mark.parametrize("noise", [b"%PDF-1 ", b"PK\x03\x04", b"\x1f\x8b\x08\x00"])
+def test_many_signatures_take_no_square_of_time(noise):
+    began = time.perf_counter()
+    assert media.sniff(noise * 200_000 + b"%%EOF PK\x05\x06" + b"\0" * 18)[0] is None
+    assert time.perf_counter() - began < 10
