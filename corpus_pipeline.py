@@ -57,8 +57,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token runs placed in sequences of 2048."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    """Token runs placed in sequences of 2048 tokens, of at most 24 documents each, where attention costs no more than one full run; residuals of all three count."""
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), max_docs=24, max_cost=2048.0**2, rule="norm", weights=(1.0, 0.1, 0.1))
 
 
 STAGES = [
