@@ -59,6 +59,8 @@ EXACT, GRID = 1_024, 257
 HOT = 256
 #: Bytes of text that are counted together, of a shard, and of a shard of the parent, on average at most.
 PIECE_BYTES, SHARD_BYTES, PARENT_BYTES = 8 << 20, 20_000_000, 64_000_000
+#: Shards of the parent at least; more would only add to the messages, of which every shard sends one to each.
+PARENTS = 16
 #: Concentration of the parent, and shape and rate of the prior of the contexts'.
 THETA, PRIOR = 1.0, (1.0, 1.0)
 #: The token that ends a document; no word is empty.
@@ -590,7 +592,7 @@ def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int
     spark = docs.sparkSession
     rows = spread(docs).select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    shards, parents = max(4 * shuffles(spark), -(-size // SHARD_BYTES)), max(shuffles(spark), -(-size // PARENT_BYTES))
+    shards, parents = max(4 * shuffles(spark), -(-size // SHARD_BYTES)), max(PARENTS, -(-size // PARENT_BYTES))
     hot = hot_words(rows)
     sums = 5 + 2 * len(hot)
     rng = np.random.default_rng(seed)
