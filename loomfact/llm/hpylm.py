@@ -39,6 +39,7 @@ long; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -72,12 +73,18 @@ PARENT = "shard int, sources array<int>, routes array<binary>, t binary, totals
 SUMS = "piece bigint, shard int, doc binary, score binary, base binary, known binary, meta binary"
 
 
+@cache
+def _press() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for this process: a worker has one thread."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def _zip(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else x.tobytes())
+    return _press()[0].compress(x if isinstance(x, bytes) else x.tobytes())
 
 
 def _plain(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
+    return _press()[1].decompress(x)
 
 
 def _unzip(x: bytes | None, kind=np.int64) -> np.ndarray:
@@ -592,7 +599,7 @@ def score(docs: DataFrame, held_out=is_held_out, sweeps: int = SWEEPS, seed: int
     spark = docs.sparkSession
     rows = spread(docs).select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    shards, parents = max(4 * shuffles(spark), -(-size // SHARD_BYTES)), max(PARENTS, -(-size // PARENT_BYTES))
+    shards, parents = max(2 * shuffles(spark), 24, -(-size // SHARD_BYTES)), max(PARENTS, -(-size // PARENT_BYTES))
     hot = hot_words(rows)
     sums = 5 + 2 * len(hot)
     rng = np.random.default_rng(seed)
