@@ -123,12 +123,22 @@ ARRAY = {
     "contains": lambda a, x: F.exists(a, lambda y: y.eqNullSafe(x)), "position": lambda a, x: F.array_position(a, x) - 1,
 }
 
+def _members(text: Column, but: str) -> Column:
+    """The members of a JSON object but for one, each with its own type."""
+    return F.map_filter(F.from_json(text, "map<string,variant>"), lambda k, _: k != but)
+
+
+def _variant(value: Column) -> Column:
+    """Any value as it stands in JSON."""
+    return F.try_variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})), "$.v", "variant")
+
+
 JSON = {
     "object": lambda **fields: F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])), "parse": lambda s: F.parse_json(s),
     "get": lambda s, key: F.get_json_object(s, f"$.{key}"), "has": lambda s, key: F.coalesce(F.array_contains(F.json_object_keys(s), key), F.lit(False)),
     "keys": lambda s: F.json_object_keys(s),
-    "set": lambda s, key, value: F.to_json(F.map_concat(F.map_filter(F.from_json(s, "map<string,string>"), lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string")))),
-    "remove": lambda s, key: F.to_json(F.map_filter(F.from_json(s, "map<string,string>"), lambda k, _: k != key)), "toText": F.to_json,
+    "set": lambda s, key, value: F.to_json(F.map_concat(_members(s, key), F.create_map(F.lit(key), _variant(value)))),
+    "remove": lambda s, key: F.to_json(_members(s, key)), "toText": F.to_json,
 }
 
 # --- text normalisation ------------------------------------------------------------

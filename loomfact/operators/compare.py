@@ -2,7 +2,9 @@
 
 Fields are compared one with one; nested records recurse, arrays go place by place.  The
 comparison of two schemas is unrolled into one Column expression, so a pair of facts is
-scored within generated code.
+scored within generated code.  Fields that have no namesake are aligned by name and kind
+(mode semantic, the default) or not at all (exact).  Options of lexical comparison,
+collections and missing fields are accepted and change nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from ..functions.scalars import edit_similarity, normalised
 RECORD, LIST, SCALAR = (0.15, 0.10, 0.75), (0.45, 0.55), (0.25, 0.75)
 #: Least name similarity of aligned fields, and how much of a renamed field's score is its name.
 NAME_LEAST, RENAMED = 0.35, 0.2
+#: Similarity of names that differ in case and marks only; weights of name and equal kind.
+NAME_ALIKE, KIND_OF_NAME = 0.95, (0.75, 0.25)
+#: Comparison algorithms.
+ALGORITHMS = ("exact_recursive", "structural", "semantic_recursive", "semantic_pattern", "relationship_aware")
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -43,33 +49,55 @@ def scalar_similarity(a: Column, b: Column, ta: DataType, tb: DataType) -> Colum
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(inner)
 
 
+def _plain_name(s: str) -> str:
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in s.lower()).split())
+
+
 def name_similarity(a: str, b: str) -> float:
-    """Edit similarity of two field names, on their letters and digits in lower case."""
-    x, y = ("".join(c if c.isalnum() else " " for c in s.lower()).strip() for s in (a, b))
+    """1 for equal names, 0.95 for names that differ in case and marks only, else their edit similarity."""
+    if a == b:
+        return 1.0
+    x, y = _plain_name(a), _plain_name(b)
+    if x == y:
+        return NAME_ALIKE
     row = list(range(len(y) + 1))
     for i, c in enumerate(x, 1):
         row, last = [i], row
         for j, d in enumerate(y, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
-    return 1 - row[-1] / max(len(x), len(y)) if x or y else 1.0
+    return 1 - row[-1] / max(len(x), len(y))
+
+
+def _candidate(a: str, b: str, same_kind: bool) -> float:
+    """How well two differently named fields fit each other."""
+    name = name_similarity(a, b)
+    return KIND_OF_NAME[0] * name + KIND_OF_NAME[1] if same_kind else name
 
 
-def align(left: StructType, right: StructType, mode: str = "exact") -> list[tuple[str, str, float]]:
-    """(left field, right field, name score) of the fields that are compared, in order of the left names."""
-    free, out = {f.name: f.dataType for f in right}, []
+def align(left: StructType, right: StructType, mode: str = "semantic") -> list[tuple[str, str, float]]:
+    """(left field, right field, name similarity) of the fields that are compared, in order of the left names.
+
+    A field without a namesake takes the best right field that no earlier one has taken,
+    the first by name among equals, if that fits well enough.
+    """
+    used: set[str] = set()
+    out = []
     for f in sorted(left, key=lambda f: f.name):
-        if f.name in free:
-            del free[f.name]
+        if f.name in right.names:
             out.append((f.name, f.name, 1.0))
+            used.add(f.name)
         elif mode == "semantic":
-            taken = {x.name for x in left}
-            scored = sorted(((name_similarity(f.name, n) * 0.75 + 0.25 * (kind(f.dataType) == kind(t)), n) for n, t in free.items() if n not in taken), key=lambda x: (-x[0], x[1]))
-            if scored and scored[0][0] >= NAME_LEAST:
-                out.append((f.name, scored[0][1], scored[0][0]))
-                del free[scored[0][1]]
+            fits = sorted((-_candidate(f.name, g.name, kind(f.dataType) == kind(g.dataType)), g.name) for g in right if g.name not in used)
+            if fits and -fits[0][0] >= NAME_LEAST:
+                out.append((f.name, fits[0][1], name_similarity(f.name, fits[0][1])))
+                used.add(fits[0][1])
     return out
 
 
+def _below(name: str, differences: Column) -> Column:
+    return F.transform(differences, lambda d: F.concat(F.lit(f"{name}."), d))
+
+
 class Comparison:
     """Columns of one comparison: structure, fields, values, score, differences."""
 
@@ -77,67 +105,110 @@ class Comparison:
         self.structure, self.fields, self.values, self.score, self.differences = structure, fields, values, score, differences
 
 
-def compare(a: Column, b: Column, ta: DataType, tb: DataType, mode: str = "exact", path: str = "") -> Comparison:
+def compare(a: Column, b: Column, ta: DataType, tb: DataType, mode: str = "semantic") -> Comparison:
+    none = F.array().cast("array<string>")
     if isinstance(ta, StructType) and isinstance(tb, StructType):
         pairs = align(ta, tb, mode)
         size = max(len(ta), len(tb))
         cover = len(pairs) / size if size else 1.0
         scores, diffs = [], []
         for x, y, name in pairs:
-            inner = compare(a[x], b[y], ta[x].dataType, tb[y].dataType, mode, f"{path}.{x}".lstrip("."))
+            inner = compare(a[x], b[y], ta[x].dataType, tb[y].dataType, mode)
             scores.append(inner.score if x == y else inner.score * (1 - RENAMED) + name * RENAMED)
-            diffs.append(inner.differences)
-        gone = [F.lit(f"removed:{f.name}") for f in ta if f.name not in {p[0] for p in pairs}]
-        come = [F.lit(f"added:{f.name}") for f in tb if f.name not in {p[1] for p in pairs}]
+            diffs.append(_below(x, inner.differences))
+        gone = [F.lit(f"removed:{f.name}") for f in sorted(ta, key=lambda f: f.name) if f.name not in {p[0] for p in pairs}]
+        come = [F.lit(f"added:{f.name}") for f in sorted(tb, key=lambda f: f.name) if f.name not in {p[1] for p in pairs} and f.name not in ta.names]
         values = _sum(scores) / len(scores) if scores else F.lit(1.0 if not size else 0.0)
-        return Comparison(F.lit(cover), F.lit(cover), values, (RECORD[0] + RECORD[1]) * cover + RECORD[2] * values, F.concat(F.array(*gone, *come).cast("array<string>"), *diffs))
+        listed = F.concat(F.array(*gone, *come).cast("array<string>"), *diffs)
+        missing = a.isNull() | b.isNull()  # a record on one side only is a scalar's nil
+        both = a.isNull() & b.isNull()
+        pick = lambda there, nil, one: F.when(both, nil).when(missing, one).otherwise(there)
+        score = pick((RECORD[0] + RECORD[1]) * cover + RECORD[2] * values, F.lit(1.0), F.lit(0.0))
+        return Comparison(pick(F.lit(cover), F.lit(1.0), F.lit(0.0)), pick(F.lit(cover), F.lit(1.0), F.lit(0.0)), pick(values, F.lit(1.0), F.lit(0.0)), score, pick(listed, none, F.array(F.lit("changed_value"))))
     if isinstance(ta, ArrayType) and isinstance(tb, ArrayType):
         n, m = F.size(a), F.size(b)
         most, least = F.greatest(n, m), F.least(n, m)
         structure = F.when(most == 0, 1.0).otherwise(least / F.when(most > 0, most))
         each = F.zip_with(F.slice(a, 1, least), F.slice(b, 1, least), lambda x, y: compare(x, y, ta.elementType, tb.elementType, mode).score)
-        values = F.when(most == 0, 1.0).when(least == 0, 0.0).otherwise(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.when(least > 0, least))
-        diffs = F.when(n == m, F.array().cast("array<string>")).otherwise(F.array(F.lit("collection_size")))
+        values = F.when(least == 0, structure).otherwise(F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.when(least > 0, least))
+        diffs = F.when(n == m, none).otherwise(F.array(F.lit("collection_size")))
         return Comparison(structure, structure, values, LIST[0] * structure + LIST[1] * values, diffs)
     same = F.lit(float(kind(ta) == kind(tb))) if kind(ta) != kind(tb) else F.when(a.isNull() == b.isNull(), 1.0).otherwise(0.0)
     values = scalar_similarity(a, b, ta, tb)
-    diffs = F.when(values < 1, F.array(F.lit(f"{path}.changed_value" if path else "changed_value"))).otherwise(F.array().cast("array<string>"))
-    return Comparison(same, same, values, SCALAR[0] * same + SCALAR[1] * values, diffs)
+    score = SCALAR[0] * same + SCALAR[1] * values
+    return Comparison(same, same, values, score, F.when(score < 1, F.array(F.lit("changed_value"))).otherwise(none))
 
 
-def compare_pairs(df: DataFrame, left: str, right: str, algorithm: str = "semantic_recursive", mode: str = "exact", threshold: float = 0.8) -> DataFrame:
-    """df with similarity, difference, differences and matched, for two struct columns.
+def scored(a: Column, b: Column, ta: DataType, tb: DataType, algorithm: str = "semantic_recursive", mode: str = "semantic") -> tuple[Column, Comparison]:
+    """The score that an algorithm gives, and the comparison behind it.
 
-    exact_recursive scores 1 or 0, structural counts fields only; the other algorithms agree.
+    exact_recursive is 1 for equal facts, else 0, by exact names; structural counts fields
+    only; the other algorithms agree.
     """
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"no comparison algorithm {algorithm}")
+    if mode not in ("exact", "semantic"):
+        raise ValueError(f"no alignment {mode}")
+    c = compare(a, b, ta, tb, "exact" if algorithm == "exact_recursive" else mode)
+    if algorithm == "structural":
+        return c.structure, c
+    if algorithm == "exact_recursive":
+        return F.when((c.score >= 1 - 1e-12) & (F.size(c.differences) == 0), 1.0).otherwise(0.0), c
+    return c.score, c
+
+
+def compare_pairs(df: DataFrame, left: str, right: str, algorithm: str = "semantic_recursive", mode: str = "semantic", threshold: float = 0.8) -> DataFrame:
+    """df with similarity, its parts structure, fields and values, difference, differences and matched, for two struct columns."""
     if not 0 <= threshold <= 1:
         raise ValueError("a threshold lies in [0, 1]")
-    if algorithm not in ("semantic_recursive", "exact_recursive", "structural", "hybrid"):
-        raise ValueError(f"no comparison algorithm {algorithm}")
-    c = compare(F.col(left), F.col(right), df.schema[left].dataType, df.schema[right].dataType, mode)
-    score = c.structure if algorithm == "structural" else F.when((c.score >= 1 - 1e-12) & (F.size(c.differences) == 0), 1.0).otherwise(0.0) if algorithm == "exact_recursive" else c.score
-    return df.withColumns({"similarity": score, "difference": 1 - score, "differences": c.differences, "matched": score >= threshold})
+    score, c = scored(F.col(left), F.col(right), df.schema[left].dataType, df.schema[right].dataType, algorithm, mode)
+    return df.withColumns({"similarity": score, "structure": c.structure, "fields": c.fields, "values": c.values, "difference": 1 - score, "differences": c.differences, "matched": score >= threshold})
 
 
 def check_difference(df: DataFrame, left: str, right: str) -> DataFrame:
-    return compare_pairs(df, left, right).drop("similarity", "matched")
+    return compare_pairs(df, left, right).drop("similarity", "matched", "structure", "fields", "values")
 
 
-def are_similar(a: Column, b: Column, schema: DataType, threshold: float = 0.8) -> Column:
-    """Whether two records of one schema score at least the threshold."""
-    return compare(a, b, schema, schema).score >= threshold
+def are_similar(a: Column, b: Column, schema: DataType, algorithm: str = "semantic_recursive", threshold: float = 0.8, other: DataType | None = None) -> Column:
+    """Whether two records score at least the threshold."""
+    return scored(a, b, schema, other or schema, algorithm)[0] >= threshold
 
 
 def near(df: DataFrame, left: str, right: str, threshold: float = 0.8) -> DataFrame:
     return compare_pairs(df, left, right, threshold=threshold).where("matched")
 
 
+def match_pattern(df: DataFrame, pattern: str, fact: str, threshold: float = 0.8) -> DataFrame:
+    """df with matched, similarity and failed (threshold_not_met or nothing), for a pattern and a fact; a pattern binds nothing."""
+    out = compare_pairs(df, pattern, fact, threshold=threshold).drop("structure", "fields", "values", "difference", "differences")
+    return out.withColumn("failed", F.when(~F.col("matched"), F.array(F.lit("threshold_not_met"))).otherwise(F.array().cast("array<string>")))
+
+
+def semantic_unify(df: DataFrame, pattern: str, candidate: str, threshold: float = 0.8) -> DataFrame:
+    return match_pattern(df, pattern, candidate, threshold).withColumnRenamed("matched", "unified")
+
+
+def compare_properties(df: DataFrame, left: str, right: str) -> DataFrame:
+    """The comparison by exact names alone; only equal records match."""
+    return compare_pairs(df, left, right, mode="exact", threshold=1.0)
+
+
+def property_difference(df: DataFrame, left: str, right: str) -> DataFrame:
+    return compare_properties(df, left, right).select(*df.columns, "difference", "differences")
+
+
+#: Views by the names that rules use.
+RULES = {"Near": near, "FactSimilarity": compare_pairs, "FactDifference": check_difference, "FactPropertyComparison": compare_properties}
+
+
 def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_id: str, fields: list[str], count: int, required: list[str] | None = None) -> DataFrame:
-    """The ``count`` candidates most like each input: input, candidate, similarity, distance, rank.
+    """The ``count`` candidates most like each input: input, candidate, similarity, distance, rank, differences, matched (how many agree in the required fields).
 
     ``required`` fields must agree, null with null; they make the search a join on equal
     keys.  Without any, each input meets all candidates: a stated query set against all
-    rows, of which each task keeps the best of its share before anything is shuffled.
+    rows.  Numbers are scored first.  Texts can add a known weight at most, so only
+    candidates whose bound reaches the ``count``-th best of what is sure by numbers alone
+    are scored in full; each task keeps the best of its share before anything is shuffled.
     """
     left = inputs.select(F.col(input_id).alias("_i"), F.struct(*fields).alias("_l"), *[F.col(c).alias(f"_lq{k}") for k, c in enumerate(required or [])])
     right = candidates.select(F.col(candidate_id).alias("_c"), F.struct(*fields).alias("_r"), *[F.col(c).alias(f"_rq{k}") for k, c in enumerate(required or [])])
@@ -145,65 +216,142 @@ def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_i
         joined = left.join(right, [left[f"_lq{k}"].eqNullSafe(right[f"_rq{k}"]) for k in range(len(required))])
     else:
         joined = left.crossJoin(right)
-    score = compare(F.col("_l"), F.col("_r"), left.schema["_l"].dataType, right.schema["_r"].dataType).score
+    schema: StructType = left.schema["_l"].dataType
+    costly = [f for f in schema if kind(f.dataType) not in ("number", "boolean")]
+    inner = lambda f: compare(F.col("_l")[f.name], F.col("_r")[f.name], f.dataType, f.dataType, "exact")
+    weight = RECORD[2] / len(schema)
+    sure = F.lit(RECORD[0] + RECORD[1]) + _sum([inner(f).score for f in schema if f not in costly]) * weight
+    best = Window.partitionBy("_i").orderBy(F.desc("_sure"), "_c")
+    pairs = joined.withColumn("_sure", sure)
+    if costly:
+        floor = pairs.select("_i", "_c", "_sure").withColumn("_k", F.row_number().over(best)).where(F.col("_k") == count).select(F.col("_i").alias("_fi"), F.col("_sure").alias("_floor"))
+        pairs = pairs.join(floor, pairs["_i"] == floor["_fi"], "left").where(F.col("_floor").isNull() | (F.col("_sure") + len(costly) * weight >= F.col("_floor") - 1e-9))
+    score = F.col("_sure") + _sum([inner(f).score for f in costly]) * weight
     # score down, candidate up; Spark's window group limit keeps the best of each task first
     rank = F.row_number().over(Window.partitionBy("_i").orderBy(F.desc("similarity"), "_c"))
-    scored = joined.select("_i", "_c", score.alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= count)
-    return scored.select(F.col("_i").alias("input"), F.col("_c").alias("candidate"), "similarity", (1 - F.col("similarity")).alias("distance"), "rank")
-
-
-def leaves(schema: StructType, path: str = "", depth: int = 1) -> list[tuple[str, str, int]]:
+    scored_pairs = pairs.select("_i", "_c", "_l", "_r", score.alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= count)
+    differences = compare(F.col("_l"), F.col("_r"), schema, schema, "exact").differences
+    return scored_pairs.select(F.col("_i").alias("input"), F.col("_c").alias("candidate"), "similarity", (1 - F.col("similarity")).alias("distance"), "rank", differences.alias("differences"))
+
+
+def nearest_counts(inputs: DataFrame, candidates: DataFrame, input_id: str, count: int, required: list[str] | None = None) -> DataFrame:
+    """For each input: candidates in all, those that agree in the required fields, those that don't, and how many are returned."""
+    total = candidates.agg(F.count(F.lit(1)).alias("candidate_count"))
+    keys = required or []
+    sizes = candidates.groupBy(*[F.col(c).alias(f"_q{k}") for k, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("matched_candidate_count"))
+    asked = inputs.select(F.col(input_id).alias("input"), *[F.col(c).alias(f"_p{k}") for k, c in enumerate(keys)])
+    met = asked.join(sizes, [asked[f"_p{k}"].eqNullSafe(sizes[f"_q{k}"]) for k in range(len(keys))], "left") if keys else asked.crossJoin(sizes)
+    n = F.coalesce("matched_candidate_count", F.lit(0))
+    return met.crossJoin(total).select("input", "candidate_count", n.alias("matched_candidate_count"), (F.col("candidate_count") - n).alias("rejected_count"), F.least(n, F.lit(count)).alias("returned"))
+
+
+#: What extraction takes at most unless told otherwise: depth and features of a fact.
+DEPTH, FEATURES = 32, 256
+
+
+def _features(c: Column, t: DataType, path: Column, field: Column, depth: int, maximum: int) -> Column:
+    """Array of (path, field, kind, value, depth): a record and its fields, a collection and its members, or one leaf."""
+    named = lambda c: F.when(c == "", "$").otherwise(c)
+    row = lambda k, value: F.struct(named(path).alias("path"), named(field).alias("field"), k.alias("kind"), value.alias("value"), F.lit(depth).alias("depth"))
+    empty = F.array().cast("array<struct<path:string,field:string,kind:string,value:string,depth:int>>")
+    if depth > maximum:
+        return empty
+    if isinstance(t, StructType):
+        under = lambda name: F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+        own = [F.array(row(F.lit("fact"), F.lit("")))]
+        parts = [_features(c[f.name], f.dataType, under(f.name), F.lit(f.name), depth + 1, maximum) for f in sorted(t, key=lambda f: f.name)]
+        return F.when(c.isNull(), F.array(row(F.lit("nil"), F.lit(None).cast("string")))).otherwise(F.concat(*own, *parts) if own or parts else empty)
+    if isinstance(t, ArrayType):
+        at = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        each = F.transform(c, lambda x, i: _features(x, t.elementType, at(i), at(i), depth + 1, maximum))
+        return F.when(c.isNull(), F.array(row(F.lit("nil"), F.lit(None).cast("string")))).otherwise(F.concat(F.array(row(F.lit("collection"), F.size(c).cast("string"))), F.flatten(each)))
+    return F.array(row(F.when(c.isNull(), "nil").otherwise(kind(t)), c.cast("string")))
+
+
+def extract_semantics(df: DataFrame, id_col: str, maximum_depth: int = DEPTH, maximum_fields: int = FEATURES) -> DataFrame:
+    """Records, collections and leaves of every fact, by name: id, path, field, kind, value, depth; the first ``maximum_fields`` of each."""
+    if not 1 <= maximum_depth <= 512 or not 1 <= maximum_fields <= 100_000:
+        raise ValueError("a depth lies in 1..512, a number of fields in 1..100000")
+    fields = [c for c in df.columns if c != id_col]
+    found = _features(F.struct(*fields), StructType([df.schema[c] for c in fields]), F.lit(""), F.lit(""), 0, maximum_depth)
+    return df.select(F.col(id_col).alias("id"), F.inline(F.slice(found, 1, maximum_fields)))
+
+
+def _leaf_paths(t: DataType, path: str = "", name: str = "") -> list[tuple[str, str, str]]:
+    """(path, name, kind) of a schema's leaves; an array counts as one."""
+    if isinstance(t, StructType):
+        return [x for f in sorted(t, key=lambda f: f.name) for x in _leaf_paths(f.dataType, f"{path}.{f.name}".lstrip("."), f.name)]
+    return [(path, name, kind(t))]
+
+
+def align_fields(left: StructType, right: StructType, mode: str = "semantic") -> list[tuple[str, str, float]]:
+    """(left path, right path, score) of the leaves of two schemas that belong together, in order of the left paths."""
+    mine, others = (sorted(_leaf_paths(t)) for t in (left, right))
+    taken: set[str] = set()
+    paths = {p for p, _, _ in others}
     out = []
-    for f in schema:
-        here = f"{path}.{f.name}".lstrip(".")
-        out += leaves(f.dataType, here, depth + 1) if isinstance(f.dataType, StructType) else [(here, kind(f.dataType), depth)]
+    for path, name, k in mine:
+        if path in paths:
+            out.append((path, path, 1.0))
+            taken.add(path)
+        elif mode == "semantic":
+            fits = sorted((-_candidate(name, n, k == m), p) for p, n, m in others if p not in taken)
+            if fits and -fits[0][0] >= NAME_LEAST:
+                out.append((path, fits[0][1], -fits[0][0]))
+                taken.add(fits[0][1])
     return out
 
 
-def extract_semantics(df: DataFrame, id_col: str) -> DataFrame:
-    """Every leaf of every fact: id, path, field, kind, value, depth."""
-    parts = [F.struct(F.lit(p).alias("path"), F.lit(p.rsplit(".", 1)[-1]).alias("field"), F.when(F.col(p).isNull(), "nil").otherwise(k).alias("kind"), F.col(p).cast("string").alias("value"), F.lit(d).alias("depth")) for p, k, d in leaves(df.schema) if p != id_col]
-    return df.select(F.col(id_col).alias("id"), F.inline(F.array(*parts)))
+RECORDS = "array<struct<depth:int,path:string,%s>>"
 
 
-def _records(schema: StructType, path: str = "", depth: int = 0) -> list[tuple[str, StructType, int]]:
-    out = [(path, schema, depth)]
-    for f in schema:
-        if isinstance(f.dataType, StructType):
-            out += _records(f.dataType, f"{path}.{f.name}".lstrip("."), depth + 1)
-    return sorted(out, key=lambda x: x[2])
+def _inner(c: Column, t: DataType, path: Column, depth: int, maximum: int, made, kinds: str) -> Column:
+    """Array of what ``made(record, its schema)`` gives for every record within a value, arrays walked too."""
+    empty = F.array().cast(RECORDS % kinds)
+    if depth > maximum:
+        return empty
+    if isinstance(t, StructType):
+        own = made(c, t)
+        parts = [F.array(F.struct(F.lit(depth).alias("depth"), path.alias("path"), own)).cast(RECORDS % kinds)] if own is not None else []
+        under = lambda name: F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
+        parts += [_inner(c[f.name], f.dataType, under(f.name), depth + 1, maximum, made, kinds) for f in sorted(t, key=lambda f: f.name) if isinstance(f.dataType, StructType | ArrayType)]
+        return F.when(c.isNull(), empty).otherwise(F.concat(*parts) if parts else empty)
+    if isinstance(t, ArrayType) and isinstance(t.elementType, StructType | ArrayType):
+        each = F.transform(c, lambda x, i: _inner(x, t.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), depth + 1, maximum, made, kinds))
+        return F.when(c.isNull(), empty).otherwise(F.flatten(each))
+    return empty
 
 
-def contains_subfact(df: DataFrame, fact: str, candidate: str, maximum_depth: int = 32) -> DataFrame:
-    """df with found and the path of the first record within fact, breadth first, that has all of candidate's fields with equal values."""
+def contains_subfact(df: DataFrame, fact: str, candidate: str, maximum_depth: int = DEPTH) -> DataFrame:
+    """df with found and the path of the first record within fact, nearest first, then by path, that equals candidate; the fact itself has path "."."""
     wanted: StructType = df.schema[candidate].dataType
-    hits = []
-    for path, schema, depth in _records(df.schema[fact].dataType):
-        if depth <= maximum_depth and set(wanted.names) <= set(schema.names):
-            at = F.col(f"{fact}.{path}" if path else fact)
-            equal = reduce(lambda a, b: a & b, (at[n].eqNullSafe(F.col(candidate)[n]) for n in wanted.names), at.isNotNull())
-            hits.append(F.when(equal, F.lit(path or ".")))
-    first = F.coalesce(*hits, F.lit(None).cast("string"))
-    return df.withColumns({"path": first, "found": first.isNotNull()})
-
-
-def nearest_subfacts(df: DataFrame, fact: str, id_col: str, maximum_depth: int = 8) -> DataFrame:
-    """Typed records (with a field _type) within a fact: id, path, type, depth, nearest first."""
+
+    def made(c, t):
+        if set(wanted.names) != set(t.names) or any(t[n].dataType != wanted[n].dataType for n in wanted.names):
+            return None
+        return reduce(lambda a, b: a & b, (c[n].eqNullSafe(F.col(candidate)[n]) for n in wanted.names), F.lit(True)).alias("hit")
+
+    found = _inner(F.col(fact), df.schema[fact].dataType, F.lit(""), 0, maximum_depth, made, "hit:boolean")
+    first = F.array_min(F.filter(found, lambda x: x["hit"]))["path"]
+    return df.withColumns({"path": F.when(first == "", ".").otherwise(first), "found": first.isNotNull()})
+
+
+def nearest_subfacts(df: DataFrame, fact: str, id_col: str, maximum_depth: int = 8, most: int = 1024) -> DataFrame:
+    """Typed records (with a field _type) within a fact, at most ``most``: id, path, type, depth, nearest first, then by path."""
     if not 1 <= maximum_depth <= 64:
         raise ValueError("a depth lies in 1..64")
-    parts = [F.struct(F.lit(d).alias("depth"), F.lit(p).alias("path"), F.col(f"{fact}.{p}._type").alias("type")) for p, s, d in _records(df.schema[fact].dataType) if 1 <= d <= maximum_depth and "_type" in s.names]
-    if not parts:
-        return df.select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.lit("").alias("type"), F.lit(0).alias("depth")).where("false")
-    return df.select(F.col(id_col).alias("id"), F.inline(F.array(*parts))).where("type is not null").select("id", "path", "type", "depth")
+    found = _inner(F.col(fact), df.schema[fact].dataType, F.lit(""), 0, maximum_depth, lambda c, t: c["_type"].cast("string").alias("type") if "_type" in t.names else None, "type:string")
+    kept = F.slice(F.array_sort(F.filter(found, lambda x: (x["depth"] > 0) & x["type"].isNotNull())), 1, most)
+    return df.select(F.col(id_col).alias("id"), F.inline(kept)).select("id", "path", "type", "depth")
 
 
 def compare_facts(df: DataFrame, left: str, right: str, related: Column) -> DataFrame:
-    """Three quarters for the properties, a quarter for a common declared ancestor (``related``)."""
+    """df with similarity: three quarters for the properties, by exact names, and a quarter for a common declared ancestor (``related``); and property_similarity and differences."""
     drop = {"_type", "__type", "__parent", "name", "id"}
     sides = []
     for c in (left, right):
         names = [n for n in df.schema[c].dataType.names if n not in drop]
         sides.append(F.struct(*[F.col(f"{c}.{n}").alias(n) for n in names]))
     typed = df.withColumns({"_a": sides[0], "_b": sides[1]})
-    score = compare(F.col("_a"), F.col("_b"), typed.schema["_a"].dataType, typed.schema["_b"].dataType).score
-    return typed.withColumn("similarity", 0.75 * score + 0.25 * F.coalesce(related, F.lit(False)).cast("double")).drop("_a", "_b")
+    c = compare(F.col("_a"), F.col("_b"), typed.schema["_a"].dataType, typed.schema["_b"].dataType, "exact")
+    return typed.withColumns({"property_similarity": c.score, "similarity": 0.75 * c.score + 0.25 * F.coalesce(related, F.lit(False)).cast("double"), "differences": c.differences}).drop("_a", "_b")

@@ -1,40 +1,34 @@
 """Type hierarchies: closures, common ancestors, paths and path-based similarities.
 
 An edge table has (child, parent).  Closures come from a semi-naive loop whose every
-round joins only what the last one found; they end on cyclic edges too.
+round joins only what the last one found, and writes only what is new; they end on
+cyclic edges too.
 """
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StructType
 
+from ..store import Table
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared checkpoint folder (one of our own where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomfact-"))
-    return df.checkpoint()
 
-
-def fixpoint(start: DataFrame, step, key: list[str], max_rounds: int = 1000) -> DataFrame:
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], whole: bool = False) -> DataFrame:
     """All rows that start and ``step(new rows)`` lead to, by key: semi-naive evaluation.
 
-    Rows found again, by key, are dropped, so recursion ends where nothing is new.
+    Rows found again, by key, are dropped, so recursion ends where nothing is new.  With
+    ``whole``, step gets (new rows, all rows) instead, for recursion that isn't linear.
     """
-    seen = checkpointed(start.dropDuplicates(key))
-    fresh = seen
-    for _ in range(max_rounds):
-        found = step(fresh).select(seen.columns).dropDuplicates(key)
-        old = seen.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(key)])
-        fresh = checkpointed(found.join(old, [found[c].eqNullSafe(old[f"_s{i}"]) for i, c in enumerate(key)], "left_anti"))
-        if fresh.isEmpty():
-            return seen
-        seen = checkpointed(seen.unionByName(fresh))
-    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+    seen = Table(start.sparkSession, "fixpoint")
+    fresh = seen.add(start.dropDuplicates(key))
+    while not fresh.isEmpty():
+        found = (step(fresh, seen.all()) if whole else step(fresh)).select(fresh.columns).dropDuplicates(key)
+        old = seen.all().select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(key)])
+        fresh = seen.add(found.join(old, [found[c].eqNullSafe(old[f"_s{i}"]) for i, c in enumerate(key)], "left_anti"))
+    return seen.all()
 
 
 def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
@@ -114,16 +108,16 @@ def direct_relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(known, ["parent", "child"], "left").select("parent", "child", F.coalesce("_hit", F.lit(False)).alias("holds"))
 
 
-def proof_paths(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
-    """For each child in start (column child): one shortest path, child to ancestor, to each of its ancestors."""
+def proof_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """For each child in start (column child): one shortest path, child to ancestor, to each of its ancestors, however far."""
     e = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
     first = start.select(F.col("child"), F.col("child").alias("ancestor"), F.array("child").alias("path"))
     step = lambda new: new.join(e, new.ancestor == e._c).groupBy("child", F.col("_p").alias("ancestor")).agg(F.min(F.concat("path", F.array("_p"))).alias("path"))
-    return fixpoint(first, step, ["child", "ancestor"], max_depth)
+    return fixpoint(first, step, ["child", "ancestor"])
 
 
 def similarities(pairs: DataFrame, closed: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
-    """Distance, path and Wu-Palmer similarity of each pair, by its nearest common ancestor; with frequencies (type, information_content) Resnik and Lin too.
+    """Distance, path and Wu-Palmer similarity of each pair, by its nearest common ancestor; with frequencies (type, information_content) Resnik and Lin too, as they are and within [0, 1].
 
     A node's size, in Wu-Palmer's formula, is the number of its ancestors, itself included.
     The common ancestor is the one nearest to the left type, by name among equals.
@@ -139,16 +133,53 @@ def similarities(pairs: DataFrame, closed: DataFrame, frequency: DataFrame | Non
     for side, name in (("l", "il"), ("r", "ir"), ("lca", "ia")):
         out = out.join(frequency.select(F.col("type").alias(side), F.col("information_content").alias(name)), side, "left")
     lin = F.when(F.col("il") + F.col("ir") > 0, 2 * F.col("ia") / F.when(F.col("il") + F.col("ir") > 0, F.col("il") + F.col("ir"))).otherwise(F.when(F.col("l") == F.col("r"), 1.0).otherwise(0.0))
-    return out.select("l", "r", "lca", "distance", "path_similarity", "wu_palmer", F.col("ia").alias("resnik"), lin.alias("lin"))
+    clamped = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return out.select("l", "r", "lca", "distance", "path_similarity", "wu_palmer", F.col("ia").alias("resnik"), clamped(F.col("ia")).alias("resnik_score"), lin.alias("lin"), clamped(lin).alias("lin_score"))
+
 
+def shortest_path(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(l, r, ancestor, distance, path, edge_types) of each pair, by way of the common ancestor nearest to the left type (the first by name among equals); pairs without one have distance null.
 
-def generalised(left: DataFrame, right: DataFrame, on: list, numbers: list[str], others: list[str]) -> DataFrame:
-    """What both facts of a joined pair have in common: equal fields stay, numbers become ranges, the rest goes."""
+    The path goes up from the left type (edge type parent) and down to the right one (child).
+    """
+    asked = pairs.select("l", "r").distinct()
+    ways = proof_paths(edges, asked.select(F.explode(F.array("l", "r")).alias("child")).distinct())
+    left = ways.select(F.col("child").alias("l"), "ancestor", F.col("path").alias("up"))
+    right = ways.select(F.col("child").alias("r"), "ancestor", F.col("path").alias("other"))
+    best = asked.join(left, "l").join(right, ["r", "ancestor"]).groupBy("l", "r").agg(F.min(F.struct(F.size("up").alias("n"), "ancestor", "up", "other")).alias("b"))
+    down = F.reverse(F.slice("b.other", 1, F.size("b.other") - 1))
+    kinds = F.concat(F.array_repeat(F.lit("parent"), F.size("b.up") - 1), F.array_repeat(F.lit("child"), F.size("b.other") - 1))
+    found = best.select("l", "r", "b.ancestor", (F.size("b.up") + F.size("b.other") - 2).alias("distance"), F.concat("b.up", down).alias("path"), kinds.alias("edge_types"))
+    return asked.join(found, ["l", "r"], "left")
+
+
+def common_field(a: Column, b: Column, ta, tb) -> Column | None:
+    """What two fields have in common: an equal value stays, unequal numbers become a range, records go field by field, anything else goes."""
+    if isinstance(ta, StructType) and isinstance(tb, StructType):
+        inner = [(f.name, common_field(a[f.name], b[f.name], f.dataType, tb[f.name].dataType)) for f in ta if f.name in tb.names]
+        inner = [c.alias(n) for n, c in inner if c is not None]
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(*inner)) if inner else None
+    if isinstance(ta, NumericType) and isinstance(tb, NumericType):
+        same = a.eqNullSafe(b)
+        spread = F.when(~same & a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max")))
+        return F.struct(F.when(same, a).alias("value"), spread.alias("range"))
+    return F.when(a.eqNullSafe(b), a) if ta == tb else None
+
+
+def generalised(left: DataFrame, right: DataFrame, on: list[str], fields: list[str], ancestors: DataFrame | None = None) -> DataFrame:
+    """What both facts of a joined pair have in common; a number is (value, range), one of which is null.
+
+    ``ancestors`` (l, r, ancestor) names the type of the generalised fact of two facts with
+    columns _type: the declared one, CommonFact where there is none.
+    """
     l, r = left.alias("l"), right.alias("r")
     joined = l.join(r, on)
-    out = [F.when(F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.col(f"l.{c}")).alias(c) for c in others]
-    out += [F.struct(F.least(f"l.{c}", f"r.{c}").alias("min"), F.greatest(f"l.{c}", f"r.{c}").alias("max")).alias(c) for c in numbers]
-    return joined.select(*out)
+    kept = [(c, common_field(F.col(f"l.{c}"), F.col(f"r.{c}"), left.schema[c].dataType, right.schema[c].dataType)) for c in fields]
+    out = joined.select(*[F.col(c) for c in on], *([F.col("l._type").alias("_tl"), F.col("r._type").alias("_tr")] if ancestors is not None else []), *[c.alias(n) for n, c in kept if c is not None and n not in on])
+    if ancestors is None:
+        return out
+    named = ancestors.groupBy(F.col("l").alias("_tl"), F.col("r").alias("_tr")).agg(F.min("ancestor").alias("_type"))
+    return out.join(named, ["_tl", "_tr"], "left").withColumn("_type", F.coalesce("_type", F.lit("CommonFact"))).drop("_tl", "_tr")
 
 
 def propagate(parent: dict, changes: list[str], child: DataFrame) -> DataFrame:

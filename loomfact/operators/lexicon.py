@@ -3,6 +3,8 @@
 Tables: synset(id, pos), lemma(id, text, language), sense(id, lemma, synset, frequency),
 gloss(synset, text), example(synset, text), exception(surface, lemma),
 frequency(synset, count) and edge tables, of which hypernym has (child, parent).
+
+``RULES`` has the views that rules call by name, with the arguments they fix.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import Table, stored
 from .hierarchy import closure, fixpoint
 
 
@@ -51,10 +54,27 @@ class Lexicon:
         e = {"out": e, "in": back, "both": e.unionByName(back)}[direction].distinct()
         first = start.select(F.col("synset").alias("start"), F.col("synset").alias("node"), F.lit(0).alias("depth"), F.array("synset").alias("path")).distinct()
         step = lambda new: new.where(F.col("depth") < max_depth).join(e, new.node == e.a).groupBy("start", F.col("b").alias("node")).agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.concat("path", F.array("b")).alias("path"))).alias("k")).select("start", "node", "k.depth", "k.path")
-        return fixpoint(first, step, ["start", "node"], max_depth + 1).where("depth > 0")
-
-    def shortest_path(self, start: DataFrame, target: str, max_depth: int = 64) -> DataFrame:
-        return self.traverse(start, direction="both", max_depth=max_depth).where(F.col("node") == target)
+        return fixpoint(first, step, ["start", "node"]).where("depth > 0")
+
+    def shortest_path(self, pairs: DataFrame, max_depth: int = 64) -> DataFrame:
+        """(l, r, distance, path) of pairs of synsets, along hypernyms in either direction; null where none leads there.
+
+        All pairs are searched side by side, ring by ring; a pair leaves the search as soon as
+        it is found.
+        """
+        e = self.hypernym.select(F.col("child").alias("a"), F.col("parent").alias("b"))
+        e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+        asked = stored(pairs.select("l", "r").distinct(), "pairs")
+        seen, found = Table(asked.sparkSession, "rings"), Table(asked.sparkSession, "found")
+        ring = seen.add(asked.select("l", "r", F.col("l").alias("node"), F.array("l").alias("path")))
+        for _ in range(max_depth + 1):
+            hit = found.add(ring.where("node = r"))
+            left = ring if hit.isEmpty() else ring.join(hit.select("l", "r"), ["l", "r"], "left_anti")
+            step = left.join(e, left.node == e.a).groupBy("l", "r", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+            ring = seen.add(step.join(seen.all().select("l", "r", "node"), ["l", "r", "node"], "left_anti").select("l", "r", "node", "path"))
+            if ring.isEmpty():
+                break
+        return asked.join(found.all().select("l", "r", (F.size("path") - 1).alias("distance"), "path"), ["l", "r"], "left")
 
     def information_content(self, closed: DataFrame | None = None) -> DataFrame:
         """(synset, ic): -ln((counts below + 1) / (all counts + number of synsets))."""
@@ -66,22 +86,38 @@ class Lexicon:
         below = ancestry.join(counts, "synset", "left").groupBy(F.col("ancestor").alias("synset")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"))
         return below.crossJoin(total).select("synset", (-F.ln((F.col("c") + 1) / F.col("t"))).alias("ic"))
 
-    def common_subsumers(self, pairs: DataFrame) -> DataFrame:
-        """(l, r, ancestor, depth): common ancestors of each pair, deepest below its root first by depth."""
-        closed = closure(self.hypernym)
-        depth = closed.groupBy(F.col("descendant").alias("ancestor")).agg(F.max("depth").alias("depth"))
-        left, right = (closed.select(F.col("descendant").alias(s), "ancestor", F.col("depth").alias(f"d{s}")) for s in ("l", "r"))
-        return pairs.join(left, "l").join(right, ["r", "ancestor"]).join(depth, "ancestor").select("l", "r", "ancestor", "depth", "dl", "dr")
+    def closed(self) -> DataFrame:
+        """(descendant, ancestor, depth) of all synsets, those without edges too."""
+        every = self.synset.select(F.col("id").alias("descendant"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+        return closure(self.hypernym).unionByName(every).distinct()
+
+    def common_subsumers(self, pairs: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+        """(l, r, ancestor, depth, ic): common ancestors of each pair; depth counts the synsets up to a root, 1 for a root."""
+        closed = stored(self.closed(), "closure") if closed is None else closed
+        depth = closed.groupBy(F.col("descendant").alias("ancestor")).agg((F.max("depth") + 1).alias("depth"))
+        left, right = (closed.select(F.col("descendant").alias(s), "ancestor") for s in ("l", "r"))
+        ic = self.information_content(closed).withColumnRenamed("synset", "ancestor")
+        return pairs.select("l", "r").distinct().join(left, "l").join(right, ["r", "ancestor"]).join(depth, "ancestor").join(ic, "ancestor", "left").select("l", "r", "ancestor", "depth", "ic")
 
     def similarity(self, pairs: DataFrame) -> DataFrame:
-        """Path, Wu-Palmer, Resnik, Lin and Jiang-Conrath similarity of each pair, by its deepest common ancestor (the first by name among equals)."""
-        best = self.common_subsumers(pairs).groupBy("l", "r").agg(F.min(F.struct((-F.col("depth")).alias("up"), "ancestor", "dl", "dr")).alias("k")).select("l", "r", F.col("k.ancestor").alias("lcs"), (-F.col("k.up")).alias("depth"), (F.col("k.dl") + F.col("k.dr")).alias("distance"))
-        ic = self.information_content()
-        out = best
+        """Every pair's distance along hypernyms, its deepest common ancestor (the first by name among equals), and path, wup, resnik, lin, jcn and lch similarity; lch falls back to path, and what nothing connects scores 0."""
+        closed = stored(self.closed(), "closure")
+        best = self.common_subsumers(pairs, closed).groupBy("l", "r").agg(F.min(F.struct((-F.col("depth")).alias("up"), "ancestor")).alias("k")).select("l", "r", F.col("k.ancestor").alias("lcs"), (-F.col("k.up")).alias("depth"))
+        out = self.shortest_path(pairs).drop("path").join(best, ["l", "r"], "left")
+        depth = closed.groupBy(F.col("descendant").alias("s")).agg((F.max("depth") + 1).alias("n"))
+        ic = stored(self.information_content(closed), "ic")
         for side, name in (("l", "il"), ("r", "ir"), ("lcs", "ic")):
             out = out.join(ic.select(F.col("synset").alias(side), F.col("ic").alias(name)), side, "left")
-        deep = F.col("depth") + 1
-        return out.select("l", "r", "lcs", "distance", (1 / (F.col("distance") + 1)).alias("path"), (2 * deep / (2 * deep + F.col("distance"))).alias("wup"), F.col("ic").alias("resnik"), F.when(F.col("il") + F.col("ir") > 0, 2 * F.col("ic") / F.when(F.col("il") + F.col("ir") > 0, F.col("il") + F.col("ir"))).otherwise(0.0).alias("lin"), (1 / (F.col("il") + F.col("ir") - 2 * F.col("ic") + 1)).alias("jcn"))
+        for side, name in (("l", "nl"), ("r", "nr")):
+            out = out.join(depth.select(F.col("s").alias(side), F.col("n").alias(name)), side, "left")
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        path, both, shared = zero(1 / (F.col("distance") + 1)), zero(F.col("il")) + zero(F.col("ir")), zero(F.col("ic"))
+        return out.select("l", "r", "lcs", "distance", path.alias("path"), zero(2 * F.col("depth") / (F.col("nl") + F.col("nr"))).alias("wup"), shared.alias("resnik"), F.when(both > 0, 2 * shared / F.when(both > 0, both)).otherwise(0.0).alias("lin"), (1 / (both - 2 * shared + 1)).alias("jcn"), path.alias("lch"))
+
+    def word_similarity(self, left: str, right: str, language: str = "en") -> DataFrame:
+        """Similarity of the most frequent senses of two words; no row where one has none."""
+        first = lambda w, name: self.lookup(w, language).limit(1).select(F.col("synset").alias(name))
+        return self.similarity(first(left, "l").crossJoin(first(right, "r")))
 
     def synonyms(self, text: str, language: str | None = None) -> DataFrame:
         """Other lemmas with a sense in a synset of the text."""
@@ -112,6 +148,33 @@ class Lexicon:
         texts = self.gloss.unionByName(self.example).groupBy("synset").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
         senses = self.lookup(word).select("synset").distinct().join(texts, "synset", "left").select("synset", tokens(F.coalesce("text", F.lit(""))).alias("sense_tokens"))
         asked = contexts.select(F.col(id_col).alias("id"), tokens(context).alias("tokens"))
-        # the senses of one word: a fixed, small list for every context
-        scored = asked.crossJoin(F.broadcast(senses)).select("id", "synset", F.size(F.array_intersect("tokens", "sense_tokens")).alias("overlap"))
+        # the senses of one word are few: every context meets each of them
+        scored = asked.crossJoin(senses).select("id", "synset", F.size(F.array_intersect("tokens", "sense_tokens")).alias("overlap"))
         return scored.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "synset")).alias("k")).select("id", "k.synset", (-F.col("k.less")).alias("overlap"))
+
+
+def _pair(lex: Lexicon, left: str, right: str) -> DataFrame:
+    return lex.synset.sparkSession.createDataFrame([(left, right)], "l string, r string")
+
+
+def _one(lex: Lexicon, value: str, name: str) -> DataFrame:
+    return lex.synset.sparkSession.createDataFrame([(value,)], f"{name} string")
+
+
+#: The rule views: each takes a lexicon and the arguments that the rule leaves open.
+RULES = {
+    "WordNetLookup": lambda lex, text: lex.lookup(text, "en"),
+    "WordNetLemmas": lambda lex, text: lex.lemmatize(_one(lex, text, "word")),
+    "WordNetSynonyms": lambda lex, word: lex.synonyms(word, "en"),
+    "WordNetAncestors": lambda lex, synset: lex.traverse(_one(lex, synset, "synset"), direction="out", max_depth=32),
+    "WordNetDescendants": lambda lex, synset: lex.traverse(_one(lex, synset, "synset"), direction="in", max_depth=32),
+    "WordNetDistance": lambda lex, left, right: lex.shortest_path(_pair(lex, left, right)),
+    "WordNetSimilarity": lambda lex, left, right, algorithm: lex.similarity(_pair(lex, left, right)).select("l", "r", F.col(ALIASES.get(algorithm, algorithm)).alias("score")),
+    "WordNetWordSimilarity": lambda lex, left, right, algorithm: lex.word_similarity(left, right).select(F.col(ALIASES.get(algorithm, algorithm)).alias("score")),
+    "WordNetCheckSimilarity": lambda lex, left, right, algorithm: lex.word_similarity(left, right).select(F.struct(F.lit(left).alias("left"), F.lit(right).alias("right"), F.col(ALIASES.get(algorithm, algorithm)).alias("score")).alias("result")),
+    "WordNetSense": lambda lex, word, context: lex.lesk(word, F.col("text"), lex.synset.sparkSession.createDataFrame([(0, context)], "id int, text string"), "id"),
+    "WordNetExpand": lambda lex, query: lex.expand_query(query),
+    "WordNetTranslate": lambda lex, word, source, target: lex.translate(word, source, target),
+}
+#: Other names of algorithms.
+ALIASES = {"wu_palmer": "wup", "wu-palmer": "wup", "jiang_conrath": "jcn", "leacock_chodorow": "lch"}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, NumericType, StructType
 
 
 def matches(column: Column, value) -> Column:
@@ -51,8 +52,11 @@ def delete_cascade(parents: DataFrame, dependents: DataFrame, parent_key: str, d
 
 
 def sort_rows(df: DataFrame, key: str, direction: str = "asc", order: str | None = None) -> DataFrame:
-    """Sorted by key; ``order``, a column with the rows' input order, settles ties."""
-    by = F.col(key).desc() if direction.startswith("desc") else F.col(key).asc()
+    """Sorted by key: numbers as such, texts, among them those of a CSV file, by their bytes; ``order``, a column with the rows' input order, settles ties; a missing key raises."""
+    if direction not in ("asc", "desc"):
+        raise ValueError("a direction is asc or desc")
+    there = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"{key} is missing")).cast(df.schema[key].dataType)).otherwise(F.col(key))
+    by = there.desc() if direction == "desc" else there.asc()
     return df.orderBy(by, *([F.col(order)] if order else []))
 
 
@@ -71,14 +75,22 @@ def paginate(df: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def aggregates(df: DataFrame, asked: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """One row, from one pass: for each name count, sum, average, min or max of a field; a missing or non-numeric value, and (but for count) an empty table, raise."""
+    out = []
+    for name, (operation, key) in asked.items():
+        if operation == "count":
+            out.append(F.count(F.lit(1)).alias(name))
+            continue
+        number = df[key].try_cast("double")
+        good = (F.count(number) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0)
+        value = {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}[operation](number)
+        out.append(F.when(good, value).otherwise(F.raise_error(F.lit(f"{operation} needs numbers in every row, and a row")).cast("double")).alias(name))
+    return df.agg(*out)
+
+
 def aggregate(df: DataFrame, operation: str, key: str | None = None) -> DataFrame:
-    """One row, one column: count, sum, average, min or max; a missing or non-numeric value, and (but for count) an empty table, raise."""
-    if operation == "count":
-        return df.agg(F.count(F.lit(1)).alias("count"))
-    number = df[key].try_cast("double")
-    good = (F.count(number) == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0)
-    value = {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}[operation](number)
-    return df.agg(F.when(good, value).otherwise(F.raise_error(F.lit(f"{operation} needs numbers in every row, and a row")).cast("double")).alias(operation))
+    return aggregates(df, {operation: (operation, key)})
 
 
 def insert_unique(df: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
@@ -102,12 +114,24 @@ def change_one(df: DataFrame, conditions: dict, patch: dict | None = None) -> tu
     return df.withColumns({c: F.when(hit, F.lit(v)).otherwise(df[c]) for c, v in patch.items()}), {"matched": 1, "modified": 1, "deleted": 0, "problem": None}
 
 
+def value_text(c: Column, t) -> Column:
+    """A value as facts have it: nil, numbers and flags plain, texts quoted, [members] and {name: value}."""
+    if isinstance(t, StructType):
+        parts = [F.concat(F.lit(f"{f.name}: "), value_text(c[f.name], f.dataType)) for f in t]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(t, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: value_text(x, t.elementType)), ", "), F.lit("]"))
+    elif isinstance(t, NumericType | BooleanType):
+        text = c.cast("string")
+    else:
+        text = c.cast("string")
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        text = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(c.isNull(), "nil").otherwise(text)
+
+
 def fact_text(df: DataFrame, fact_type: str) -> DataFrame:
-    """One line per row: Type(field: value, ...); nulls as nil, text quoted."""
-    parts = []
-    for f in df.schema:
-        c = F.col(f.name)
-        plain = c.cast("string")
-        quoted = F.concat(F.lit('"'), F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-        parts.append(F.concat(F.lit(f"{f.name}: "), F.coalesce(plain if f.dataType.simpleString() in ("int", "bigint", "double", "float", "boolean", "smallint") else quoted, F.lit("nil"))))
+    """One line per row: Type(field: value, ...); nulls as nil, text quoted, records and arrays nested."""
+    parts = [F.concat(F.lit(f"{f.name}: "), value_text(F.col(f.name), f.dataType)) for f in df.schema if f.name != "_type"]
     return df.select(F.concat(F.lit(f"{fact_type}("), F.concat_ws(", ", *parts), F.lit(")")).alias("value"))

@@ -31,7 +31,12 @@ def symmetric_difference(*sets: DataFrame) -> DataFrame:
 
 
 def _keyed(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by)))
+    """Rows with all key fields; raises where there are rows, but none of these."""
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by))
+    check = df.agg(F.when((F.count(F.lit(1)) > 0) & (F.count(F.when(whole, 1)) == 0), F.raise_error(F.lit(f"no element has all of {', '.join(by)}")).cast("boolean")).otherwise(True).alias("_comparable"))
+    # the check has no row to add, but is evaluated even where none is left
+    none = check.where("not _comparable").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return df.where(whole).unionByName(none)
 
 
 def _by(sets, by: list[str], wanted, null_keys: bool = False) -> DataFrame:
@@ -58,11 +63,13 @@ def difference_by(by: list[str], first: DataFrame, *others: DataFrame) -> DataFr
     """Rows of the first set whose key is in none of the others."""
     keys = reduce(lambda a, b: a.unionByName(b), [_keyed(s, by).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]) for s in others]).distinct()
     rows = _keyed(first, by).distinct()
-    return rows.join(keys, [rows[c] == keys[f"_k{i}"] for i, c in enumerate(by)], "left_anti")
+    return rows.join(keys, [rows[c].eqNullSafe(keys[f"_k{i}"]) for i, c in enumerate(by)], "left_anti")
 
 
 def relations(left: DataFrame, right: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row: equals, subset, superset, disjoint."""
+    if by:
+        left, right = _keyed(left, by), _keyed(right, by)
     by = by or left.columns
     names = [f"_k{i}" for i in range(len(by))]
     side = lambda df, n: df.select(*[F.col(c).alias(k) for c, k in zip(by, names)], F.lit(n).alias("_side"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import stored
+
 
 def _finite(c: Column) -> Column:
     x = c.try_cast("double")
@@ -97,12 +99,27 @@ def histogram(df: DataFrame, value: str, bins: int = 6) -> DataFrame:
     return every.join(counted, "bin", "left").select("bin", (F.col("lo") + width * F.col("bin") / bins).alias("low"), (F.col("lo") + width * (F.col("bin") + 1) / bins).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def pie(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Slices of a category table: share, start and end angle, in order of the category; only positive values have one."""
-    sums = df.where(F.col(value) > 0).groupBy(F.col(category).alias("category")).agg(F.sum(F.col(value).cast("double")).alias("value"))
-    total = sums.agg(F.sum("value").alias("t"))
-    run = F.sum("value").over(Window.orderBy("category").rowsBetween(Window.unboundedPreceding, 0))
-    return sums.crossJoin(total).select("category", "value", (F.col("value") / F.col("t")).alias("share"), (360 * (run - F.col("value")) / F.col("t")).alias("start_angle"), (360 * run / F.col("t")).alias("end_angle"))
+def bar(df: DataFrame, category: str, value: str) -> DataFrame:
+    """Bars of (category, value) rows, as they are: rows without a finite value have none."""
+    return df.select(F.col(category).cast("string").alias("category"), _finite(F.col(value)).alias("value")).where("value is not null")
+
+
+def pie(df: DataFrame, category: str, value: str, order: str) -> DataFrame:
+    """A slice for each row, in the rows' ``order``: share, start and end angle; only positive values have one.
+
+    Angles are running sums over ranges of the order: each range starts where those before
+    it end.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(category).cast("string").alias("category"), _finite(F.col(value)).alias("value"), F.col(order).alias("_o")).where("value > 0")
+    ranged = stored(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_o").withColumn("_part", F.spark_partition_id()), "slices")
+    sums = ranged.groupBy("_part").agg(F.sum("value").alias("_s"))
+    before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))  # a row for each range
+    inside = F.sum("value").over(Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
+    total = ranged.agg(F.sum("value").alias("_t"))
+    run = F.col("_run") + F.col("_b")
+    joined = ranged.withColumn("_run", inside).join(F.broadcast(before), "_part").crossJoin(total)
+    return joined.select("category", "value", (F.col("value") / F.col("_t")).alias("share"), (360 * (run - F.col("value")) / F.col("_t")).alias("start_angle"), (360 * run / F.col("_t")).alias("end_angle"))
 
 
 def points(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -115,3 +132,12 @@ def graph(df: DataFrame, source: str, target: str, label: str | None = None) ->
     edges = df.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(F.col(source).cast("string").alias("from"), F.col(target).cast("string").alias("to"), *([F.col(label).alias("label")] if label else []))
     ends = edges.select(F.explode(F.array("from", "to")).alias("node"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), edges
+
+
+#: Plot data by name, for facts of one exact type.
+PLOTS = {"histogram": histogram, "bar": bar, "pie": pie, "points": points, "graph": graph}
+
+
+def from_fact_type(session, fact_type: str, plot: str, *args, **options):
+    """The data behind a plot of the facts of exactly one type."""
+    return PLOTS[plot](session.snapshot(fact_type), *args, **options)

@@ -7,7 +7,7 @@ maximum and its negation one minus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.degrees import degree
@@ -30,13 +30,25 @@ def grade(evidence: DataFrame, key: list[str]) -> DataFrame:
     return evidence.groupBy(*key).agg(side("support"), side("oppose"), F.count(F.lit(1)).alias("n"))
 
 
-def decide(asked: DataFrame, key: list[str], positive: DataFrame, negative: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Truth and grades together, and the degree that survives opposition: the minimum of support and one minus oppose."""
+#: The one combination of each kind that is defined.
+PROFILE = {"conjunction": "minimum", "disjunction": "maximum", "evidence_aggregation": "maximum", "negation": "one_minus"}
+
+
+def decide(asked: DataFrame, key: list[str], positive: DataFrame, negative: DataFrame, evidence: DataFrame, profile: dict[str, str] | None = None, probability: float | Column | None = None, similarity: float | Column | None = None) -> DataFrame:
+    """Truth and grades together, and the degree that survives opposition: the minimum of support and one minus oppose.
+
+    Probability and similarity are degrees of their own: they stand beside, and change
+    nothing.  A profile (a name apart) must say how grades combine, as PROFILE does.
+    """
+    told = {k: v for k, v in (profile or PROFILE).items() if k != "name"}
+    if told != PROFILE:
+        raise ValueError(f"no such profile: {told}")
     graded = grade(evidence, key).select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(key)], "support", "oppose")
     proved = prove(asked, key, positive, negative)
     out = proved.join(graded, [proved[c].eqNullSafe(graded[f"_g{i}"]) for i, c in enumerate(key)], "left").drop(*[f"_g{i}" for i in range(len(key))])
     out = out.withColumns({"support": F.coalesce("support", F.lit(0.0)), "oppose": F.coalesce("oppose", F.lit(0.0))})
-    return out.withColumn("degree", F.least("support", 1 - F.col("oppose")))
+    aside = {n: degree(v if isinstance(v, Column) else F.lit(v)) for n, v in (("probability", probability), ("similarity", similarity)) if v is not None}
+    return out.withColumns({"degree": F.least("support", 1 - F.col("oppose")), **aside})
 
 
 def satisfied(asked: DataFrame, key: list[str], *required: DataFrame) -> DataFrame:

@@ -2,44 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import degrees, scalars
 from .operators import compare, hierarchy, lexicon, models, rows, sets, stats, temporal
+from .operators.relation import structural_state
 from .plans.logic import Goal, Not, Or, Program, Where
 from .plans.reasoning import decide, grade, prove, satisfied
-from .session import FactSession, merge_labels, relation_find, structural_state
+from .registry import ORACLE, QUERIES, Tables, folder, query
+from .registry import rounded as _r
+from .session import FactSession, merge_labels, relation_find
 from .streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
-
-
-def _r(c, n: int = 6):
-    return F.round(c, n)
-
-
 # --- scans ---------------------------------------------------------------------
 
 
@@ -49,8 +24,8 @@ def event_session(spark, sf_dir) -> FactSession:
     s.register("Event")
     s.register("Visit", parents=["Event"])
     s.register("Lead", parents=["Event"])
-    for name, parents in (("click", ["Visit", "Lead"]), ("view", ["Visit"]), ("purchase", ["Event"]), ("signup", ["Lead"]), ("error", ["Event"])):
-        s.register(name, events.where(F.col("event_type") == name), parents, labels=["web"] if name in ("click", "view") else [])
+    types = {"click": ["Visit", "Lead"], "view": ["Visit"], "purchase": ["Event"], "signup": ["Lead"], "error": ["Event"]}
+    s.register_types(events, "event_type", types, {"click": ["web"], "view": ["web"]})
     return s
 
 
@@ -167,7 +142,8 @@ def then_pipeline(spark, sf_dir):
 
 def program(spark, sf_dir) -> Program:
     t = Tables(spark, sf_dir)
-    return Program({n: getattr(t, n) for n in ("customer", "orders", "nation", "region", "supplier")})
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey"]}
+    return Program({n: getattr(t, n) for n in keys}, keys)
 
 
 @query("SELECT c_custkey AS c, n_name AS nation, o_orderkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey")
@@ -188,7 +164,7 @@ def self_unify(spark, sf_dir):
 @query("SELECT DISTINCT s_suppkey AS s, c_custkey AS c FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > s_acctbal + 5000")
 def theta_goal(spark, sf_dir):
     goals = [Goal("supplier", s_suppkey="?s", s_nationkey="?n", s_acctbal="?x"), Goal("customer", c_custkey="?c", c_nationkey="?n", c_acctbal="?y"), Where("x", "y", test=lambda x, y: y > x + 5000)]
-    return program(spark, sf_dir).ask(goals).select("s", "c").distinct()
+    return program(spark, sf_dir).ask(goals).select("s", "c")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_nationkey IN (SELECT s_nationkey FROM supplier)")
@@ -239,11 +215,9 @@ def agg_by_flag(spark, sf_dir):
 
 @query("SELECT round(sum(l_quantity), 4) AS s, round(avg(l_quantity), 6) AS a, min(l_quantity) AS lo, max(l_quantity) AS hi, count(*) AS n FROM lineitem")
 def csv_aggregates(spark, sf_dir):
-    df = Tables(spark, sf_dir).lineitem
-    one = rows.aggregate(df, "sum", "l_quantity").select(_r("sum", 4).alias("s"))
-    for op, name, f in (("average", "a", lambda c: _r(c)), ("min", "lo", F.col), ("max", "hi", F.col)):
-        one = one.crossJoin(rows.aggregate(df, op, "l_quantity").select(f(op).alias(name)))
-    return one.crossJoin(rows.aggregate(df, "count").select(F.col("count").alias("n")))
+    asked = {"s": ("sum", "l_quantity"), "a": ("average", "l_quantity"), "lo": ("min", "l_quantity"), "hi": ("max", "l_quantity"), "n": ("count", None)}
+    one = rows.aggregates(Tables(spark, sf_dir).lineitem, asked)
+    return one.select(_r("s", 4).alias("s"), _r("a").alias("a"), "lo", "hi", "n")
 
 
 @query("SELECT p_brand, min(p_partkey) AS first_seen FROM part GROUP BY 1")
@@ -270,7 +244,7 @@ EVENT_CLOSURE = "(VALUES ('click', 'click'), ('click', 'Visit'), ('click', 'Lead
 @query(f"SELECT a AS type, count(*) AS n, round(-ln(count(*) / (SELECT count(*) FROM events)), 9) AS information_content FROM events JOIN {EVENT_CLOSURE} ON event_type = d GROUP BY 1")
 def frequency_ic(spark, sf_dir):
     s = event_session(spark, sf_dir)
-    f = stats.frequencies(Tables(spark, sf_dir).events, hierarchy.closure(s.edges()), "event_type")
+    f = stats.frequencies(Tables(spark, sf_dir).events, s.closure(), "event_type")
     return f.select("type", "n", _r("information_content", 9).alias("information_content"))
 
 
@@ -330,11 +304,12 @@ def timeline(spark, sf_dir):
 
 @query("""WITH l AS (SELECT *, row_number() OVER (ORDER BY event_id DESC) AS k FROM events)
 SELECT 'value' AS field, round(2 * max(CASE WHEN k = 1 THEN value END) - max(CASE WHEN k = 2 THEN value END), 6) AS number, NULL AS text, 'linear_trend' AS method, CAST(0.75 AS DOUBLE) AS confidence FROM l WHERE k <= 2
-UNION ALL SELECT 'event_type', NULL, max(CASE WHEN k = 1 THEN event_type END), 'last_value', 0.6 FROM l WHERE k <= 2""")
+UNION ALL SELECT 'event_type', NULL, max(CASE WHEN k = 1 THEN event_type END), 'last_value', 0.6 FROM l WHERE k <= 2
+UNION ALL SELECT NULL, NULL, NULL, 'field_wise_sequence_prediction', 0.675""")
 def predict_next(spark, sf_dir):
-    p = models.predict_next(Tables(spark, sf_dir).events, "event_id", ["value"], ["event_type"])
+    p = models.predict_next(Tables(spark, sf_dir).events, "event_id", ["value", "event_type"])
     number = F.col("method") == "linear_trend"
-    return p.select("field", _r(F.when(number, F.col("predicted").cast("double"))).alias("number"), F.when(~number, F.col("predicted")).alias("text"), "method", "confidence")
+    return p.select("field", _r(F.when(number, F.col("predicted").cast("double"))).alias("number"), F.when(~number, F.col("predicted")).alias("text"), "method", _r("confidence", 9).alias("confidence"))
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part ORDER BY p_size DESC, p_partkey")
@@ -356,12 +331,13 @@ def paginate(spark, sf_dir):
 
 
 def user_sets(spark, sf_dir, *types, columns=("user_id",)):
-    e = Tables(spark, sf_dir).events
+    """Users with a rather small event of each type: sets that overlap, none of which has all."""
+    e = Tables(spark, sf_dir).events.where("value < 3")
     return [e.where(F.col("event_type") == t).select(*columns) for t in types]
 
 
-def _of(t: str) -> str:
-    return f"SELECT user_id FROM events WHERE event_type = '{t}'"
+def _of(t: str, columns: str = "user_id") -> str:
+    return f"SELECT {columns} FROM events WHERE event_type = '{t}' AND value < 3"
 
 
 @query(f"{_of('click')} UNION {_of('view')}")
@@ -379,17 +355,17 @@ def set_difference(spark, sf_dir):
     return sets.difference(*user_sets(spark, sf_dir, "click", "purchase"))
 
 
-@query("SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) < 3")
+@query("SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase') AND value < 3 GROUP BY 1 HAVING count(DISTINCT event_type) < 3")
 def set_symmetric_difference(spark, sf_dir):
     return sets.symmetric_difference(*user_sets(spark, sf_dir, "click", "view", "purchase"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'purchase') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query(f"SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'purchase') AND value < 3 AND user_id IN ({_of('click')}) AND user_id IN ({_of('purchase')})")
 def set_intersection_by(spark, sf_dir):
     return sets.intersection_by(["user_id"], *user_sets(spark, sf_dir, "click", "purchase", columns=("user_id", "event_type")))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query(f"SELECT DISTINCT user_id, event_type FROM events WHERE event_type = 'click' AND value < 3 AND user_id NOT IN ({_of('purchase')})")
 def set_difference_by(spark, sf_dir):
     return sets.difference_by(["user_id"], *user_sets(spark, sf_dir, "click", "purchase", columns=("user_id", "event_type")))
 
@@ -399,13 +375,18 @@ def set_relations(spark, sf_dir):
     return sets.relations(*user_sets(spark, sf_dir, "click", "view"))
 
 
-@query("SELECT count(*) AS cardinality, max(user_id = 5) AS contains FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click')")
+@query("SELECT count(*) AS cardinality, max(user_id = 5) AS contains FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value < 3)")
 def set_cardinality_contains(spark, sf_dir):
     (s,) = user_sets(spark, sf_dir, "click")
     return sets.cardinality(s).crossJoin(sets.contains(s, user_id=5))
 
 
-@query("SELECT true AS closed, true AS associative, true AS identity, true AS inverse, true AS commutative, true AS \"group\", true AS abelian")
+@query("""WITH t AS (SELECT a.r_regionkey AS l, b.r_regionkey AS r, (a.r_regionkey + b.r_regionkey) % 5 AS p FROM region a CROSS JOIN region b), m AS (SELECT l AS x FROM t UNION SELECT r FROM t),
+e AS (SELECT x FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE (t.l = m.x AND t.p <> t.r) OR (t.r = m.x AND t.p <> t.l))),
+c AS (SELECT NOT EXISTS (SELECT 1 FROM t WHERE p NOT IN (SELECT x FROM m)) AS closed,
+NOT EXISTS (SELECT 1 FROM t ab JOIN t q ON q.l = ab.p JOIN t bc ON bc.l = ab.r AND bc.r = q.r JOIN t w ON w.l = ab.l AND w.r = bc.p WHERE q.p <> w.p) AS associative, EXISTS (SELECT 1 FROM e) AS identity,
+NOT EXISTS (SELECT 1 FROM m WHERE NOT EXISTS (SELECT 1 FROM t JOIN t u ON u.l = t.r AND u.r = t.l JOIN e ON t.p = e.x AND u.p = e.x WHERE t.l = m.x)) AS inverse, NOT EXISTS (SELECT 1 FROM t JOIN t u ON u.l = t.r AND u.r = t.l WHERE u.p <> t.p) AS commutative)
+SELECT *, closed AND associative AND identity AND inverse AS "group", closed AND associative AND identity AND inverse AND commutative AS abelian FROM c""")
 def group_validate(spark, sf_dir):
     n = Tables(spark, sf_dir).region.select(F.col("r_regionkey").alias("left"))
     return sets.group_properties(n.crossJoin(n.withColumnRenamed("left", "right")).select("left", "right", ((F.col("left") + F.col("right")) % 5).alias("result")))
@@ -485,9 +466,10 @@ def nearest_where(spark, sf_dir):
     return found.select("input", "candidate", _r("similarity", 9).alias("similarity"), "rank")
 
 
-@query("SELECT n_nationkey AS id, u.path, u.path AS field, u.kind, u.value, 1 AS depth FROM nation CROSS JOIN LATERAL (VALUES ('n_name', 'string', n_name), ('n_regionkey', 'number', CAST(n_regionkey AS VARCHAR))) u(path, kind, value)")
+@query("SELECT n_nationkey AS id, u.path, coalesce(u.field, u.path) AS field, u.kind, u.value, u.depth FROM nation CROSS JOIN LATERAL (VALUES ('$', NULL, 'fact', '', 0), ('home', NULL, 'fact', '', 1), ('home.region', 'region', 'number', CAST(n_regionkey AS VARCHAR), 2), ('names', NULL, 'collection', '2', 1), ('names[0]', NULL, 'string', n_name, 2), ('names[1]', NULL, 'string', lower(n_name), 2)) u(path, field, kind, value, depth)")
 def extract_semantics(spark, sf_dir):
-    return compare.extract_semantics(Tables(spark, sf_dir).nation, "n_nationkey")
+    n = Tables(spark, sf_dir).nation.select("n_nationkey", F.struct(F.col("n_regionkey").alias("region")).alias("home"), F.array("n_name", F.lower("n_name")).alias("names"))
+    return compare.extract_semantics(n, "n_nationkey")
 
 
 @query("""WITH p AS (SELECT DISTINCT n_nationkey AS l, n_regionkey AS r FROM nation), k AS (SELECT l AS k FROM p UNION SELECT r FROM p)
@@ -541,7 +523,7 @@ def path_similarities(spark, sf_dir):
 
 @query(f"WITH f AS (SELECT a, -ln(count(*) / (SELECT count(*) FROM events)) AS ic FROM events JOIN {EVENT_CLOSURE} ON event_type = d GROUP BY 1) SELECT p.l, p.r, p.lca, round(f.ic, 9) AS resnik, round(2 * f.ic / (fl.ic + fr.ic), 9) AS lin FROM (VALUES ('click', 'view', 'Visit'), ('click', 'signup', 'Lead'), ('view', 'error', 'Event')) p(l, r, lca) JOIN f ON f.a = p.lca JOIN f fl ON fl.a = p.l JOIN f fr ON fr.a = p.r")
 def information_similarities(spark, sf_dir):
-    closed = hierarchy.closure(event_session(spark, sf_dir).edges())
+    closed = event_session(spark, sf_dir).closure()
     freq = stats.frequencies(Tables(spark, sf_dir).events, closed, "event_type")
     pairs = spark.createDataFrame([("click", "view"), ("click", "signup"), ("view", "error")], "l string, r string")
     return hierarchy.similarities(pairs, closed, freq).select("l", "r", "lca", _r("resnik", 9).alias("resnik"), _r("lin", 9).alias("lin"))
@@ -553,11 +535,12 @@ def hierarchy_proof(spark, sf_dir):
     return hierarchy.proof_paths(place_edges(spark, sf_dir), start).where("ancestor = 'world'").select(F.array_join("path", ">").alias("path"))
 
 
-@query("SELECT a.p_partkey, CASE WHEN a.p_type = b.p_type THEN a.p_type END AS p_type, least(a.p_size, b.p_size) AS low, greatest(a.p_size, b.p_size) AS high FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query("SELECT a.p_partkey AS k, CASE WHEN a.p_type = b.p_type THEN a.p_type END AS p_type, CASE WHEN a.p_size = b.p_size THEN a.p_size END AS size, CASE WHEN a.p_size <> b.p_size THEN least(a.p_size, b.p_size) END AS low, CASE WHEN a.p_size <> b.p_size THEN greatest(a.p_size, b.p_size) END AS high, CASE WHEN a.p_brand = b.p_brand THEN a.p_brand END AS brand FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def generalised_fact(spark, sf_dir):
     p = Tables(spark, sf_dir).part
-    left, right = p.select(F.col("p_partkey").alias("k"), "p_type", "p_size", F.col("p_partkey")), p.select((F.col("p_partkey") - 1).alias("k"), "p_type", "p_size", (F.col("p_partkey") - 1).alias("p_partkey"))
-    return hierarchy.generalised(left, right, ["k"], ["p_size"], ["p_partkey", "p_type"]).select("p_partkey", "p_type", F.col("p_size.min").alias("low"), F.col("p_size.max").alias("high"))
+    side = lambda k: p.select(k.alias("k"), "p_type", "p_size", F.struct("p_brand", "p_name").alias("more"))
+    out = hierarchy.generalised(side(F.col("p_partkey")), side(F.col("p_partkey") - 1), ["k"], ["p_size", "p_type", "more"])
+    return out.select("k", "p_type", F.col("p_size.value").alias("size"), F.col("p_size.range.min").alias("low"), F.col("p_size.range.max").alias("high"), F.col("more.p_brand").alias("brand"))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(floor(value) AS BIGINT) % 50 AS b FROM events WHERE event_type = 'purchase'), reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT a, b FROM reach")
@@ -619,12 +602,37 @@ def train_stump(spark, sf_dir):
     return spark.createDataFrame([(m.feature, m.threshold, round(m.confidence, 9))], "feature string, threshold double, confidence double")
 
 
-@query("WITH m AS (SELECT mode_flag FROM (SELECT o_orderstatus AS mode_flag, count(*) AS k FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)) SELECT count(*) AS n, true AS at_least_majority FROM orders")
+_BEST = f"{_STUMP}, b AS (SELECT cut FROM c ORDER BY gini, cut LIMIT 1), k AS (SELECT l_quantity <= cut AS low, l_returnflag AS y, count(*) AS n FROM lineitem CROSS JOIN b GROUP BY 1, 2), w AS (SELECT low, y FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY n DESC, y) AS r FROM k) WHERE r = 1)"
+
+
+@query(f"{_BEST} SELECT sum(n) AS n, round(sum(CASE WHEN k.y = w.y THEN n ELSE 0 END) / sum(n), 9) AS accuracy FROM k JOIN w ON k.low = w.low")
 def evaluate_stump(spark, sf_dir):
-    o = Tables(spark, sf_dir).orders
-    m = models.train_stump(o, "o_orderstatus", ["o_totalprice"])
-    share = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("k")).agg((F.max("k") / F.sum("k")).alias("share"))
-    return models.evaluate(m, o).crossJoin(share).select("n", (F.col("accuracy") >= F.col("share")).alias("at_least_majority"))
+    df = Tables(spark, sf_dir).lineitem
+    return models.evaluate(models.train_stump(df, "l_returnflag", ["l_quantity"]), df).select("n", _r("accuracy", 9).alias("accuracy"))
+
+
+@query(f"{_BEST} SELECT l_orderkey, l_linenumber, w.y AS prediction, CASE WHEN w.low THEN 'numeric_split_left' ELSE 'numeric_split_right' END AS route FROM lineitem CROSS JOIN b JOIN w ON w.low = (l_quantity <= cut)")
+def predict_fact(spark, sf_dir):
+    df = Tables(spark, sf_dir).lineitem
+    return models.predict_fact(df, df, "l_returnflag", ["l_quantity"]).select("l_orderkey", "l_linenumber", "prediction", "route")
+
+
+_FIT = "SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i, regr_r2(l_extendedprice, l_quantity) AS r FROM lineitem"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(i + s * l_quantity, 2) AS prediction, round(r, 6) AS confidence, 'linear_regression' AS route FROM lineitem CROSS JOIN ({_FIT})")
+def predict_numeric_fact(spark, sf_dir):
+    df = Tables(spark, sf_dir).lineitem
+    return models.predict_numeric_fact(df, df, "l_extendedprice", "l_quantity").select("l_orderkey", "l_linenumber", _r("prediction", 2).alias("prediction"), _r("confidence").alias("confidence"), "route")
+
+
+@query(f"{_STUMP} SELECT 'l_quantity' AS feature, cut AS threshold, round(1 - gini, 9) AS confidence FROM c ORDER BY gini, cut LIMIT 1")
+def saved_model(spark, sf_dir):
+    """A model that is written and read again."""
+    path = folder(spark, "model")
+    models.save_model(spark, models.train_stump(Tables(spark, sf_dir).lineitem, "l_returnflag", ["l_quantity"]), path)
+    m = models.load_model(spark, path)
+    return spark.createDataFrame([(m.feature, m.threshold, round(m.confidence, 9))], "feature string, threshold double, confidence double")
 
 
 @query("SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
@@ -633,7 +641,17 @@ def linear_regression(spark, sf_dir):
     return m.select("n", _r("slope").alias("slope"), _r("intercept", 4).alias("intercept"), _r("r2").alias("r2"))
 
 
-@query()
+def _k_means_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds, one after the other, over standardised features x and y."""
+    out = ["WITH m AS (SELECT avg(p_size) AS mx, stddev_pop(p_size) AS sx, avg(p_retailprice) AS my, stddev_pop(p_retailprice) AS sy FROM part), z AS (SELECT p_partkey AS id, (p_size - mx) / sx AS x, (p_retailprice - my) / sy AS y FROM part CROSS JOIN m)"]
+    out.append(f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS c, x, y FROM (SELECT * FROM z ORDER BY id LIMIT {k}))")
+    near = lambda t: f"(SELECT id, z.x, z.y, arg_min(c, (z.x - {t}.x) * (z.x - {t}.x) + (z.y - {t}.y) * (z.y - {t}.y) + c * 1e-15) AS c, min((z.x - {t}.x) * (z.x - {t}.x) + (z.y - {t}.y) * (z.y - {t}.y)) AS d FROM z CROSS JOIN {t} GROUP BY 1, 2, 3)"
+    for i in range(rounds):
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.x, o.x) AS x, coalesce(n.y, o.y) AS y FROM c{i} o LEFT JOIN (SELECT c, avg(x) AS x, avg(y) AS y FROM {near(f'c{i}')} GROUP BY 1) n ON n.c = o.c)")
+    return ", ".join(out) + f" SELECT c AS cluster, count(*) AS n, round(avg(sqrt(d)), 6) AS mean_distance FROM {near(f'c{rounds}')} GROUP BY 1"
+
+
+@query(_k_means_sql(3, 12))
 def k_means(spark, sf_dir):
     centres, assigned = models.k_means(Tables(spark, sf_dir).part, ["p_size", "p_retailprice"], 3, "p_partkey")
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("distance")).alias("mean_distance"))
@@ -693,9 +711,9 @@ def histogram(spark, sf_dir):
     return stats.histogram(Tables(spark, sf_dir).lineitem, "l_quantity", 8).select("bin", _r("low").alias("low"), "n")
 
 
-@query("WITH s AS (SELECT o_orderpriority AS category, sum(o_totalprice) AS v FROM orders WHERE o_totalprice > 0 GROUP BY 1) SELECT category, round(v / sum(v) OVER (), 9) AS share, round(360 * sum(v) OVER (ORDER BY category) / sum(v) OVER (), 6) AS end_angle FROM s")
+@query("SELECT c_name AS category, round(c_acctbal / sum(c_acctbal) OVER (), 9) AS share, round(360 * sum(c_acctbal) OVER (ORDER BY c_custkey) / sum(c_acctbal) OVER (), 6) AS end_angle FROM customer WHERE c_acctbal > 0")
 def pie_share(spark, sf_dir):
-    return stats.pie(Tables(spark, sf_dir).orders, "o_orderpriority", "o_totalprice").select("category", _r("share", 9).alias("share"), _r("end_angle").alias("end_angle"))
+    return stats.pie(Tables(spark, sf_dir).customer, "c_name", "c_acctbal", "c_custkey").select("category", _r("share", 9).alias("share"), _r("end_angle").alias("end_angle"))
 
 
 @query("SELECT node, count(*) AS degree FROM (SELECT CAST(n_name AS VARCHAR) AS node FROM nation UNION ALL SELECT CAST(n_regionkey AS VARCHAR) FROM nation) GROUP BY 1")
@@ -734,3 +752,6 @@ def windowed_events(spark, sf_dir):
 def running_total(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # rows with equal numbers get one sum
     return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(w).alias("running"))
+
+
+from . import queries_facts, queries_language, queries_sources  # noqa: E402,F401  they register themselves

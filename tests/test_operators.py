@@ -3,6 +3,7 @@
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfact.functions import degrees, scalars
 from loomfact.operators import compare, hierarchy, models, rows, sets, stats, temporal
@@ -123,8 +124,22 @@ def test_session(spark):
 def test_ranking(spark):
     ranked = temporal.rank(spark.createDataFrame([(1, 10.0, 90.0), (2, 20.0, 10.0), (3, 20.0, 20.0)], "id int, at double, p double"), "at", "p", "id")
     assert [r.id for r in ranked.orderBy("rank").collect()] == [3, 2, 1]
-    with pytest.raises(PySparkException):
-        temporal.rank(spark.createDataFrame([(1, None, 1.0)], "id int, at double, p double"), "at", "p", "id").collect()
+    for odd in (None, float("inf"), float("-inf"), float("nan")):
+        for row in ((1, odd, 1.0), (1, 1.0, odd)):
+            with pytest.raises(PySparkException):
+                temporal.rank(spark.createDataFrame([row], "id int, at double, p double"), "at", "p", "id").collect()
+
+
+def test_timeline_of_a_long_lineage(spark):
+    """One lineage with most rows is spread over ranges, and numbered as one."""
+    rows_ = [("hot", i % 400, i) for i in range(800)] + [(f"k{i}", i, 1000 + i) for i in range(20)] + [(None, 5, 2000), (None, 6, 2001)]
+    df = spark.createDataFrame(rows_, "l string, at int, seq int").repartition(3)
+    got = temporal.timeline(df, "l", "at", "seq").collect()
+    want = []
+    for name in {r[0] for r in rows_}:
+        own = sorted([r for r in rows_ if r[0] == name], key=lambda r: (r[1], r[2]))
+        want += [(*r, k + 1, r[1], own[k + 1][1] if k + 1 < len(own) else None) for k, r in enumerate(own)]
+    assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
 
 
 def test_rows(spark):
@@ -162,11 +177,60 @@ def test_comparison(spark):
     with pytest.raises(ValueError):
         compare.compare_pairs(df, "l", "r", threshold=2)
     renamed = df.select("l", F.struct(F.lit(1.0).alias("a"), F.lit("Hello World").alias("bb"), F.struct(F.lit(2).alias("c")).alias("n")).alias("r"))
-    assert compare.compare_pairs(renamed, "l", "r", mode="semantic").first().similarity > compare.compare_pairs(renamed, "l", "r").first().similarity
+    assert compare.compare_pairs(renamed, "l", "r").first().similarity == pytest.approx(0.25 + 0.75 * (1 + (0.8 + 0.2 * 0.5) + 1) / 3)
+    assert compare.compare_pairs(renamed, "l", "r", mode="exact").first().similarity == pytest.approx(0.25 * 2 / 3 + 0.75)
+    for algorithm in ("semantic_pattern", "relationship_aware"):
+        assert compare.compare_pairs(renamed, "l", "r", algorithm).first().similarity == compare.compare_pairs(renamed, "l", "r").first().similarity
     part = df.select("l", F.struct(F.lit(2).alias("c")).alias("w"))
     assert compare.contains_subfact(part, "l", "w").first().path == "n"
 
 
+def test_sets_whose_elements_have_no_key(spark):
+    some = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    none = spark.createDataFrame([(None, "a"), (None, "b")], "k int, v string")
+    assert sets.intersection_by(["k"], some, some).count() == 1 and sets.difference_by(["k"], some.limit(0), some).count() == 0
+    for f in (sets.intersection_by, sets.symmetric_difference_by, sets.difference_by):
+        with pytest.raises(PySparkException):
+            f(["k"], some, none).collect()
+    with pytest.raises(PySparkException):
+        sets.relations(some, none, ["k"]).collect()
+
+
+def test_nested_comparison(spark):
+    one = spark.createDataFrame([({"tags": ["a", "b"], "in": {"x": 1}},)], "l struct<tags: array<string>, in: struct<x: int>>")
+    two = spark.createDataFrame([({"tags": ["a"], "in": None},)], "r struct<tags: array<string>, in: struct<x: int>>")
+    got = compare.compare_pairs(one.crossJoin(two), "l", "r").first()
+    assert got.differences == ["in.changed_value", "tags.collection_size"]
+    assert got.similarity == pytest.approx(0.25 + 0.75 * ((0.45 * 0.5 + 0.55) + 0) / 2)
+    left, right = (StructType.fromDDL(x) for x in ("color string, n int", "Colour string, n double"))
+    assert compare.align(left, right) == [("color", "Colour", pytest.approx(1 - 1 / 6)), ("n", "n", 1.0)] and compare.align(left, right, "exact") == [("n", "n", 1.0)]
+    assert compare.name_similarity("first_name", "First Name") == 0.95
+    with pytest.raises(ValueError):
+        compare.extract_semantics(one, "l", 0)
+
+
+def test_values_that_are_no_numbers(spark):
+    """Rows without a finite feature belong to no cluster, and train nothing."""
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 1.2, "a"), (3, 9.0, "b"), (4, 9.2, "b"), (5, nan, "b"), (6, inf, "a"), (7, None, "a")], "i int, x double, y string")
+    centres, got = models.k_means(df, ["x"], 2, "i")
+    assert sorted(c[0] for c in centres) == pytest.approx([1.1, 9.1]) and got.count() == 4
+    m = models.train_stump(df, "y", ["x"])
+    assert m.threshold == pytest.approx(5.1) and {r.i: r.prediction for r in m.predict(df).collect()}[5] == "a"
+    assert models.train_line(df.withColumn("z", 2 * F.col("x") + 1).where("i < 5"), "z", "x").slope == pytest.approx(2)
+
+
+def test_next_values(spark):
+    at = lambda rows, schema: {r.field: (r.predicted, r.method, round(r.confidence, 6)) for r in models.predict_next(spark.createDataFrame(rows, schema), "i", [f.split()[0] for f in schema.split(", ")[1:]]).collect()}
+    assert at([(1, 1.0, "a"), (2, 4.0, None)], "i int, x double, t string") == {"x": ("7.0", "linear_trend", 0.75), "t": (None, "last_value", 0.6), None: (None, "field_wise_sequence_prediction", 0.675)}
+    assert at([(1, 5.0, True), (2, None, True)], "i int, x double, b boolean")["x"] == (None, "last_value", 0.6)
+    assert at([(1, None), (2, 3.0)], "i int, x double")["x"] == ("3.0", "linear_trend", 0.75)
+    one = at([(1, 5.0, {"a": 1}, [1, 2], False)], "i int, x double, s struct<a: int>, l array<int>, b boolean")
+    assert one["x"] == ("5.0", "last_numeric_value", 0.55) and one["s"] == ('{"a":1}', "recursive_nested_prediction", 0.65) and one["l"] == ("[1,2]", "last_collection_value", 0.5)
+    assert one["b"] == (None, "unsupported", 0.0) and one[None][2] == pytest.approx(0.425)
+    assert at([], "i int, x double") == {}
+
+
 def test_models(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "a"), (8.0, "b"), (9.0, "b"), (None, "a")], "x double, y string")
     m = models.train_stump(df, "y", ["x"])
@@ -186,7 +250,7 @@ def test_files(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "c"), "T").columns == ["_type", "id", "text"]
     files.write_text(rows.fact_text(df, "Note"), str(tmp_path / "f"))
     assert files.read_facts(spark, str(tmp_path / "f"), "Note").select("id", "text").exceptAll(df).count() == 0
-    assert files.parse_fact('P(a: "x\\"y", n: -2.5, t: true, z: nil)') == ("P", {"a": 'x"y', "n": -2.5, "t": True, "z": None})
+    assert files.parse_facts('P(a: "x\\"y", n: -2.5, t: true, z: nil)') == [("P", {"a": 'x"y', "n": -2.5, "t": True, "z": None})]
     store = files.FactStore(spark, str(tmp_path / "db"))
     assert store.insert("Note", df, "id")["inserted"] == 2
     assert store.insert("Note", df.limit(1), "id")["problem"] == "DuplicateKey"
@@ -194,9 +258,45 @@ def test_files(spark, tmp_path):
     assert store.change("Note", {"id": "none"}, None)["problem"] == "NotFound"
     assert store.save("Note", df) == {"kept": 1, "inserted": 1, "deleted": 1}
     assert store.read("Note").exceptAll(df).count() == 0 and store.types() == ["Note"]
+    twice = spark.createDataFrame([("9", "a"), ("9", "b")], "id string, text string")
+    assert store.insert("Fresh", twice, "id")["problem"] == "DuplicateKey" and store.insert("Note", twice, "id")["problem"] == "DuplicateKey" and "Fresh" not in store.types()
+    # a writer that died leaves a staging folder behind, and blocks nobody
+    df.write.parquet(str(tmp_path / "db" / "_staging" / "dead"))
+    store.write("Note", df.limit(1))
+    assert store.read("Note").count() == 1
+    # two writers of one version: the second is told
+    slow = files.FactStore(spark, str(tmp_path / "db"))
+    seen = slow._versions("Note")
+    slow._versions = lambda t: seen
+    store.write("Note", df)
+    with pytest.raises(Exception, match="exist"):
+        slow.write("Note", df.limit(1))
+    assert store.read("Note").count() == 2
     assert files.exists(spark, str(tmp_path / "db")) and files.delete(spark, str(tmp_path / "db"))
 
 
+def test_fact_files(spark, tmp_path):
+    text = """# two types
+Note(
+    id: 1,
+    more: {tags: ["a", "b, c"], at: {x: -1.5e2}},
+    text: "line\\nnext (x: 1)"
+)
+Note(id: 2, text: nil) Other(a: true)
+"""
+    (tmp_path / "one.facts").write_text(text)
+    got = files.read_facts(spark, str(tmp_path), "Note").orderBy("id").collect()
+    assert [(r.id, r.text) for r in got] == [(1.0, "line\nnext (x: 1)"), (2.0, None)] and got[0].more.tags == ["a", "b, c"] and got[0].more["at"].x == -150
+    assert files.read_facts(spark, str(tmp_path), "Other").first().a is True and files.read_facts(spark, str(tmp_path), "None").count() == 0
+    (tmp_path / "two.facts").write_text("Note(id: 3)\nNote(id: )\nNote(id: 4)\n")
+    with pytest.raises(files.FactError):
+        files.read_facts(spark, str(tmp_path), "Note")
+    kept = files.read_facts(spark, str(tmp_path), "Note", rejects="keep").collect()
+    assert sorted(r.id for r in kept if r.id) == [1, 2, 3, 4] and [r._reject for r in kept if r._reject] == ["Note(id: "]
+    with pytest.raises(ValueError):
+        files.schema_header(["A", " "])
+
+
 def test_streams(spark, sf_dir, tmp_path):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
