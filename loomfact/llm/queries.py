@@ -103,6 +103,7 @@ def _digests(ids: list, path: str) -> list[pa.Array]:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of more than bpe.LEAF characters are trees of leaves; shorter ones, most of them, are one leaf, which the unit encoder encodes without a join."""
     schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return bpe.encode_table(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), _digests, schema).withColumnRenamed("id", "doc_id")
 
@@ -113,6 +114,16 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_substring": r"""
+            WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+            x AS (SELECT doc_id, s, array_to_string(ws[s : s + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)),
+            f AS (SELECT g, min(struct_pack(d := doc_id, s := s)) AS lead FROM x GROUP BY g HAVING count(*) > 1),
+            r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM x JOIN f USING (g) WHERE struct_pack(d := doc_id, s := s) > lead),
+            l AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM r GROUP BY 1)
+            SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed,
+                   sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+            FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+        """,
         "op1_exact_dedup": r"""
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -1,9 +1,11 @@
-"""Near-duplicates by Jaccard similarity of word shingles.
+"""The general form of the SimHash operator: near-duplicates by Jaccard similarity of word shingles.
 
-Retrieval is by shared keys: a text has a number of bands, each the mix of ``ROWS`` MinHash
-values of its shingles, and texts that agree in one band meet.  The bands are as many as it
-takes for two texts at the similarity asked for to meet but for a chance of ``MISSED``; more
-alike ones meet more surely.  Every link is verified on the sets of 64-bit shingle hashes.
+Candidates come two ways.  SimHash fingerprints of the shingles, equal or linked by Golay
+keys, find what is all but equal.  At a similarity of 0.8 fingerprints differ in some ten
+of 64 bits, which no such keys reach; so texts also meet by shared keys: each has a number
+of bands, each the mix of ``ROWS`` MinHash values of its shingles, as many as it takes for
+two texts at the similarity asked for to meet but for a chance of ``MISSED``; more alike
+ones meet more surely.  Every link is verified on the sets of 64-bit shingle hashes.
 
 A band's rows are first compared with the smallest one among them, which joins almost all
 that belong together, in plain joins.  Rows of a band that are still apart are compared with
@@ -11,7 +13,8 @@ each other, all but those of the largest component among themselves; thus compon
 those of all similar pairs that share a band.
 
 Defined results: shingles are of lower-case (ASCII) words; texts shorter than a shingle are
-one shingle, texts without words are near copies of each other.
+one shingle, texts without words are near copies of each other; repeated rows count once;
+one text is held in memory as a whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import frugal, mix, ragged, shuffles, spread, steps, stored, Tokens, without
 from .graph import components
+from .simhash_dedup import link_edges, majority
 
 WORDS, SIMILAR = 5, 0.8
 #: MinHash values in a band; chance that two texts just similar enough share no band.
@@ -84,12 +88,15 @@ def _each(column: str, make, key: str = "row"):
 
 
 def _keys(words: int, bands: int):
+    """The fingerprint, then the bands; texts without words have fingerprint 0 and one band, 0."""
+
     def make(texts):
         h, n = shingles(texts, words)
-        made = np.zeros((len(n), bands), np.uint64)
-        made[n > 0] = band_keys(h, n, bands)
-        # texts without words meet under key 0
-        return made[np.arange(bands) < np.where(n > 0, bands, 1)[:, None]], np.where(n > 0, bands, 1)
+        made = np.zeros((len(n), 1 + bands), np.uint64)
+        made[:, 0] = majority(h, n)
+        made[n > 0, 1:] = band_keys(h, n, bands)
+        size = np.where(n > 0, 1 + bands, 2)
+        return made[np.arange(1 + bands) < size[:, None]], size
 
     return make
 
@@ -153,15 +160,21 @@ def near_components(rows: DataFrame, words: int = WORDS, similar: float = SIMILA
     made = made.groupBy("row").agg(F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
     # numbers are shorter than keys on the way through the joins
     keys = stored(made.withColumn("num", F.monotonically_increasing_id()), "keys")
-    filed = keys.select("num", F.explode("keys").alias("key"))
+    prints = stored(keys.groupBy(F.get("keys", F.lit(0)).alias("fp")).agg(F.min("num").alias("low")), "prints")
+    equal = keys.select("num", F.get("keys", F.lit(0)).alias("fp")).join(prints, "fp").where("num <> low").select("num", "low")
+    first = lambda c, name: prints.select(F.col("fp").alias(c), F.col("low").alias(name))
+    linked = link_edges(prints.select("fp")).join(first("a", "num"), "a").join(first("b", "low"), "b").select("num", "low")
+    alike_prints = stored(equal.unionByName(linked), "linked")
+    filed = keys.select("num", F.explode(F.slice("keys", 2, bands_for(similar))).alias("key"))
     heads = stored(filed.groupBy("key").agg(F.min("num").alias("low"), F.max("num").alias("high")).where("low <> high").drop("high"), "heads")
     members = stored(filed.join(heads, "key"), "members")
-    busy = stored(keys.select("num", "row", "copies").join(members.select("num").distinct(), "num", "left_semi"), "busy")
+    met = members.select("num").unionByName(alike_prints.select(F.explode(F.array("num", "low")).alias("num"))).distinct()
+    busy = stored(keys.select("num", "row", "copies").join(met, "num", "left_semi"), "busy")
     repeated = busy.where("copies > 1").limit(1).count()
     sets = without(rows, busy.select("row", "num"), "row", "inner").select("num", "text").mapInArrow(_each("set", _sets(words), "num"), "num bigint, set array<bigint>")
     sets = stored(sets.dropDuplicates(["num"]) if repeated else sets, "sets")
     low = sets.select(F.col("num").alias("low"), F.col("set").alias("other"))
-    pairs = stored(members.where("num <> low").select("num", "low").distinct(), "pairs")
+    pairs = stored(members.where("num <> low").select("num", "low").unionByName(alike_prints).distinct(), "pairs")
     common = F.size(F.array_intersect("set", "other"))
     alike = common >= F.lit(similar) * (F.size("set") + F.size("other") - common) - F.lit(1e-9)
     stars = stored(pairs.join(sets, "num").join(low, "low").where(alike).select(F.col("num").alias("a"), F.col("low").alias("b")), "stars")

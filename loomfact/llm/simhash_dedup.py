@@ -10,13 +10,20 @@ fingerprint files itself under its own codewords for each pair of segments, and
 looks under up to six by six; no link is missed, and candidates are verified by
 counting the differing bits.
 
+Such keys have 24 bits.  Beyond ``WIDE`` distinct fingerprints they are made wider, at
+the price of twice as many: at most three errors leave two segments without any, or one
+without any and one with one error, or one error in each.  Keys are then two segments as
+they are (42 bits), one as it is and one codeword (33 bits), or three codewords (36).  No
+link is missed by either kind.
+
 Keys travel packed, many to a row, to shards that grow with the number of distinct
 fingerprints.  A shard returns stars of what it found connected, never all pairs, and
 the stars of all shards meet in distributed connected components.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero;
-null ids rank after all others; rows with equal ids share their answers; an empty table
-gives an empty result; other columns are ignored.
+null ids rank after all others; rows with equal ids share their answers, and of equal
+fingerprints the smallest id stands for all; one text is held in memory as a whole,
+however long; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, frugal, ragged, shuffles, spread, steps, stored, Tokens, whole
+from .common import Tokens, frugal, mix, ragged, shuffles, spread, steps, stored, whole
 from .graph import components
 
 SEED = 42
@@ -40,6 +47,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Keys that one shard gets, about, and pairs that it compares at a time.
 SHARD_KEYS, BLOCK = 1_500_000, 1 << 20
+#: Distinct fingerprints beyond which keys are wide; keys of a fingerprint of either kind, filed and looked for, on average.
+WIDE, KEYS = 1 << 22, (87, 195)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ONES = np.uint64(0x0101010101010101)
 
@@ -175,11 +184,48 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return np.concatenate(filed), np.tile(row, len(PAIRS)), np.concatenate(looked), np.concatenate(rows)
 
 
+def wide_keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same with keys of more bits, folded to 31: what they have in common by chance only adds candidates."""
+    code = golay()
+    words = [((fp >> np.uint64(lo)) & np.uint64((1 << n) - 1)).astype(np.int64) for lo, n in SEGMENTS]
+    parts = [code.decode(w) for w in words]
+    row = np.arange(len(fp))
+    filed, file_rows, looked, look_rows = [], [], [], []
+
+    def add(kind: int, own: list[np.ndarray], free: list[int]) -> None:
+        """Keys of segments as they are (own) and of codewords of the segments in ``free``."""
+        fold = lambda key: (mix(key.astype(np.uint64) + np.uint64(kind << 48)) >> np.uint64(33)).astype(np.int64)
+        base = np.zeros(len(fp), np.int64)
+        for x in own:
+            base = (base << 22) + x
+        key = base
+        for j in free:
+            key = (key << 12) + parts[j][0]
+        filed.append(fold(key))
+        file_rows.append(row)
+        at, key = row, base
+        for j in free:
+            a, s = parts[j]
+            n = code.keys[s[at]]
+            k = ragged(np.zeros(len(at), np.int64), n)
+            at, key = np.repeat(at, n), np.repeat(key, n)
+            key = (key << 12) + (a[at] ^ code.shift[s[at], k])
+        looked.append(fold(key))
+        look_rows.append(at)
+
+    for kind, (i, j) in enumerate(PAIRS):
+        add(kind, [words[i], words[j]], [])
+        add(3 + kind, [words[i]], [j])
+        add(6 + kind, [words[j]], [i])
+    add(9, [], [0, 1, 2])
+    return np.concatenate(filed), np.concatenate(file_rows), np.concatenate(looked), np.concatenate(look_rows)
+
+
 def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return (key * 0x9E3779B1 >> 7) % shards
 
 
-def _pack(shards: int):
+def _pack(shards: int, wide: bool):
     """Keys of a batch of distinct fingerprints, a row for each shard: keys and fingerprints, filed ones first."""
 
     @frugal
@@ -187,7 +233,7 @@ def _pack(shards: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 fp = batch.column(0).slice(a, 4096).to_numpy().view(np.uint64)
-                fk, fr, lk, lr = keys_of(fp)
+                fk, fr, lk, lr = (wide_keys_of if wide else keys_of)(fp)
                 out = {}
                 for name, key, row in (("f", fk, fr), ("l", lk, lr)):
                     at = _shard(key, shards)
@@ -259,13 +305,14 @@ def _link(bits: int):
     return run
 
 
-def link_edges(fps: DataFrame, bits: int = 3) -> DataFrame:
+def link_edges(fps: DataFrame, bits: int = 3, wide: bool | None = None) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints (column fp) within ``bits`` of each other, three at most."""
     if not 0 <= bits <= 3:
         raise ValueError("the keys hold for 0 to 3 differing bits")
-    spark = fps.sparkSession
-    shards = max(6 * shuffles(spark), -(-fps.count() * 87 // SHARD_KEYS))
-    packed = fps.select("fp").mapInArrow(_pack(shards), "shard int, fk binary, ff binary, lk binary, lf binary")
+    spark, n = fps.sparkSession, fps.count()
+    wide = n > WIDE if wide is None else wide
+    shards = max(6 * shuffles(spark), -(-n * KEYS[wide] // SHARD_KEYS))
+    packed = fps.select("fp").mapInArrow(_pack(shards, wide), "shard int, fk binary, ff binary, lk binary, lf binary")
     return packed.groupBy("shard").applyInPandas(_link(bits), "a bigint, b bigint")
 
 
