@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
 
 from ..functions.scalars import edit_similarity, normalised
+from .hierarchy import generalised
 
 #: Weights of (structure, fields, values) of records, (structure, values) of arrays and of scalars.
 RECORD, LIST, SCALAR = (0.15, 0.10, 0.75), (0.45, 0.55), (0.25, 0.75)
@@ -198,7 +199,7 @@ def property_difference(df: DataFrame, left: str, right: str) -> DataFrame:
 
 
 #: Views by the names that rules use.
-RULES = {"Near": near, "FactSimilarity": compare_pairs, "FactDifference": check_difference, "FactPropertyComparison": compare_properties}
+RULES = {"Near": near, "FactSimilarity": compare_pairs, "FactDifference": check_difference, "FactPropertyComparison": compare_properties, "FactCommonAncestor": generalised}
 
 
 def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_id: str, fields: list[str], count: int, required: list[str] | None = None) -> DataFrame:

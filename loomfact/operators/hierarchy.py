@@ -43,6 +43,11 @@ def closure(edges: DataFrame, reflexive: bool = True) -> DataFrame:
     return found.unionByName(nodes.select("descendant", F.col("descendant").alias("ancestor"), F.lit(0).alias("depth")))
 
 
+def edges_of(facts: DataFrame, type_col: str = "_type", parent_col: str = "_parent") -> DataFrame:
+    """The edge table that facts carry: their types and those types' parents."""
+    return facts.select(F.col(type_col).alias("child"), F.col(parent_col).alias("parent")).where("child is not null and parent is not null").distinct()
+
+
 def has_cycle(edges: DataFrame) -> bool:
     e = edges.select("child", "parent").distinct()
     step = lambda new: new.join(e, new.ancestor == e.child).select("descendant", F.col("parent").alias("ancestor"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import degrees, scalars
-from .operators import compare, hierarchy, lexicon, models, rows, sets, stats, temporal
+from .operators import compare, hierarchy, models, rows, sets, stats, temporal
 from .operators.relation import structural_state
 from .plans.logic import Goal, Not, Or, Program, Where
 from .plans.reasoning import decide, grade, prove, satisfied
@@ -77,7 +77,7 @@ def fact_count_exists(spark, sf_dir):
     return s.find("Part", "p_size", 7).agg(F.count(F.lit(1)).alias("n")).select("n", (F.col("n") > 0).alias("found"))
 
 
-@query("SELECT * FROM (VALUES ('Event', ''), ('Visit', 'Event'), ('Lead', 'Event'), ('click', 'Visit,Lead'), ('view', 'Visit'), ('purchase', 'Event'), ('signup', 'Lead'), ('error', 'Event')) t(type, parents)")
+@query("SELECT event_type AS type, max(CASE event_type WHEN 'click' THEN 'Visit,Lead' WHEN 'view' THEN 'Visit' WHEN 'signup' THEN 'Lead' ELSE 'Event' END) AS parents FROM events GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('Event', ''), ('Visit', 'Event'), ('Lead', 'Event')) t(type, parents)")
 def fact_types(spark, sf_dir):
     return event_session(spark, sf_dir).types()
 
@@ -657,52 +657,6 @@ def k_means(spark, sf_dir):
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("distance")).alias("mean_distance"))
 
 
-# --- lexicon -----------------------------------------------------------------------------------------------
-
-
-def small_lexicon(spark) -> lexicon.Lexicon:
-    t = lambda data, schema: spark.createDataFrame(data, schema)
-    return lexicon.Lexicon(
-        t([("animal", "n"), ("dog", "n"), ("cat", "n"), ("bank1", "n"), ("bank2", "n")], "id string, pos string"),
-        t([("l1", "dog", "en"), ("l2", "hound", "en"), ("l3", "cat", "en"), ("l4", "bank", "en"), ("l5", "Hund", "de"), ("l6", "animal", "en")], "id string, text string, language string"),
-        t([("s1", "l1", "dog", 9), ("s2", "l2", "dog", 2), ("s3", "l3", "cat", 8), ("s4", "l4", "bank1", 7), ("s5", "l4", "bank2", 3), ("s6", "l5", "dog", 5), ("s7", "l6", "animal", 6)], "id string, lemma string, synset string, frequency int"),
-        t([("bank1", "an institution for money"), ("bank2", "sloping land beside a river"), ("dog", "a tame animal that barks")], "synset string, text string"),
-        t([("bank2", "they sat by the river bank")], "synset string, text string"),
-        t([("mice", "mouse")], "surface string, lemma string"),
-        t([("dog", 9), ("cat", 8), ("animal", 6)], "synset string, count int"),
-        t([("dog", "animal"), ("cat", "animal")], "child string, parent string"),
-    )
-
-
-@query("SELECT * FROM (VALUES ('bank', 'bank1', 7), ('bank', 'bank2', 3)) t(text, synset, frequency)")
-def wordnet_lookup(spark, sf_dir):
-    return small_lexicon(spark).lookup("bank").select("text", "synset", "frequency")
-
-
-@query("SELECT 'dog' AS l, 'cat' AS r, 'animal' AS lcs, 2 AS distance, round(1 / 3, 9) AS path, round(-ln(24 / 28), 9) AS resnik, round(2 * ln(24 / 28) / (ln(10 / 28) + ln(9 / 28)), 9) AS lin")
-def wordnet_similarity(spark, sf_dir):
-    pairs = spark.createDataFrame([("dog", "cat")], "l string, r string")
-    return small_lexicon(spark).similarity(pairs).select("l", "r", "lcs", "distance", _r("path", 9).alias("path"), _r("resnik", 9).alias("resnik"), _r("lin", 9).alias("lin"))
-
-
-@query("SELECT * FROM (VALUES (1, 'bank2', 2), (2, 'bank1', 1)) t(id, synset, overlap)")
-def wordnet_lesk(spark, sf_dir):
-    contexts = spark.createDataFrame([(1, "the river was high"), (2, "money")], "id int, text string")
-    return small_lexicon(spark).lesk("bank", F.col("text"), contexts, "id")
-
-
-@query("SELECT 'dog' AS start, 'animal' AS node, 1 AS depth")
-def wordnet_closure(spark, sf_dir):
-    return small_lexicon(spark).traverse(spark.createDataFrame([("dog",)], "synset string")).select("start", "node", "depth")
-
-
-@query("SELECT * FROM (VALUES ('synonym', 'hound'), ('synonym', 'Hund'), ('translation', 'Hund'), ('expanded', 'dog'), ('expanded', 'hound'), ('expanded', 'Hund'), ('expanded', 'animal')) t(kind, text)")
-def wordnet_expand(spark, sf_dir):
-    lex = small_lexicon(spark)
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "text")
-    return kind(lex.synonyms("dog"), "synonym").unionByName(kind(lex.translate("dog", "en", "de"), "translation")).unionByName(kind(lex.expand_query("dog"), "expanded"))
-
-
 # --- plots, rows, streams ----------------------------------------------------------------------------------
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import degrees, scalars
-from .operators import compare, hierarchy, lexicon, lists, models, relation, rows, sets, stats, temporal
-from .plans.logic import Goal, Not, Or, Program, Where
+from .operators import compare, hierarchy, lexicon, lists, relation, rows, sets, stats, temporal
+from .plans.logic import Goal, Or, Program, Where
 from .plans.reasoning import decide
 from .queries import _evidence, event_session, place_edges, user_sets
-from .registry import Tables, folder, query
+from .registry import Tables, query
 from .registry import rounded as _r
-from .session import FactSession, merge_labels
+from .session import FactSession
 
 # --- catalogue and scans ----------------------------------------------------------
 
@@ -127,6 +127,20 @@ def parent_graph(spark, sf_dir):
     return event_session(spark, sf_dir).edges()
 
 
+@query("SELECT DISTINCT p_type AS child, p_brand AS parent FROM part WHERE p_size < 10")
+def edges_from_facts(spark, sf_dir):
+    """Facts that carry their type and its parent."""
+    p = Tables(spark, sf_dir).part
+    return hierarchy.edges_of(p.select(F.col("p_type").alias("_type"), F.when(F.col("p_size") < 10, F.col("p_brand")).alias("_parent")))
+
+
+@query("SELECT a.p_partkey AS k, CASE WHEN a.p_size = b.p_size THEN a.p_size END AS size FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def common_ancestor_rule(spark, sf_dir):
+    p = Tables(spark, sf_dir).part
+    out = compare.RULES["FactCommonAncestor"](p.select(F.col("p_partkey").alias("k"), "p_size"), p.select((F.col("p_partkey") - 1).alias("k"), "p_size"), ["k"], ["p_size"])
+    return out.select("k", F.col("p_size.value").alias("size"))
+
+
 # --- projection, records, library ---------------------------------------------------
 
 
