@@ -605,7 +605,7 @@ def train_stump(spark, sf_dir):
 _BEST = f"{_STUMP}, b AS (SELECT cut FROM c ORDER BY gini, cut LIMIT 1), k AS (SELECT l_quantity <= cut AS low, l_returnflag AS y, count(*) AS n FROM lineitem CROSS JOIN b GROUP BY 1, 2), w AS (SELECT low, y FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY n DESC, y) AS r FROM k) WHERE r = 1)"
 
 
-@query(f"{_BEST} SELECT sum(n) AS n, round(sum(CASE WHEN k.y = w.y THEN n ELSE 0 END) / sum(n), 9) AS accuracy FROM k JOIN w ON k.low = w.low")
+@query(f"{_BEST} SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(CASE WHEN k.y = w.y THEN n ELSE 0 END) / sum(n), 9) AS accuracy FROM k JOIN w ON k.low = w.low")
 def evaluate_stump(spark, sf_dir):
     df = Tables(spark, sf_dir).lineitem
     return models.evaluate(models.train_stump(df, "l_returnflag", ["l_quantity"]), df).select("n", _r("accuracy", 9).alias("accuracy"))

@@ -87,7 +87,7 @@ def set_field(spark, sf_dir):
     return s.scan("Region").select("r_regionkey", "r_name")
 
 
-@query("SELECT * FROM (VALUES (0, 'Region', 'register'), (1, 'Region', 'set r_name'), (2, 'Region', 'assert')) t(sequence, type, action)")
+@query("SELECT CAST(sequence AS BIGINT) AS sequence, type, action FROM (VALUES (0, 'Region', 'register'), (1, 'Region', 'set r_name'), (2, 'Region', 'assert')) t(sequence, type, action)")
 def mutation_log(spark, sf_dir):
     s, r = FactSession(spark), Tables(spark, sf_dir).region
     s.register("Region", r)
@@ -272,7 +272,7 @@ def prove_contrary(spark, sf_dir):
     return p.prove("buyer", e.select("user_id").distinct())
 
 
-@query("SELECT user_id, CASE WHEN p > 0 THEN 'proved' ELSE 'unknown' END AS truth, round(least(s, 1 - o), 9) AS degree, 0.7 AS probability, round(s, 9) AS similarity FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, coalesce(max(CASE WHEN event_type = 'purchase' THEN greatest(least(value / 1000, 1.0), 0.0) * 0.9 END), 0) AS s, coalesce(max(CASE WHEN event_type = 'error' THEN greatest(least(value / 1000, 1.0), 0.0) * 0.9 END), 0) AS o FROM events GROUP BY 1)")
+@query("SELECT user_id, CASE WHEN p > 0 THEN 'proved' ELSE 'unknown' END AS truth, round(least(s, 1 - o), 9) AS degree, CAST(0.7 AS DOUBLE) AS probability, round(s, 9) AS similarity FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, coalesce(max(CASE WHEN event_type = 'purchase' THEN greatest(least(value / 1000, 1.0), 0.0) * 0.9 END), 0) AS s, coalesce(max(CASE WHEN event_type = 'error' THEN greatest(least(value / 1000, 1.0), 0.0) * 0.9 END), 0) AS o FROM events GROUP BY 1)")
 def decide_with_profile(spark, sf_dir):
     e = Tables(spark, sf_dir).events
     asked, bought = e.select("user_id").distinct(), e.where("event_type = 'purchase'").select("user_id")
@@ -310,7 +310,7 @@ def renamed_fields(spark, sf_dir):
 _EXACT = f"0.25 / 2 + 0.75 * {_TEXT.format(a='a.p_type', b='b.p_type')}"
 
 
-@query(f"SELECT a.p_partkey, round({_EXACT}, 9) AS similarity, a.p_type = b.p_type AS same, CASE WHEN a.p_type = b.p_type THEN 'removed:colour,added:color' ELSE 'removed:colour,added:color,p_type.changed_value' END AS differences, 0 AS exact, 0.5 AS structure FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+@query(f"SELECT a.p_partkey, round({_EXACT}, 9) AS similarity, a.p_type = b.p_type AS same, CASE WHEN a.p_type = b.p_type THEN 'removed:colour,added:color' ELSE 'removed:colour,added:color,p_type.changed_value' END AS differences, 0 AS exact, CAST(0.5 AS DOUBLE) AS structure FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
 def compare_properties(spark, sf_dir):
     pairs = _part_pairs(spark, sf_dir, [F.col("p_size").alias("colour"), "p_type"], [F.col("p_size").alias("color"), "p_type"])
     out = compare.property_difference(compare.compare_properties(pairs, "a", "b").select("p_partkey", "a", "b", "similarity"), "a", "b")
@@ -346,7 +346,7 @@ def compare_facts(spark, sf_dir):
     return out.select("p_partkey", _r("property_similarity", 9).alias("property_similarity"), _r("similarity", 9).alias("similarity"))
 
 
-@query("SELECT * FROM (VALUES ('address.city', 'home.city', 1.0), ('id', 'id', 1.0), ('pay', 'wages', 0.4), ('tags', 'tag', 0.8125)) t(l, r, score)")
+@query("SELECT l, r, CAST(score AS DOUBLE) AS score FROM (VALUES ('address.city', 'home.city', 1.0), ('id', 'id', 1.0), ('pay', 'wages', 0.4), ('tags', 'tag', 0.8125)) t(l, r, score)")
 def align_fields(spark, sf_dir):
     from pyspark.sql.types import StructType
 

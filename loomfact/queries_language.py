@@ -52,7 +52,7 @@ def program_recursion(spark, sf_dir):
     return language.run(spark, text, {"edge": edges})
 
 
-@query("SELECT * FROM (VALUES ('tom', 4.0), ('rex', 4.0), ('ann', 2.0)) t(\"Name\", \"Legs\")")
+@query("SELECT \"Name\", CAST(\"Legs\" AS DOUBLE) AS \"Legs\" FROM (VALUES ('tom', 4.0), ('rex', 4.0), ('ann', 2.0)) t(\"Name\", \"Legs\")")
 def program_families(spark, sf_dir):
     """A goal on a type meets the facts of the types below it."""
     text = """
@@ -112,7 +112,7 @@ def _methods(spark, tables=None) -> Methods:
     return language.parse(spark, PRICES, tables).methods
 
 
-@query("SELECT p_partkey, p_size * 2.0 AS doubled, round(p_retailprice * 0.1 + 1, 6) AS taxed, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'middle' ELSE 'small' END AS size, CASE WHEN p_size > 40 THEN p_size * 2.0 WHEN p_size > 20 THEN p_size ELSE 0 END AS cost, 2.0 AS width FROM part")
+@query("SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) AS doubled, round(p_retailprice * 0.1 + 1, 6) AS taxed, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'middle' ELSE 'small' END AS size, CAST(CASE WHEN p_size > 40 THEN p_size * 2 WHEN p_size > 20 THEN p_size ELSE 0 END AS DOUBLE) AS cost, CAST(2 AS DOUBLE) AS width FROM part")
 def methods_on_facts(spark, sf_dir):
     """Methods with named arguments, ordered branches, records, local names and tuples."""
     part = Tables(spark, sf_dir).part
@@ -121,7 +121,7 @@ def methods_on_facts(spark, sf_dir):
     return df.select("p_partkey", "doubled", "taxed", "g.size", F.col("g.cost").cast("double").alias("cost"), "width")
 
 
-@query("SELECT p_partkey, (p_size * 2 * 0.5 + 1) * 2 AS chained, CASE WHEN p_size > 25 THEN p_size * 2.0 END AS stopped, NOT (p_size > 10 AND p_type = 'PROMO') OR p_size = 5 AS mixed, CASE WHEN p_size * 2 > 50 THEN p_size * 2.0 END AS kept, NULL AS nothing FROM part")
+@query("SELECT p_partkey, CAST((p_size + 1) * 2 AS DOUBLE) AS chained, CAST(CASE WHEN p_size > 25 THEN p_size * 2 END AS DOUBLE) AS stopped, NOT (p_size > 10 AND p_type = 'PROMO') OR p_size = 5 AS mixed, CAST(CASE WHEN p_size * 2 > 50 THEN p_size * 2 END AS DOUBLE) AS kept, CAST(NULL AS VARCHAR) AS nothing FROM part")
 def methods_with_pipelines(spark, sf_dir):
     """Pipelines that nil stops, operators of the text's own, and logic in which only nil and false are false."""
     part = Tables(spark, sf_dir).part
