@@ -13,7 +13,11 @@ pairs each stand as the merges of their own bytes would leave them, are the enco
 the whole, so the result is that of encoding the text in one go.
 
 Defined results: null text counts as empty; the empty text has no ids; the string of a
-special token is that token, as the library has it by default; other columns are ignored.
+special token is that token, as the library has it by default; of merges that tie the
+vocabulary's rank decides, thus equal texts get equal ids; rows that share an id are
+encoded each by its text, and an id of -2**63 stands for none; a long text is held in
+memory as a whole where its tree ends; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ Copies are counted before anything is shuffled, thus a text that makes up a thir
 of all rows reaches a shard as one row from each task.
 
 Defined results: null text counts as empty; a null id loses against any other id
-and, alone, keeps itself; rows that share id and text are one record and get the
-same answer; an empty table gives an empty result; other columns are ignored.
+and, alone, keeps itself, and an id of -2**63 stands for none; rows that share id and
+text are one record and get the same answer, so that ties don't matter; texts of any
+length are hashed where they lie; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ bins that were left short, deals their pieces to fewer groups and packs those an
 
 Defined results: null text counts as empty (a document then still has its end id);
 documents longer than a sequence are cut into full sequences and a rest; rows that share
-an id are documents of their own; an empty table gives an empty result; other columns
-are ignored.
+an id are documents of their own, equal ones too, and an id of -2**63 stands for none;
+of bins that fit as well the oldest is taken; one text's tokens are held in memory as a
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

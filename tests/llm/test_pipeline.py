@@ -38,6 +38,17 @@ def test_toxic_documents_go(spark, tmp_path):
     assert len(kept & {i for i in range(300) if i % 4 == 0}) <= 3 and len(kept) >= 222
 
 
+def test_columns_of_any_name(spark, tmp_path):
+    """The stages that give documents keep columns whose names they use themselves, or that hold dots."""
+    labels(spark, tmp_path)
+    rows = [(i, passage(i % 5, 60), "en", i, f"x{i}", 7) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _row int, `a.b` string, n int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ["doc_id", "text", "lang", "_row", "a.b", "n"]
+    assert sorted((r.doc_id, r._row, r["a.b"], r.n) for r in docs.collect()) == [(i, i, f"x{i}", 7) for i in range(5)]
+
+
 def test_empty(spark, tmp_path):
     labels(spark, tmp_path)
     empty_docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
