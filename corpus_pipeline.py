@@ -4,12 +4,14 @@ STAGES lists (name, function) pairs; a function takes (spark, docs, sf_dir) and
 DataFrame, which is written as Parquet and read back as the next one's docs.  All but the
 last return the columns of documents.  Stages that drop copies do so by row: of rows that
 share doc_id and text one stays, and a row goes for its own text only, whatever other rows
-have its doc_id or none.  Empty tables pass through, null texts count as empty.
+have its doc_id or none.  Empty tables pass through, null texts count as empty, texts
+of any length are worked on whole, and other columns go on as they are, whatever their
+names and types.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfact.llm import exact_dedup, packing, shingle_dedup, substring_dedup, toxicity
@@ -17,17 +19,18 @@ from loomfact.llm.common import stored, whole, without
 from loomfact.llm.queries import vocabulary
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row's id and text, as column _row."""
-    return docs.withColumn("_row", exact_dedup.row_key(docs.doc_id, docs.text))
+def _key(docs: DataFrame) -> Column:
+    """A key of each row's id and text."""
+    return exact_dedup.row_key(docs["doc_id"], docs["text"])
 
 
 def _one_each(docs: DataFrame, gone: DataFrame, several: DataFrame) -> DataFrame:
     """docs but for the rows whose keys are in gone (column _row), and one row of each key in several."""
-    left = without(_keyed(docs), gone, "_row")
+    # by number: a column of docs may have any name
+    left = without(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], _key(docs).alias("_row")), gone, "_row")
     if not several.isEmpty():
         left = without(left, several, "_row").unionByName(without(left, several, "_row", "left_semi").dropDuplicates(["_row"]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.drop("_row").toDF(*docs.columns)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (similarity 0.8 and more over shingles of five words), the row with the smallest doc_id stays."""
-    rows = stored(_keyed(docs).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "several")
-    found = shingle_dedup.near_components(_keyed(docs).select(F.col("_row").alias("row"), whole(F.col("text")).alias("text")), words=5, similar=0.8)
+    rows = stored(docs.groupBy(_key(docs).alias("_row")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row"), "several")
+    found = shingle_dedup.near_components(docs.select(_key(docs).alias("row"), whole(F.col("text")).alias("text")), words=5, similar=0.8)
     return _one_each(docs, stored(found.select(F.col("node").alias("_row")), "dropped"), rows)
 
 

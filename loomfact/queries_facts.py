@@ -513,9 +513,9 @@ def common_ancestor_fact(spark, sf_dir):
     s = Tables(spark, sf_dir).supplier
     own = lambda k: s.select(k.alias("k"), F.concat(F.lit("n"), "s_nationkey").alias("_type"), "s_name")
     closed = hierarchy.closure(place_edges(spark, sf_dir))
-    kinds = s.select(F.concat(F.lit("n"), "s_nationkey").alias("t")).distinct()
-    pairs = kinds.select(F.col("t").alias("l")).crossJoin(kinds.select(F.col("t").alias("r")))  # types of a catalogue, not facts
-    return hierarchy.generalised(own(F.col("s_suppkey")), own(F.col("s_suppkey") - 1), ["k"], ["s_name"], hierarchy.lowest_common_ancestors(pairs, closed)).select("k", "_type")
+    left, right = own(F.col("s_suppkey")), own(F.col("s_suppkey") - 1)
+    pairs = left.select("k", F.col("_type").alias("l")).join(right.select("k", F.col("_type").alias("r")), "k").select("l", "r").distinct()
+    return hierarchy.generalised(left, right, ["k"], ["s_name"], hierarchy.lowest_common_ancestors(pairs, closed)).select("k", "_type")
 
 
 @query("SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-25'")
