@@ -10,7 +10,7 @@ customer of the parent.  Words are compared as bytes throughout.
 Seating is sampled by Gibbs sweeps over the number of tables of each (context, word).
 Its conditional weight, all other tables given, is a generalised Stirling number (which
 sums the seatings of one pair's customers over so many tables) times the weights of
-opening those tables, in the context and at the parent.  Pairs of up to ``EXACT``
+opening those tables in the context, and of their customers at the parent's tables.  Pairs of up to ``EXACT``
 customers are drawn from exact tables of these numbers; larger ones from their scaling
 limit, which is off by less than a hundredth of the mean number of tables
 (``tests/llm/test_hpylm.py`` measures it), on at most ``GRID`` places.  Pairs are dealt
@@ -129,13 +129,13 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct tokens in order (the end first), the number of each token, and how many each text has."""
+def tokens(texts: pa.Array, ordered: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens, in order or as they come (the end first), the number of each token, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
     n = pc.list_value_length(lists).to_numpy().astype(np.int64)
     flat = lists.flatten().cast(pa.large_binary())
     made = pa.concat_arrays([pa.array([END], pa.large_binary()), flat]).dictionary_encode()
-    order = pc.sort_indices(made.dictionary).to_numpy()
+    order = pc.sort_indices(made.dictionary).to_numpy() if ordered else np.arange(len(made.dictionary))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     # a text without words comes as one empty word, which is its end; others get theirs
@@ -166,7 +166,7 @@ def _common(batches):
     """The most frequent words of each piece, and, without a word, how many tokens it has."""
     for batch in batches:
         for _, texts in _texts(batch):
-            vocab, ids, _ = tokens(texts)
+            vocab, ids, _ = tokens(texts, ordered=False)
             n = np.bincount(ids, minlength=len(vocab))
             top = np.argsort(-n, kind="stable")[:HOT].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([None, *vocab.take(pa.array(top)).to_pylist()], pa.binary()), pa.array([len(ids), *n[top].tolist()], pa.int64())], ["word", "n"])
@@ -279,24 +279,43 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
 _TABLES: dict[float, np.ndarray] = {}
 
 
-def _table(d: float) -> np.ndarray:
+def _table(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers for a discount, and, from the largest row, the logarithm of a neighbour's ratio times d t: it depends on t / c**d alone in the limit."""
     if d not in _TABLES:
-        _TABLES.clear()
-        _TABLES[d] = stirling(d)
+        if len(_TABLES) > 3:
+            _TABLES.clear()
+        made = stirling(d)
+        _TABLES[d] = made, np.concatenate([[0.0], np.log(d * np.arange(1, EXACT)) + np.diff(made[-EXACT:])])
     return _TABLES[d]
 
 
+def _ratio(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of c customers at t + 1 tables over that at t, times d t, by the scaling limit."""
+    return np.interp(t * (EXACT / c) ** d, np.arange(EXACT), _table(d)[1])
+
+
 class Parent:
-    """What opening the next table costs a pair at its parent: customers and tables that others gave the word, the base's mass, and all customers of others."""
+    """What opening tables costs a pair at its parent, whose own tables stay as many as they are: customers that others gave the word, its tables there, and all customers of others."""
 
-    def __init__(self, n: np.ndarray, t: np.ndarray, mass: float, total: np.ndarray, discount: float):
-        self.n, self.t, self.mass, self.total, self.discount = n, np.minimum(t, n), mass, total, discount
+    def __init__(self, n: np.ndarray, t: np.ndarray, theta: float, customers: np.ndarray, discount: float):
+        self.n, self.t, self.total, self.discount = n, t, theta + customers, discount
+
+    def least(self, at: np.ndarray) -> np.ndarray:
+        """Tables that the pair has at least: the parent's must have customers."""
+        return np.maximum(1, self.t[at] - self.n[at])
 
     def log(self, at: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Log probability of the word of pair ``at`` after j tables of its own."""
-        n = self.n[at] + j
-        tables = np.maximum(self.t[at], (j > 0) & (self.n[at] == 0))
-        return np.log(n - self.discount * tables + self.mass) - np.log(self.total[at] + j)
+        """Log weight of one more customer at the parent after j of this pair, up to a factor where there can't be so few."""
+        n, t, d = self.n[at] + j, self.t[at], self.discount
+        back = np.zeros(len(at))
+        some = np.flatnonzero((t > 1) & (n >= t) & (n <= EXACT))
+        row, column = n[some].astype(np.int64), t[some]
+        place = row * (row - 1) // 2 + column - 1
+        made = _table(d)[0]
+        back[some] = np.exp(made[place - 1] - made[place])
+        many = np.flatnonzero((t > 1) & (n >= t) & (n > EXACT))
+        back[many] = d * (t[many] - 1) * np.exp(-_ratio(d, n[many], t[many] - 1))
+        return np.log(np.where(n >= t, np.maximum(n - d * t + back, 1e-300), 1.0)) - np.log(self.total[at] + j)
 
 
 class Base:
@@ -305,6 +324,9 @@ class Base:
     def __init__(self, p: float):
         self.p = np.log(p)
 
+    def least(self, at: np.ndarray) -> np.ndarray:
+        return np.ones(len(at), np.int64)
+
     def log(self, at: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.full(len(at), self.p)
 
@@ -321,7 +343,8 @@ def draw(rng, c: np.ndarray, others: np.ndarray, theta: float, d: float, parent)
         start = np.cumsum(n) - n
         total = np.cumsum(weight)
         total -= np.repeat(total[start] - weight[start], n)
-        total += _table(d)[np.repeat(n * (n - 1) // 2, n) + j]
+        total += _table(d)[0][np.repeat(n * (n - 1) // 2, n) + j]
+        total[j + 1 < np.repeat(np.minimum(parent.least(at), n), n)] = -np.inf
         weight = np.cumsum(np.exp(total - np.repeat(np.maximum.reduceat(total, start), n)))
         low = np.concatenate([[0.0], weight[start[1:] - 1]])
         pick = np.searchsorted(weight, low + rng.random(len(at)) * (weight[start + n - 1] - low), "right") - start
@@ -333,25 +356,22 @@ def draw(rng, c: np.ndarray, others: np.ndarray, theta: float, d: float, parent)
 
 
 def _draw_many(rng, c, others, theta, d, parent, at: np.ndarray) -> np.ndarray:
-    """The same for pairs of over EXACT customers: the ratio of neighbouring Stirling numbers, times d t, depends on t / c**d alone in the limit, and is read off the largest table."""
-    last = _table(d)[-EXACT:]
-    t = np.arange(1, EXACT)
-    ratio = np.concatenate([[0.0], np.log(d * t) + np.diff(last)])
+    """The same for pairs of over EXACT customers, by the scaling limit of neighbouring numbers."""
 
     def gain(at, t):
         """Log weight of t + 1 tables less that of t."""
-        like = t * (EXACT / c[at]) ** d
-        return np.interp(like, np.arange(EXACT), ratio) - np.log(d * t) + np.log(theta + d * (others[at] + t)) + parent.log(at, t)
+        return _ratio(d, c[at], t) - np.log(d * t) + np.log(theta + d * (others[at] + t)) + parent.log(at, t)
 
-    low, high = np.ones(len(at)), c[at].astype(float)
+    least = np.minimum(parent.least(at), c[at])
+    low, high = least.astype(float), c[at].astype(float)
     for _ in range(48):
         middle = (low + high) / 2
         up = gain(at, middle) > 0
         low, high = np.where(up, middle, low), np.where(up, high, middle)
     slope = gain(at, low * 0.99 + 0.01) - gain(at, low * 1.01 + 0.01)
-    width = np.sqrt(low * 0.02 / np.maximum(slope, 1e-12))
+    width = np.minimum(np.sqrt(low * 0.02 / np.maximum(slope, 1e-12)), low / 2 + 4)  # it may fall from the least number on, ever more slowly
     step = np.maximum(1, np.ceil(12 * width / GRID)).astype(np.int64)
-    first = np.maximum(1, low.astype(np.int64) - GRID // 2 * step)
+    first = np.maximum(least, low.astype(np.int64) - GRID // 2 * step)
     places = first[:, None] + step[:, None] * np.arange(GRID)
     inside = places <= c[at][:, None]
     flat = np.repeat(at, GRID)
@@ -463,8 +483,8 @@ def _sweep(now: Totals, above: Above, hots: int, seed: int, keep: bool):
             if cc is not None:
                 c[own] = _wide(cc)
         before = t
-        others_n = n[mw] - before  # the pair's own tables have left the parent
-        parent = lambda at: Parent(others_n[at], seated[mw[at]], above.mass, THETA + above.customers - before[at], above.discount)
+        others_n = np.maximum(n[mw] - before, 0)  # the pair's own tables have left the parent
+        parent = lambda at: Parent(others_n[at], seated[mw[at]], THETA, above.customers - before[at], above.discount)
         mine = single_u + np.bincount(mu, t, len(single_u)).astype(np.int64)
         elsewhere = np.zeros(len(single_u), np.int64)  # tables of hot contexts in other shards
         elsewhere[hot[:, 0]] = now.hot_tables[hot[:, 1]] - mine[hot[:, 0]]
