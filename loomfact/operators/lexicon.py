@@ -18,6 +18,30 @@ from ..store import Table, stored
 from .hierarchy import closure, fixpoint
 
 
+#: Rounds in which dead ends are cut off at most, before paths are searched.
+CUTS = 16
+
+
+def dead_ends(edges: DataFrame, rounds: int = CUTS) -> tuple[DataFrame, DataFrame]:
+    """(node, up) of the nodes of a symmetric graph (a, b) that are cut off, each with its only neighbour left, and the edges that remain.
+
+    A node of one neighbour can only begin or end a path.  With those gone others become
+    such nodes, so a tree goes whole, leaves first.
+    """
+    ups = Table(edges.sparkSession, "dead-ends")
+    for k in range(rounds):
+        single = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("up")).where("n = 1").select(F.col("a").alias("node"), "up")
+        # of two nodes that have only each other, one stays
+        other = single.select(F.col("node").alias("up"), F.lit(True).alias("both"))
+        gone = ups.add(single.join(other, "up", "left").where("both is null or node < up").select("node", "up"))
+        if gone.isEmpty():
+            break
+        for side in ("a", "b"):
+            edges = edges.join(gone.select(F.col("node").alias(side)), side, "left_anti")
+        edges = stored(edges.select("a", "b"), "edges")
+    return ups.all(), edges
+
+
 @dataclass
 class Lexicon:
     synset: DataFrame
@@ -60,17 +84,23 @@ class Lexicon:
         """(l, r, distance, path) of pairs of synsets, along hypernyms in either direction; null where none leads there.
 
         All pairs are searched side by side, ring by ring; a pair leaves the search as soon as
-        it is found.
+        it is found.  Dead ends are left upwards only, and entered only where they lead to the
+        pair's end, so the thousands of leaves below a node cost a pair nothing.
         """
         e = self.hypernym.select(F.col("child").alias("a"), F.col("parent").alias("b"))
         e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+        ups, core = dead_ends(e)
         asked = stored(pairs.select("l", "r").distinct(), "pairs")
+        ends = fixpoint(asked.select(F.col("r").alias("end"), F.col("r").alias("node")).distinct(), lambda new: new.join(ups, "node").select("end", F.col("up").alias("node")), ["end", "node"])
+        downs = stored(ends.join(ups, "node").select(F.col("end").alias("r"), F.col("up").alias("node"), F.col("node").alias("b")), "downs")
+        onward = core.select(F.col("a").alias("node"), "b").unionByName(ups.select("node", F.col("up").alias("b")))
         seen, found = Table(asked.sparkSession, "rings"), Table(asked.sparkSession, "found")
         ring = seen.add(asked.select("l", "r", F.col("l").alias("node"), F.array("l").alias("path")))
         for _ in range(max_depth + 1):
             hit = found.add(ring.where("node = r"))
             left = ring if hit.isEmpty() else ring.join(hit.select("l", "r"), ["l", "r"], "left_anti")
-            step = left.join(e, left.node == e.a).groupBy("l", "r", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
+            moves = left.join(onward, "node").select("l", "r", "path", "b").unionByName(left.join(downs, ["r", "node"]).select("l", "r", "path", "b"))
+            step = moves.groupBy("l", "r", F.col("b").alias("node")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
             ring = seen.add(step.join(seen.all().select("l", "r", "node"), ["l", "r", "node"], "left_anti").select("l", "r", "node", "path"))
             if ring.isEmpty():
                 break
