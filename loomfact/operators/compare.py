@@ -10,12 +10,14 @@ collections and missing fields are accepted and change nothing.
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
 
 from ..functions.scalars import edit_similarity, normalised
+from ..store import stored
 from .hierarchy import generalised
 
 #: Weights of (structure, fields, values) of records, (structure, values) of arrays and of scalars.
@@ -202,37 +204,83 @@ def property_difference(df: DataFrame, left: str, right: str) -> DataFrame:
 RULES = {"Near": near, "FactSimilarity": compare_pairs, "FactDifference": check_difference, "FactPropertyComparison": compare_properties, "FactCommonAncestor": generalised}
 
 
+#: Pairs that a task of a search scores at about, and that meet in one cell of inputs and candidates at most, where records spread evenly.
+TASK_PAIRS, CELL_PAIRS = 1_000_000, 250_000
+
+
+def _dealt(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides (numbered by _n and _m) with a column _cell to join on besides ``on``, which holds no nulls, the right one dealt out, and to how many tasks.
+
+    No task then meets many more pairs than others: the records of one side are parted by
+    a hash, and those of the other, the one that is cheaper to repeat, go to every part.
+    """
+    sizes = [df.groupBy(*on).agg(F.count(F.lit(1)).cast("double").alias(n)) for df, n in ((left, "_a"), (right, "_b"))]
+    met = sizes[0].join(sizes[1], on) if on else sizes[0].crossJoin(sizes[1])
+    pairs, largest, n, m = (x or 0 for x in met.agg(F.sum(F.col("_a") * F.col("_b")), F.max(F.col("_a") * F.col("_b")), F.sum("_a"), F.sum("_b")).first())
+    cells, tasks = max(1, ceil(largest / CELL_PAIRS)), ceil(pairs / TASK_PAIRS)
+    if tasks < 2:
+        return left.withColumn("_cell", F.lit(0)), right.withColumn("_cell", F.lit(0)), 1
+    part = lambda df, c: df.withColumn("_cell", F.pmod(F.xxhash64(c), F.lit(cells)).cast("int"))
+    copy = lambda df: df.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    left, right = (copy(left), part(right, "_m")) if n <= m else (part(left, "_n"), copy(right))
+    return left, right.repartition(tasks, *on, "_cell"), tasks
+
+
 def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_id: str, fields: list[str], count: int, required: list[str] | None = None) -> DataFrame:
     """The ``count`` candidates most like each input: input, candidate, similarity, distance, rank, differences, matched (how many agree in the required fields).
 
     ``required`` fields must agree, null with null; they make the search a join on equal
     keys.  Without any, each input meets all candidates: a stated query set against all
-    rows.  Numbers are scored first.  Texts can add a known weight at most, so only
-    candidates whose bound reaches the ``count``-th best of what is sure by numbers alone
-    are scored in full; each task keeps the best of its share before anything is shuffled.
+    rows.  Equal records are scored once: of candidates that equal each other the ``count``
+    lowest ids can be among the best, and equal inputs share what is found.  Numbers are
+    scored first.  Texts can add a known weight at most, so only candidates whose bound
+    reaches the ``count``-th best of what is sure by numbers alone are scored in full.
+    Pairs are never shuffled: they meet in cells that a task sorts in memory, and each
+    task keeps the best of its share before anything is shuffled.
     """
-    left = inputs.select(F.col(input_id).alias("_i"), F.struct(*fields).alias("_l"), *[F.col(c).alias(f"_lq{k}") for k, c in enumerate(required or [])])
-    right = candidates.select(F.col(candidate_id).alias("_c"), F.struct(*fields).alias("_r"), *[F.col(c).alias(f"_rq{k}") for k, c in enumerate(required or [])])
-    if required:
-        joined = left.join(right, [left[f"_lq{k}"].eqNullSafe(right[f"_rq{k}"]) for k in range(len(required))])
-    else:
-        joined = left.crossJoin(right)
+    keys = [f"_q{k}" for k in range(len(required or []))]
+    named = [F.col(c).alias(q) for c, q in zip(required or [], keys)]
+    left = inputs.select(F.col(input_id).alias("_i"), F.struct(*fields).alias("_l"), *named)
+    right = candidates.select(F.col(candidate_id).alias("_c"), F.struct(*fields).alias("_r"), *named)
     schema: StructType = left.schema["_l"].dataType
+    lowest = Window.partitionBy(*keys, "_r").orderBy("_c")
+    ids = right.withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= count).groupBy(*keys, "_r").agg(F.sort_array(F.collect_list(F.struct("_c"))).alias("_cs"))
+    equal = lambda a, b, on: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"_o{k}"]) for k in on))
+    other = lambda df, on: df.withColumnsRenamed({k: f"_o{k}" for k in on})
+    # numbered, so that what is sorted and joined is narrow; stored, as the numbers of another run may differ
+    number = F.monotonically_increasing_id
+    block = other(stored(right.select(*keys).distinct().withColumn("_block", number()), "blocks"), keys) if keys else None
+    placed = lambda df: df.join(block, equal(df, block, keys)).select(*df.columns, "_block") if keys else df
+    kept = stored(placed(ids.select("*", F.col("_cs")[0]["_c"].alias("_c"))).withColumn("_m", number()), "candidates")
+    asked = stored(placed(left.select(*keys, "_l").distinct()).withColumn("_n", number()), "inputs")
+    on = ["_block"] if keys else []
+    some, found, tasks = _dealt(asked.drop(*keys), kept.drop("_cs", *keys), on)
+    cell = [*on, "_cell"]
     costly = [f for f in schema if kind(f.dataType) not in ("number", "boolean")]
     inner = lambda f: compare(F.col("_l")[f.name], F.col("_r")[f.name], f.dataType, f.dataType, "exact")
     weight = RECORD[2] / len(schema)
     sure = F.lit(RECORD[0] + RECORD[1]) + _sum([inner(f).score for f in schema if f not in costly]) * weight
-    best = Window.partitionBy("_i").orderBy(F.desc("_sure"), "_c")
-    pairs = joined.withColumn("_sure", sure)
+
+    def meet(some: DataFrame) -> DataFrame:
+        return (some.repartition(tasks, *cell) if tasks > 1 else some).join(found, cell).withColumn("_sure", sure)
+
+    # Spark's window group limit keeps the best of each task first
+    best = lambda by: F.row_number().over(Window.partitionBy("_n").orderBy(F.desc(by), "_c"))
     if costly:
-        floor = pairs.select("_i", "_c", "_sure").withColumn("_k", F.row_number().over(best)).where(F.col("_k") == count).select(F.col("_i").alias("_fi"), F.col("_sure").alias("_floor"))
-        pairs = pairs.join(floor, pairs["_i"] == floor["_fi"], "left").where(F.col("_floor").isNull() | (F.col("_sure") + len(costly) * weight >= F.col("_floor") - 1e-9))
+        floor = meet(some).select("_n", "_c", "_sure").withColumn("_k", best("_sure")).where(F.col("_k") <= count).where(F.col("_k") == count).select("_n", F.col("_sure").alias("_floor"))
+        pairs = meet(some.join(floor, "_n", "left")).where(F.col("_floor").isNull() | (F.col("_sure") + len(costly) * weight >= F.col("_floor") - 1e-9))
+    else:
+        pairs = meet(some)
     score = F.col("_sure") + _sum([inner(f).score for f in costly]) * weight
-    # score down, candidate up; Spark's window group limit keeps the best of each task first
-    rank = F.row_number().over(Window.partitionBy("_i").orderBy(F.desc("similarity"), "_c"))
-    scored_pairs = pairs.select("_i", "_c", "_l", "_r", score.alias("similarity")).withColumn("rank", rank).where(F.col("rank") <= count)
+    top = pairs.select("_n", "_m", "_c", score.alias("similarity")).withColumn("_k", best("similarity")).where(F.col("_k") <= count).select("_n", "_m", "similarity")
     differences = compare(F.col("_l"), F.col("_r"), schema, schema, "exact").differences
-    return scored_pairs.select(F.col("_i").alias("input"), F.col("_c").alias("candidate"), "similarity", (1 - F.col("similarity")).alias("distance"), "rank", differences.alias("differences"))
+    top = top.join(asked.drop("_block"), "_n").join(kept.select("_m", "_r", "_cs"), "_m")
+    top = top.select(*keys, "_l", "similarity", differences.alias("differences"), F.explode("_cs").alias("_e"))
+    top = other(top.select(*keys, "_l", "similarity", "differences", F.col("_e._c").alias("_c")), [*keys, "_l"])
+    # score down, candidate up
+    rank = F.row_number().over(Window.partitionBy("_i").orderBy(F.desc("similarity"), "_c"))
+    out = left.join(top, equal(left, top, [*keys, "_l"])).withColumn("rank", rank).where(F.col("rank") <= count)
+    return out.select(F.col("_i").alias("input"), F.col("_c").alias("candidate"), "similarity", (1 - F.col("similarity")).alias("distance"), "rank", "differences")
 
 
 def nearest_counts(inputs: DataFrame, candidates: DataFrame, input_id: str, count: int, required: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,11 @@
 """What is left out on the way to a result, and that the result is whole."""
 
-from loomfact.operators import lexicon
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomfact.operators import compare, lexicon
 
 
 def test_shortest_path_keeps_out_of_dead_ends(spark, monkeypatch):
@@ -35,3 +40,36 @@ def test_shortest_path_keeps_out_of_dead_ends(spark, monkeypatch):
             ring, seen = step, seen | set(step)
         assert got[(a, b)] == ring.get(b), (a, b)
     assert len(got) == len(pairs) and sum(rows) < 10 * len(pairs)
+
+
+@pytest.mark.parametrize("required", [["brand", "kind"], None])
+def test_nearest_scores_equal_records_once(spark, monkeypatch, required):
+    rng = random.Random(4)
+    seen = [(rng.choice([None, 1.0, 2.5, 7.0]), rng.choice(["red", "Red", "blue", None]), rng.choice(["a", "b", None]), rng.choice([1, None])) for _ in range(300)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(seen)], "id int, size double, colour string, brand string, kind int")
+    rows = {}
+
+    def stored(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    real = compare.stored
+    monkeypatch.setattr(compare, "stored", stored)
+    monkeypatch.setattr(compare, "TASK_PAIRS", 40)
+    monkeypatch.setattr(compare, "CELL_PAIRS", 15)
+    asked = table.where("id % 4 = 0")
+    got = {}
+    for r in compare.nearest(asked, table, "id", "id", ["size", "colour"], 3, required).collect():
+        got.setdefault(r.input, {})[r["rank"]] = (r.candidate, r.similarity, r.differences)
+    pairs = asked.select(F.col("id").alias("i"), F.struct("size", "colour").alias("l"), F.struct("brand", "kind").alias("lk")).crossJoin(table.select(F.col("id").alias("c"), F.struct("size", "colour").alias("r"), F.struct("brand", "kind").alias("rk")))
+    want = {}
+    for r in compare.compare_pairs(pairs, "l", "r", mode="exact").collect():
+        if not required or r.lk == r.rk:
+            want.setdefault(r.i, []).append((-r.similarity, r.c, r.differences))
+    assert set(got) == set(want)
+    for i, all_of in want.items():
+        best = sorted(all_of)[:3]
+        assert [(c, d) for _, c, d in best] == [(got[i][k][0], got[i][k][2]) for k in range(1, len(best) + 1)]
+        assert all(abs(got[i][k][1] + s) < 1e-12 for k, (s, _, _) in enumerate(best, 1))
+    assert rows["candidates"] == len(set(seen) if required else {r[:2] for r in seen}) and rows["inputs"] <= rows["candidates"]
