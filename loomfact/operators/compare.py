@@ -14,7 +14,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, NumericType, StructType
 
 from ..functions.scalars import edit_similarity, normalised
 from ..store import stored
@@ -208,8 +208,12 @@ RULES = {"Near": near, "FactSimilarity": compare_pairs, "FactDifference": check_
 TASK_PAIRS, CELL_PAIRS = 1_000_000, 250_000
 
 
-def _dealt(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """Both sides (numbered by _n and _m) with a column _cell to join on besides ``on``, which holds no nulls, the right one dealt out, and to how many tasks.
+#: What rounding may add to a bound, and to a score beside its equals.
+SLACK, LEVEL = 1e-9, 1e-12
+
+
+def _dealt(left: DataFrame, right: DataFrame, on: list[str], ids: tuple[str, str] = ("_n", "_m")) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides (numbered by ``ids``) with a column _cell to join on besides ``on``, which holds no nulls, the right one dealt out, and to how many tasks.
 
     No task then meets many more pairs than others: the records of one side are parted by
     a hash, and those of the other, the one that is cheaper to repeat, go to every part.
@@ -222,57 +226,90 @@ def _dealt(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame,
         return left.withColumn("_cell", F.lit(0)), right.withColumn("_cell", F.lit(0)), 1
     part = lambda df, c: df.withColumn("_cell", F.pmod(F.xxhash64(c), F.lit(cells)).cast("int"))
     copy = lambda df: df.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    left, right = (copy(left), part(right, "_m")) if n <= m else (part(left, "_n"), copy(right))
+    left, right = (copy(left), part(right, ids[1])) if n <= m else (part(left, ids[0]), copy(right))
     return left, right.repartition(tasks, *on, "_cell"), tasks
 
 
+def _met(some: DataFrame, found: DataFrame, tasks: int, on: list[str]) -> DataFrame:
+    """All pairs of what ``_dealt`` gave; they are never shuffled."""
+    cell = [*on, "_cell"]
+    return (some.repartition(tasks, *cell) if tasks > 1 else some).join(found, cell)
+
+
+def _best(by: str, of: str = "_n", then: str = "_c", up: bool = False) -> Column:
+    """Places within ``of``; Spark's window group limit keeps the best of each task before anything is shuffled."""
+    return F.row_number().over(Window.partitionBy(of).orderBy(F.asc(by) if up else F.desc(by), then))
+
+
+def _seekable(x: Column) -> Column:
+    return x.isNull() | ~(F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def _lined(seekers: DataFrame, line: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Seekers with _p, how many of the line come up to their number _x and group _g (nulls first) or before, and the line with _p, each one's own place.
+
+    The order is one over all groups, cut into ranges, so that no group has to fit a task.
+    """
+    both = line.withColumn("_seeks", F.lit(False)).unionByName(seekers.withColumn("_seeks", F.lit(True)), allowMissingColumns=True)
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(both.repartitionByRange(parts, "_g", "_x").withColumn("_part", F.spark_partition_id()), "ranges")
+    one = F.when(F.col("_seeks"), 0).otherwise(1)
+    before = F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    offset = ranged.groupBy("_part").agg(F.sum(one).alias("_k")).select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    own = F.sum(one).over(Window.partitionBy("_part").orderBy("_g", "_x", "_seeks", "_c").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_own", own).join(F.broadcast(offset), "_part").withColumn("_p", F.col("_own") + F.col("_offset"))
+    return placed.where("_seeks").select(*seekers.columns, "_p"), placed.where("not _seeks").select(*line.columns, "_p")
+
+
+def _beside(seekers: DataFrame, line: DataFrame, count: int) -> DataFrame:
+    """Seekers with those of their group that may be the ``count`` likest: _m, _c, the number _y, and whether the line may go on at that score (_last).
+
+    These are ``count`` + 1 on either side; the lowest ids, which count where a line ends
+    level at the least score; and infinite numbers, which have no place in a line.
+    """
+    found, placed = _lined(seekers, line.where(_seekable(F.col("_x"))))
+    first, last = F.col("_p") - count, F.col("_p") + count + 1
+    some = placed.select("_g", F.col("_p").alias("_at"), F.col("_x").alias("_y"), "_m", "_c")
+    near = found.withColumn("_at", F.explode(F.sequence(first, last))).join(some, ["_g", "_at"]).withColumn("_last", (F.col("_at") == first) | (F.col("_at") == last))
+    low = some.withColumn("_k", _best("_c", "_g", up=True)).where(F.col("_k") <= count + 1).drop("_k")
+    low = low.unionByName(line.where(~_seekable(F.col("_x"))).select("_g", F.col("_x").alias("_y"), "_m", "_c"), allowMissingColumns=True)
+    far = found.join(low, "_g").where(F.col("_at").isNull() | ~F.col("_at").between(first, last)).withColumn("_last", F.lit(False))
+    return near.unionByName(far).drop("_at", "_p")
+
+
 def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_id: str, fields: list[str], count: int, required: list[str] | None = None) -> DataFrame:
-    """The ``count`` candidates most like each input: input, candidate, similarity, distance, rank, differences, matched (how many agree in the required fields).
+    """The ``count`` candidates most like each input: input, candidate, similarity, distance, rank, differences.
 
-    ``required`` fields must agree, null with null; they make the search a join on equal
+    ``required`` fields must agree, null with null; they make the search one within equal
     keys.  Without any, each input meets all candidates: a stated query set against all
     rows.  Equal records are scored once: of candidates that equal each other the ``count``
-    lowest ids can be among the best, and equal inputs share what is found.  Numbers are
-    scored first.  Texts can add a known weight at most, so only candidates whose bound
-    reaches the ``count``-th best of what is sure by numbers alone are scored in full.
-    Pairs are never shuffled: they meet in cells that a task sorts in memory, and each
-    task keeps the best of its share before anything is shuffled.
+    lowest ids can be among the best, and equal inputs share what is found.
+
+    Records fall into shapes, which agree in all fields but the number of most values.
+    Shapes meet, records don't: those of one shape stand in a line by that number, and the
+    likest are the ``count`` next to the input's own on either side.  Lines of the shapes
+    that are likest for sure give each input a floor; the others are entered if their best
+    could reach it.  What no line tells (numbers so close that scores are level, infinite
+    ones) is scored pair by pair.
     """
     keys = [f"_q{k}" for k in range(len(required or []))]
     named = [F.col(c).alias(q) for c, q in zip(required or [], keys)]
     left = inputs.select(F.col(input_id).alias("_i"), F.struct(*fields).alias("_l"), *named)
     right = candidates.select(F.col(candidate_id).alias("_c"), F.struct(*fields).alias("_r"), *named)
     schema: StructType = left.schema["_l"].dataType
-    lowest = Window.partitionBy(*keys, "_r").orderBy("_c")
-    ids = right.withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= count).groupBy(*keys, "_r").agg(F.sort_array(F.collect_list(F.struct("_c"))).alias("_cs"))
+    # sorted by a hash first, as numbers sort faster than texts
+    lowest = Window.partitionBy("_h", *keys, "_r").orderBy("_c")
+    ids = right.withColumn("_h", F.xxhash64(*keys, "_r")).withColumn("_k", F.row_number().over(lowest)).where(F.col("_k") <= count)
+    ids = ids.withColumn("_cs", F.collect_list(F.struct("_c")).over(lowest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("_k = 1").select(*keys, "_r", "_cs", "_c")
     equal = lambda a, b, on: reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"_o{k}"]) for k in on))
     other = lambda df, on: df.withColumnsRenamed({k: f"_o{k}" for k in on})
     # numbered, so that what is sorted and joined is narrow; stored, as the numbers of another run may differ
     number = F.monotonically_increasing_id
     block = other(stored(right.select(*keys).distinct().withColumn("_block", number()), "blocks"), keys) if keys else None
     placed = lambda df: df.join(block, equal(df, block, keys)).select(*df.columns, "_block") if keys else df
-    kept = stored(placed(ids.select("*", F.col("_cs")[0]["_c"].alias("_c"))).withColumn("_m", number()), "candidates")
+    kept = stored(placed(ids).withColumn("_m", number()), "candidates")
     asked = stored(placed(left.select(*keys, "_l").distinct()).withColumn("_n", number()), "inputs")
-    on = ["_block"] if keys else []
-    some, found, tasks = _dealt(asked.drop(*keys), kept.drop("_cs", *keys), on)
-    cell = [*on, "_cell"]
-    costly = [f for f in schema if kind(f.dataType) not in ("number", "boolean")]
-    inner = lambda f: compare(F.col("_l")[f.name], F.col("_r")[f.name], f.dataType, f.dataType, "exact")
-    weight = RECORD[2] / len(schema)
-    sure = F.lit(RECORD[0] + RECORD[1]) + _sum([inner(f).score for f in schema if f not in costly]) * weight
-
-    def meet(some: DataFrame) -> DataFrame:
-        return (some.repartition(tasks, *cell) if tasks > 1 else some).join(found, cell).withColumn("_sure", sure)
-
-    # Spark's window group limit keeps the best of each task first
-    best = lambda by: F.row_number().over(Window.partitionBy("_n").orderBy(F.desc(by), "_c"))
-    if costly:
-        floor = meet(some).select("_n", "_c", "_sure").withColumn("_k", best("_sure")).where(F.col("_k") <= count).where(F.col("_k") == count).select("_n", F.col("_sure").alias("_floor"))
-        pairs = meet(some.join(floor, "_n", "left")).where(F.col("_floor").isNull() | (F.col("_sure") + len(costly) * weight >= F.col("_floor") - 1e-9))
-    else:
-        pairs = meet(some)
-    score = F.col("_sure") + _sum([inner(f).score for f in costly]) * weight
-    top = pairs.select("_n", "_m", "_c", score.alias("similarity")).withColumn("_k", best("similarity")).where(F.col("_k") <= count).select("_n", "_m", "similarity")
+    top = _likest(asked.drop(*keys), kept.drop("_cs", *keys), schema, count, ["_block"] if keys else [])
     differences = compare(F.col("_l"), F.col("_r"), schema, schema, "exact").differences
     top = top.join(asked.drop("_block"), "_n").join(kept.select("_m", "_r", "_cs"), "_m")
     top = top.select(*keys, "_l", "similarity", differences.alias("differences"), F.explode("_cs").alias("_e"))
@@ -283,6 +320,75 @@ def nearest(inputs: DataFrame, candidates: DataFrame, input_id: str, candidate_i
     return out.select(F.col("_i").alias("input"), F.col("_c").alias("candidate"), "similarity", (1 - F.col("similarity")).alias("distance"), "rank", "differences")
 
 
+def _likest(asked: DataFrame, kept: DataFrame, schema: StructType, count: int, on: list[str]) -> DataFrame:
+    """(_n, _m, similarity) of the ``count`` likest of distinct records kept (_m, _r, _c) to each of asked (_n, _l), both with ``on``."""
+    numbers = [f.name for f in schema if kind(f.dataType) == "number"]
+    if len(numbers) > 1:
+        seen = kept.agg(*[F.approx_count_distinct(F.col("_r")[c]).alias(f"_{i}") for i, c in enumerate(numbers)]).first()
+        numbers = [numbers[max(range(len(numbers)), key=lambda i: seen[i])]]
+    swept = numbers[0] if numbers else None
+    rest = [f for f in schema if f.name != swept]
+    costly = [f for f in rest if kind(f.dataType) not in ("number", "boolean")]
+    base, weight, most = RECORD[0] + RECORD[1], RECORD[2] / len(schema), RECORD[2] / len(schema) * bool(swept)
+    part = lambda f: compare(F.col("_l")[f.name], F.col("_r")[f.name], f.dataType, f.dataType, "exact").score
+    total = lambda scores: base + RECORD[2] * _sum(scores) / len(schema)
+    of = lambda r: F.col(r)[swept].cast("double") if swept else F.lit(None).cast("double")
+    next_to = compare(F.col("_x"), F.col("_y"), DoubleType(), DoubleType(), "exact").score if swept else F.lit(0.0)
+
+    shape = lambda r: F.struct(F.lit(0).alias("_shape"), *[F.col(r)[f.name].alias(f.name) for f in rest]).alias("_s")
+    own = kept.select(*on, shape("_r"), of("_r").alias("_x"), "_m", "_c")
+    sought = asked.select(*on, shape("_l"), of("_l").alias("_x"), "_n")
+    size, odd = F.count(F.when(_seekable(F.col("_x")) & F.col("_own"), 1)), F.coalesce(F.max(~_seekable(F.col("_x")) & F.col("_own")), F.lit(False))
+    every = own.select(*on, "_s", "_x", F.lit(True).alias("_own")).unionByName(sought.select(*on, "_s", "_x", F.lit(False).alias("_own")))
+    every = every.groupBy(*on, "_s").agg(size.alias("_size"), odd.alias("_odd"), F.max(~F.col("_own")).alias("_sought"))
+    shapes = stored(every.withColumn("_g", F.monotonically_increasing_id()), "shapes")
+    names = shapes.select(*[F.col(c).alias(f"_o{c}") for c in [*on, "_s"]], "_g")
+    named = lambda df: df.join(names, reduce(lambda a, b: a & b, (df[c].eqNullSafe(names[f"_o{c}"]) for c in [*on, "_s"]))).drop(*on, "_s", *[f"_o{c}" for c in [*on, "_s"]])
+    line = stored(named(own), "line")
+    forms, found, tasks = _dealt(shapes.where("_sought").select(*on, F.col("_g").alias("_f"), F.col("_s").alias("_l")), shapes.where("_size > 0 or _odd").select(*on, "_g", F.col("_s").alias("_r"), "_size", "_odd"), on, ("_f", "_g"))
+
+    # a floor for each input: the count-th best along the lines of shapes that hold enough, by what is sure without comparing texts
+    sure = [part(f) if f not in costly else F.when(F.col("_l")[f.name].eqNullSafe(F.col("_r")[f.name]), 1.0).otherwise(0.0) for f in rest]
+    home = _met(forms, found, tasks, on).where("_size > 0").select("_f", "_g", "_size", (base + _sum(sure) * weight).alias("_sure"))
+    home = home.withColumn("_k", _best("_sure", "_f", "_g")).where(F.col("_k") <= count)
+    before = F.sum("_size").over(Window.partitionBy("_f").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1))
+    home = stored(home.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < count)).select("_f", "_g", "_sure"), "home")
+    seekers = named(sought).withColumnRenamed("_g", "_f")
+    beside = stored(_beside(seekers.join(home, "_f"), line, count).withColumn("_next", next_to), "beside")
+    floor = beside.select("_n", "_c", (F.col("_sure") + F.col("_next") * weight).alias("_least"))
+    floor = floor.withColumn("_k", _best("_least")).where(F.col("_k") <= count).where(F.col("_k") == count).select("_n", F.col("_least").alias("_floor"))
+    seekers = stored(seekers.join(floor, "_n", "left"), "floors")
+
+    # shapes that could reach it
+    reach = lambda least, bound: least.isNull() | F.col("_odd") | (bound >= least - SLACK)
+    least = seekers.groupBy("_f").agg(F.when(F.count("_floor") == F.count(F.lit(1)), F.min("_floor")).alias("_least"))
+    cheap = base + (_sum([part(f) for f in rest if f not in costly]) + len(costly)) * weight + most
+    pairs = _met(forms.join(least, "_f"), found, tasks, on).where(reach(F.col("_least"), cheap))
+    parts = {f.name: f"_s{k}" for k, f in enumerate(rest)}
+    pairs = pairs.select("_f", "_g", "_odd", "_least", *[part(f).alias(parts[f.name]) for f in rest])
+    bound = base + _sum([F.col(c) for c in parts.values()]) * weight + most
+    pairs = stored(pairs.where(reach(F.col("_least"), bound)).drop("_least"), "pairs")
+    entered = seekers.join(pairs.join(home, ["_f", "_g"], "left_anti"), "_f").where(reach(F.col("_floor"), bound))
+    entered = stored(entered.select("_n", "_f", "_g", "_x"), "entered")
+    beside = beside.drop("_sure")
+    if not entered.isEmpty():
+        beside = beside.unionByName(_beside(entered, line.join(entered.select("_g").distinct(), "_g", "left_semi"), count).withColumn("_next", next_to))
+    scored_pairs = beside.join(pairs, ["_f", "_g"]).select("_n", "_m", "_c", total([F.col("_next") if f.name == swept else F.col(parts[f.name]) for f in schema]).alias("similarity"), (F.col("_last") & (F.col("_next") > SCALAR[0])).alias("_last"))
+    beyond = F.max(F.when(F.col("_last"), F.col("similarity"))).over(Window.partitionBy("_n"))
+    top = stored(scored_pairs.withColumn("_beyond", beyond).withColumn("_k", _best("similarity")).where(F.col("_k") <= count), "found")
+
+    # the line may go on at the same score: those inputs meet every record
+    level = top.where((F.col("_k") == count) & (F.col("_beyond") >= F.col("similarity") - LEVEL)).select("_n")
+    level = level.unionByName(sought.where(~_seekable(F.col("_x"))).select("_n")).distinct()
+    top = top.select("_n", "_m", "similarity")
+    if level.isEmpty():
+        return top
+    some, found, tasks = _dealt(asked.join(level, "_n", "left_semi"), kept, on)
+    pairs = _met(some, found, tasks, on).select("_n", "_m", "_c", total([part(f) for f in schema]).alias("similarity"))
+    pairs = pairs.withColumn("_k", _best("similarity")).where(F.col("_k") <= count)
+    return top.join(level, "_n", "left_anti").unionByName(pairs.select("_n", "_m", "similarity"))
+
+
 def nearest_counts(inputs: DataFrame, candidates: DataFrame, input_id: str, count: int, required: list[str] | None = None) -> DataFrame:
     """For each input: candidates in all, those that agree in the required fields, those that don't, and how many are returned."""
     total = candidates.agg(F.count(F.lit(1)).alias("candidate_count"))

@@ -1,5 +1,6 @@
 """What is left out on the way to a result, and that the result is whole."""
 
+import math
 import random
 
 import pytest
@@ -73,3 +74,58 @@ def test_nearest_scores_equal_records_once(spark, monkeypatch, required):
         assert [(c, d) for _, c, d in best] == [(got[i][k][0], got[i][k][2]) for k in range(1, len(best) + 1)]
         assert all(abs(got[i][k][1] + s) < 1e-12 for k, (s, _, _) in enumerate(best, 1))
     assert rows["candidates"] == len(set(seen) if required else {r[:2] for r in seen}) and rows["inputs"] <= rows["candidates"]
+
+
+def likest(rows, asked, count):
+    """By plain Python: the ids most like each, of (id, number, text of one letter)."""
+
+    def number(x, y):
+        if x is None or y is None:
+            return float(x is y)
+        like = 1 - abs(x - y) / max(abs(x), abs(y), 1e-9)
+        return 0.25 + 0.75 * (like if math.isnan(like) else max(0.0, like))
+
+    out = {}
+    for i, x, t in asked:
+        scores = [(0.25 + 0.75 * (number(x, y) + (1.0 if t == u else 0.0 if None in (t, u) else 0.25)) / 2, j) for j, y, u in rows]
+        out[i] = [j for _, _, j in sorted((not math.isnan(s), 0.0 if math.isnan(s) else -s, j) for s, j in scores)[:count]]
+    return out
+
+
+def found(spark, rows, asked, count):
+    table = lambda rows: spark.createDataFrame(rows, "id int, size double, colour string")
+    out = {}
+    for r in sorted(compare.nearest(table(asked), table(rows), "id", "id", ["size", "colour"], count).collect(), key=lambda r: r["rank"]):
+        out.setdefault(r.input, []).append(r.candidate)
+    return out
+
+
+def test_nearest_meets_shapes_not_records(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, round(rng.uniform(900, 1000), 6), rng.choice("abcd")) for i in range(3000)]
+    asked = rows[::20]
+    pairs = []
+
+    def dealt(left, right, *rest):
+        pairs.append(left.count() * right.count())
+        return real(left, right, *rest)
+
+    real = compare._dealt
+    monkeypatch.setattr(compare, "_dealt", dealt)
+    assert found(spark, rows, asked, 3) == likest(rows, asked, 3)
+    assert sum(pairs) <= 100
+
+
+@pytest.mark.parametrize("count", [1, 3])
+def test_nearest_by_odd_numbers(spark, count):
+    rng = random.Random(5)
+    inf, nan = float("inf"), float("nan")
+    sizes = [None, 0.0, -0.0, 1e-12, -3.0, -2.0, 5.0, 1e308, -1e308, *[1.0 + k * 2.0**-52 for k in range(9)], 1e18, *[1000.0 * k for k in range(1, 9)], *[-7.0 * k for k in range(1, 7)]]
+    rows = [(s, c) for s in [*sizes, inf, -inf, nan] for c in ["a", "b", None]] * 2
+    rng.shuffle(rows)
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    assert found(spark, rows, rows, count) == likest(rows, rows, count)
+    # without infinite numbers, and with texts that one side lacks
+    plain = [r for r in rows if r[1] is None or math.isfinite(r[1])]
+    asked = [(r[0], r[1], "c") for r in plain[::3]]
+    assert found(spark, plain, asked, count) == likest(plain, asked, count)
